@@ -169,9 +169,7 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     parts = (
         needles.where(F.length("needle") >= v.PARTIAL_MIN_CHARS)
         .join(whole.select(*keep), keep, "left_anti")
-        .withColumn("_part", F.explode(F.array(F.left("needle", cut), F.right("needle", cut))))
-        .withColumn("part", F.when(F.startswith("needle", "_part"), 1).otherwise(2))
-        .withColumn("needle", F.col("_part")).drop("_part").distinct()
+        .select(*keep, "page", F.posexplode(F.array(F.left("needle", cut), F.right("needle", cut))).alias("part", "needle"))
     )
     partial = _search(parts, texts, boxes, [*key, "part"])
     place = F.struct("page_index", "rects", "sort_index", "fuzzy")

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A key is hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE keys can be hot: the hot-key
 # table is bounded whatever the data looks like and may be broadcast.
@@ -50,14 +51,15 @@ def spread_join(
     return salted.join(copied, [*keys, "_slot"], how).drop("_slot")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is set (tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint, so a lost executor does not repeat the work before it."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
-
-
