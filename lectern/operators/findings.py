@@ -53,11 +53,12 @@ def findings_array(result: Column) -> Column:
                         f["location"].alias("location"), f["quote"].alias("quote"))
 
     none = F.lit(None).cast("string")
-    parts = []
-    for order, name in enumerate(v.CATEGORIES):
-        parts.append(F.array(entry(name, order, True, result[name], none, "summary")))
-        parts.append(F.transform(result[name]["evidence"],
-                                 lambda e, name=name, order=order: entry(name, order, False, e, none, "summary")))
+
+    def category(name: str, order: int) -> list[Column]:
+        return [F.array(entry(name, order, True, result[name], none, "summary")),
+                F.transform(result[name]["evidence"], lambda e: entry(name, order, False, e, none, "summary"))]
+
+    parts = [part for order, name in enumerate(v.CATEGORIES) for part in category(name, order)]
     parts.append(F.transform(result["highlights"],
                              lambda h: entry(v.HIGHLIGHT, len(v.CATEGORIES), True, h, h["title"], "description")))
     return F.transform(F.concat(*parts), lambda f, i: F.struct(

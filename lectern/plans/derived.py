@@ -61,21 +61,23 @@ def sentence_array(text: Column) -> Column:
                     lambda s: s != "")
 
 
-def quote_array(text: Column, altered: bool) -> Column:
-    """array<struct<quote, location>>: sentences as a model might quote them.
+def quote_array(text: Column, altered: str = "") -> Column:
+    """array<struct<quote, location>>: sentences as a model might quote them, some with stretched spaces.
 
-    Every second one has stretched spaces. With ``altered`` some have one wrong character and some a made-up ending.
+    ``altered``: ``typo`` puts one wrong character into every long sentence, ``mixed`` into some, and gives others a
+    made-up ending.
     """
     def quoted(s: Column, j: Column) -> Column:
         kind = j % 4
-        out = F.when((kind == 1), F.replace(s, F.lit(" "), F.lit("  ")))
-        if altered:
-            out = out.when((kind == 2) & (F.length(s) >= 60), F.concat(
-                F.substring(s, 1, 14), F.lit("#"), F.substring(s, 16, 2_147_483_647)))
-            out = out.when(kind == 3, F.concat(
-                F.substring(s, F.lit(1), F.floor(F.length(s) / 2).cast("int")),
-                F.lit(" words that nobody wrote in this paper")))
-        return out.otherwise(s)
+        typo = F.concat(F.substring(s, 1, 14), F.lit("#"), F.substring(s, 16, 2_147_483_647))
+        ending = F.concat(F.substring(s, F.lit(1), F.floor(F.length(s) / 2).cast("int")),
+                          F.lit(" words that nobody wrote in this paper"))
+        out = F
+        if altered == "typo":
+            out = out.when(F.length(s) >= 60, typo)
+        if altered == "mixed":
+            out = out.when((kind == 2) & (F.length(s) >= 60), typo).when(kind == 3, ending)
+        return out.when(kind == 1, F.replace(s, F.lit(" "), F.lit("  "))).otherwise(s)
 
     def place(j: Column) -> Column:
         n = (j + 1).cast("string")
@@ -87,14 +89,14 @@ def quote_array(text: Column, altered: bool) -> Column:
         quoted(s, j).alias("quote"), place(j).alias("location")))
 
 
-def claims(spark: SparkSession, sf_dir: str, altered: bool = False) -> DataFrame:
+def claims(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
     """doc_id, claim_no, quote, location: one row per quoted sentence."""
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(quote_array(F.col("text"), altered)).alias("claim_no", "q")).select(
         "doc_id", "claim_no", "q.quote", "q.location")
 
 
-def answer_struct(text: Column, altered: bool = False) -> Column:
+def answer_struct(text: Column, altered: str = "") -> Column:
     """A model's answer about a document, built from its own sentences (more evidence and highlights than are kept)."""
     def build(qs: Column) -> Column:
         def entry(q: Column, label: str) -> Column:
@@ -123,7 +125,7 @@ def model_name(doc_id: Column) -> Column:
     return F.concat(F.lit("model-"), (doc_id % 4).cast("string"))
 
 
-def answers(spark: SparkSession, sf_dir: str, altered: bool = False) -> DataFrame:
+def answers(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
     """doc_id, model, answer (JSON text)."""
     return table(spark, sf_dir, "documents").select(
         "doc_id", model_name(F.col("doc_id")).alias("model"), F.to_json(answer_struct(F.col("text"), altered)).alias("answer"))
@@ -133,7 +135,7 @@ def chat_json(content: Column) -> Column:
     return F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
 
 
-def response_log(spark: SparkSession, sf_dir: str, altered: bool = False) -> DataFrame:
+def response_log(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
     """request_id, doc_id, endpoint, model, attempt, json_mode, status, content_type, body, failure.
 
     Six answer forms: plain, fenced, inside prose, cut off, streamed, and no JSON at all.
