@@ -114,17 +114,17 @@ def canon_array_udf(arrays: pd.Series) -> pd.Series:
     return arrays.map(lambda xs: [kernels.canon_text(x) for x in xs], na_action="ignore")
 
 
-def _needs_kernel(text: Column) -> Column:
+def needs_kernel(text: Column) -> Column:
     return text.rlike(f"[^{PLAIN_CLASS}]")
 
 
 def canon(text: Column) -> Column:
     """Canonical form. Only texts with unusual characters travel to Python; the others pass as nulls."""
-    odd = _needs_kernel(text)
+    odd = needs_kernel(text)
     return F.coalesce(F.when(~odd, canon_plain(text)), canon_udf(F.when(odd, text)))
 
 
 def canon_array(texts: Column) -> Column:
     """``canon`` for every element of an array of texts."""
-    odd = F.exists(texts, _needs_kernel)
+    odd = F.exists(texts, needs_kernel)
     return F.coalesce(F.when(~odd, F.transform(texts, canon_plain)), canon_array_udf(F.when(odd, texts)))

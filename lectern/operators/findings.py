@@ -9,40 +9,38 @@ from lectern.functions.arrays import let
 FINDING_COLUMNS = ["category", "category_ord", "ord", "is_primary", "title", "summary", "location", "quote"]
 
 
-def _text(node: Column, field: str, default: str = "") -> Column:
-    return F.coalesce(F.try_variant_get(node, f"$.{field}", "string"), F.lit(default))
+# Untrusted answers are read with a fixed schema: a field of another type is read as text or, where a list is due, as null.
+_QUOTED = "summary:string, location:string, quote:string"
+ANSWER_SCHEMA = ", ".join(
+    [f"{c} struct<{_QUOTED}, evidence:array<struct<{_QUOTED}>>>" for c in v.CATEGORIES]
+    + ["highlights array<struct<title:string, description:string, location:string, quote:string>>"])
 
 
 def _base(node: Column) -> Column:
-    return F.struct(_text(node, "summary", v.MISSING_SUMMARY).alias("summary"), _text(node, "location").alias("location"),
-                    _text(node, "quote").alias("quote"))
+    return F.struct(F.coalesce(node["summary"], F.lit(v.MISSING_SUMMARY)).alias("summary"),
+                    F.coalesce(node["location"], F.lit("")).alias("location"),
+                    F.coalesce(node["quote"], F.lit("")).alias("quote"))
 
 
-def _category(answer: Column, name: str) -> Column:
-    def with_evidence(primary: Column) -> Column:
-        nodes = F.coalesce(F.try_variant_get(answer, f"$.{name}.evidence", "array<variant>"),
-                           F.array().cast("array<variant>"))
-        evidence = F.filter(F.transform(nodes, _base),
-                            lambda e: (e["quote"] != "") & (e["quote"] != primary["quote"]))
-        return F.struct(primary["summary"].alias("summary"), primary["location"].alias("location"),
-                        primary["quote"].alias("quote"), F.slice(evidence, 1, v.MAX_EVIDENCE).alias("evidence"))
-
-    node = F.try_variant_get(answer, f"$.{name}", "variant")
-    return let(_base(node), with_evidence)
+def _category(node: Column) -> Column:
+    primary = F.coalesce(node["quote"], F.lit(""))
+    evidence = F.filter(F.transform(node["evidence"], _base), lambda e: (e["quote"] != "") & (e["quote"] != primary))
+    none = F.array().cast("array<struct<summary:string,location:string,quote:string>>")
+    return F.struct(*[_base(node)[c].alias(c) for c in ("summary", "location", "quote")],
+                    F.coalesce(F.slice(evidence, 1, v.MAX_EVIDENCE), none).alias("evidence"))
 
 
 def normalise_result(answer_json: Column) -> Column:
     """Typed result struct of an answer: defaults for missing fields, evidence de-duplicated and capped, 12 highlights."""
     def build(answer: Column) -> Column:
-        nodes = F.coalesce(F.try_variant_get(answer, "$.highlights", "array<variant>"),
-                           F.array().cast("array<variant>"))
-        highlights = F.transform(F.slice(nodes, 1, v.MAX_HIGHLIGHTS), lambda h: F.struct(
-            _text(h, "title", v.DEFAULT_HIGHLIGHT_TITLE).alias("title"),
-            _text(h, "description").alias("description"), _text(h, "location").alias("location"),
-            _text(h, "quote").alias("quote")))
-        return F.struct(*[_category(answer, c).alias(c) for c in v.CATEGORIES], highlights.alias("highlights"))
-
-    return F.when(answer_json.isNotNull(), let(F.try_parse_json(answer_json), build))
+        highlights = F.transform(F.slice(answer["highlights"], 1, v.MAX_HIGHLIGHTS), lambda h: F.struct(
+            F.coalesce(h["title"], F.lit(v.DEFAULT_HIGHLIGHT_TITLE)).alias("title"),
+            *[F.coalesce(h[c], F.lit("")).alias(c) for c in ("description", "location", "quote")]))
+        none = F.array().cast("array<struct<title:string,description:string,location:string,quote:string>>")
+        return F.struct(*[_category(answer[c]).alias(c) for c in v.CATEGORIES],
+                        F.coalesce(highlights, none).alias("highlights"))
+
+    return F.when(answer_json.isNotNull(), let(F.from_json(answer_json, ANSWER_SCHEMA), build))
 
 
 def findings_array(result: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lectern import values as v
 from lectern.functions import kernels
 from lectern.functions import text as t
-from lectern.plans.skew import spread_join
+from lectern.plans.skew import hot_keys, spread_join
 
 MATCH_TYPE = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("canon", T.StringType()),
@@ -84,7 +84,7 @@ def ground(claims: DataFrame, corpus: DataFrame, spread_by: Column) -> DataFrame
     needle = F.col("_needle")
     exact = F.coalesce(verify(F.col("hay"), needle), F.lit(False))
     doubtful = (~exact & (F.length(needle) >= v.MIN_FUZZY_CHARS)) | (exact & needle.rlike(v.CANON_PAGE_MARKER_PATTERN))
-    joined = spread_join(quoted, dims, ["doc_id"], spread_by, "left").select(
+    joined = spread_join(quoted, dims, ["doc_id"], spread_by, "left", hot_keys(claims, ["doc_id"])).select(
         *carried, "quote", "location", "_needle", "has_page_info",
         exact.alias("_exact"), doubtful.alias("_doubtful"),
         F.when(doubtful, F.col("full_text")).alias("_source"),
@@ -120,8 +120,8 @@ def seed_votes(claims: DataFrame, corpus: DataFrame, spread_by: Column) -> DataF
     """Seed votes per diagonal for claims that miss exactly: claim columns, rank, bucket, votes (best first)."""
     carried = [c for c in claims.columns if c != "quote"]
     quoted = claims.withColumn("_needle", t.canon(F.col("quote"))).where(F.length("_needle") >= v.MIN_FUZZY_CHARS)
-    missed = spread_join(quoted, corpus.select("doc_id", "hay"), ["doc_id"], spread_by).where(
-        ~F.contains("hay", "_needle"))
+    missed = spread_join(quoted, corpus.select("doc_id", "hay"), ["doc_id"], spread_by,
+                         hot=hot_keys(claims, ["doc_id"])).where(~F.contains("hay", "_needle"))
     voted = missed.select(*carried, seed_votes_udf("hay", "_needle").alias("_votes"))
     return voted.select(*carried, F.posexplode("_votes").alias("_rank", "_vote")).select(
         *carried, (F.col("_rank") + 1).alias("rank"), "_vote.bucket", "_vote.votes")

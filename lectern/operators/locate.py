@@ -11,23 +11,43 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lectern import values as v
 from lectern.functions import kernels
 from lectern.functions import text as t
-from lectern.functions.arrays import at, let
-from lectern.plans.skew import cut_lineage, spread_join
+from lectern.functions.arrays import at, indexes, let
+from lectern.plans.skew import cut_lineage, hot_keys, spread_join
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
+PAGE_TEXT_TYPE = T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+DROPPED = "".join(sorted(v.DROP_CHARS))
+
+
+@F.pandas_udf(PAGE_TEXT_TYPE)
+def page_text_udf(pages: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if units is None else kernels.units_text(units) for units in pages]
+    return pd.DataFrame(rows, columns=["text", "offsets"])
+
+
 def with_page_text(pages: DataFrame) -> DataFrame:
-    """Adds ``text`` (canonical page text) and ``offsets`` (canonical position -> character index)."""
-    raw = F.transform("chars", lambda ch: F.when(F.coalesce(ch["ignorable"], F.lit(False)), F.lit("")).otherwise(
+    """Adds ``text`` (canonical page text) and ``offsets`` (canonical position -> character index).
+
+    Store the result: every quote of a document reads it. Pages of plain single characters stay in the JVM.
+    """
+    units = F.transform("chars", lambda ch: F.when(F.coalesce(ch["ignorable"], F.lit(False)), F.lit("")).otherwise(
         F.coalesce(ch["u"], ch["c"], F.lit(""))))
+
+    def in_jvm(us: Column) -> Column:
+        joined = F.array_join(us, "")
+        plain = ~t.needs_kernel(joined) & F.forall(us, lambda u: F.length(u) <= 1)
+        kept = F.filter(indexes(us), lambda i: ~F.contains(F.lit(DROPPED), at(us, i)))
+        text = F.struct(t.canon_plain(joined).alias("text"), kept.alias("offsets"))
+        return F.struct(F.when(plain, text).alias("plain"), F.when(~plain, us).alias("odd"))
+
     return (
         pages.where(F.col("chars").isNotNull())
-        .withColumn("_units", t.canon_array(raw))
-        .withColumn("text", F.array_join("_units", ""))
-        .withColumn("offsets", F.flatten(F.transform(
-            "_units", lambda u, i: F.array_repeat(i.cast("int"), F.length(u)))))
-        .drop("_units")
+        .withColumn("_read", let(units, in_jvm))
+        .withColumn("_text", F.coalesce(F.col("_read.plain"), page_text_udf(F.col("_read.odd"))))
+        .select(*pages.columns, "_text.text", "_text.offsets")
     )
 
 
@@ -114,29 +134,34 @@ def _page_spans(pairs: DataFrame, hinted: bool, keep: list[str]) -> DataFrame:
 
 def _with_rects(spans: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
     """Rectangles for spans; spans without sound boxes disappear, ambiguous ones stay as they are."""
-    first = at(F.col("offsets"), F.col("start"))
-    last = at(F.col("offsets"), F.col("stop") - 1)
     joined = spread_join(spans, boxes, ["doc_id", "page_index"], F.xxhash64(*keep))
-    found = joined.withColumn("_first", first).withColumn(
-        "rects", F.when(F.col("mode") != "ambiguous", merged_rects(F.col("chars"), F.col("_first"), last)))
-    return found.where((F.col("mode") == "ambiguous") | F.col("rects").isNotNull()).select(
-        *keep, "page_index", "mode", "rects",
-        F.when(F.col("mode") != "ambiguous",
-               sort_index(F.col("page_index"), F.col("_first"), F.col("view_top"), F.col("rects"))).alias("sort_index"))
-
-
-def _search(needles: DataFrame, texts: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
-    """Location per needle: hinted page first, then the page rules over all pages of the document."""
+    located = F.col("mode") != "ambiguous"
+    first = F.when(located, at(F.col("offsets"), F.col("start")))
+    last = F.when(located, at(F.col("offsets"), F.col("stop") - 1))
+    found = F.struct(first.alias("first"), F.when(located, merged_rects(F.col("chars"), first, last)).alias("rects"))
+    # explode keeps the fold from being evaluated again by a filter and by each use of its result
+    sound = F.filter(F.array(found), lambda f: ~located | f["rects"].isNotNull())
+    return joined.select(*keep, "page_index", "view_top", "mode", F.explode(sound).alias("f")).select(
+        *keep, "page_index", "mode", "f.rects",
+        sort_index(F.col("page_index"), F.col("f.first"), F.col("view_top"), F.col("f.rects")).alias("sort_index"))
+
+
+def _search(needles: DataFrame, texts: DataFrame, boxes: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """Location per needle: hinted page first, then the page rules over all pages of the document.
+
+    Spans are checkpointed before the boxes are joined: they are a few numbers per quote, and reading them is cheaper
+    than matching again. ``hot``: documents with very many needles.
+    """
     keep = ["doc_id", *key]
     hint = needles.where(F.col("page") > 0).withColumn("page_index", F.col("page") - 1)
     on_hint = spread_join(hint, texts, ["doc_id", "page_index"], F.xxhash64(*keep))
+    hint_spans = cut_lineage(_page_spans(on_hint, True, keep))
     hinted = cut_lineage(
-        _with_rects(_page_spans(on_hint, True, keep), boxes, keep).withColumn("fuzzy", F.col("mode") == "fuzzy")
-        .drop("mode"))
+        _with_rects(hint_spans, boxes, keep).withColumn("fuzzy", F.col("mode") == "fuzzy").drop("mode"))
 
     rest = needles.join(hinted.select(*keep), keep, "left_anti").drop("page")
-    everywhere = spread_join(rest, texts, ["doc_id"], F.xxhash64(*keep))
-    hits = _with_rects(_page_spans(everywhere, False, keep), boxes, keep)
+    everywhere = spread_join(rest, texts, ["doc_id"], F.xxhash64(*keep), hot=hot)
+    hits = _with_rects(cut_lineage(_page_spans(everywhere, False, keep)), boxes, keep)
     place = F.struct("page_index", "rects", "sort_index")
     # Whatever the page order, an ambiguous page or a second exact page means no location.
     scanned = hits.groupBy(*keep).agg(
@@ -161,9 +186,11 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     texts = pages.select("doc_id", "page_index", "text")
     boxes = pages.select("doc_id", "page_index", "view_top", "chars", "offsets")
     keep = ["doc_id", *key]
-    needles = findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("needle")).where(
-        F.length("needle") >= v.MIN_MATCH_CHARS)
-    whole = cut_lineage(_search(needles, texts, boxes, key)).withColumn("partial", F.lit(False))
+    needles = cut_lineage(
+        findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("needle"))
+        .where(F.length("needle") >= v.MIN_MATCH_CHARS))
+    hot = hot_keys(needles, ["doc_id"])
+    whole = cut_lineage(_search(needles, texts, boxes, key, hot)).withColumn("partial", F.lit(False))
 
     cut = F.floor(F.length("needle") * F.lit(v.PARTIAL_SHARE)).cast("int")
     parts = (
@@ -171,7 +198,7 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
         .join(whole.select(*keep), keep, "left_anti")
         .select(*keep, "page", F.posexplode(F.array(F.left("needle", cut), F.right("needle", cut))).alias("part", "needle"))
     )
-    partial = _search(parts, texts, boxes, [*key, "part"])
+    partial = _search(cut_lineage(parts), texts, boxes, [*key, "part"], hot)
     place = F.struct("page_index", "rects", "sort_index", "fuzzy")
     first_part = partial.groupBy(*keep).agg(F.min_by(place, "part").alias("at")).select(
         *keep, "at.*", F.lit(True).alias("partial"))

@@ -12,9 +12,12 @@ from lectern.operators import (annotations, corpus, export, findings, grounding,
                                responses, sections, selection)
 from lectern.plans import derived, reading
 from lectern.plans.skew import cut_lineage
+from lectern.session import without_call_sites
 from lectern.sources import store
 from lectern.streaming import checks as stream_checks
 
+without_call_sites()
+
 CFG = JobConfig()
 SECTION_LIMIT = 1500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,28 +161,33 @@ def request_rows(spark, sf):
 
 # --- responses -----------------------------------------------------------------------------------------------
 
+def _log(spark, sf, altered=""):
+    """The response log, stored once as the model service would."""
+    return cut_lineage(derived.response_log(spark, sf, altered))
+
+
 @query
 def assembled_answers(spark, sf):
-    return responses.read_answers(derived.response_log(spark, sf)).select("request_id", "error_kind", "content")
+    return responses.read_answers(_log(spark, sf)).select("request_id", "error_kind", "content")
 
 
 @query
 def parsed_answers(spark, sf):
-    parsed = responses.parse_answers(responses.read_answers(derived.response_log(spark, sf)))
+    parsed = responses.parse_answers(responses.read_answers(_log(spark, sf)))
     field = F.try_variant_get(F.try_parse_json("answer_json"), "$.method.quote", "string")
     return parsed.select("request_id", "error_kind", field.alias("method_quote"))
 
 
 @query
 def normalised_results(spark, sf):
-    r = reading.typed_results(derived.response_log(spark, sf))
+    r = reading.typed_results(_log(spark, sf))
     return r.select("doc_id", *[F.col(f"result.{c}.quote").alias(f"{c}_quote") for c in v.CATEGORIES],
                     *[F.size(f"result.{c}.evidence").alias(f"{c}_evidence") for c in v.CATEGORIES],
                     F.size("result.highlights").alias("highlights"))
 
 
 def _typed(spark, sf, altered=""):
-    return reading.typed_results(derived.response_log(spark, sf, altered))
+    return reading.typed_results(_log(spark, sf, altered))
 
 
 @query
@@ -294,7 +302,8 @@ def seed_top5(spark, sf):
 # --- locating ------------------------------------------------------------------------------------------------
 
 def _page_texts(spark, sf):
-    return locate.with_page_text(derived.page_chars(pages.pages_flat(_papers(spark, sf))))
+    """Page texts, stored once as a job would."""
+    return cut_lineage(locate.with_page_text(derived.page_chars(pages.pages_flat(_papers(spark, sf)))))
 
 
 @query

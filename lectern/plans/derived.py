@@ -21,7 +21,10 @@ CHARS_PER_LINE = 80
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A file with fewer splits than cores (a small one) is spread over them; large tables are not moved."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +151,9 @@ def response_log(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFra
         .when(form == 3, F.substring(answer, F.lit(1), F.length(answer) - 2))
         .when(form == 5, F.lit("There is nothing to report.")).otherwise(answer))
     count = F.ceil(F.length(answer) / ANSWER_PIECE).cast("int")
-    lines = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(
+    lines = let(answer, lambda whole: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(
         F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(
-            F.substring(answer, i * ANSWER_PIECE + 1, F.lit(ANSWER_PIECE)).alias("content")).alias("delta"))).alias("choices")))))
+            F.substring(whole, i * ANSWER_PIECE + 1, F.lit(ANSWER_PIECE)).alias("content")).alias("delta"))).alias("choices"))))))
     stream = F.concat(F.array_join(lines, "\n\n"), F.lit("\n\ndata: [DONE]\n"))
     return answers(spark, sf_dir, altered).select(
         F.col("doc_id").alias("request_id"), "doc_id",

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.config import JobConfig
 from lectern.operators import annotations, findings, grounding, locate, pages, reports, requests, responses, sections
+from lectern.plans.skew import cut_lineage
 
 
 def prepare_requests(papers: DataFrame, cfg: JobConfig, no_json_mode: DataFrame | None = None) -> DataFrame:
@@ -13,15 +14,19 @@ def prepare_requests(papers: DataFrame, cfg: JobConfig, no_json_mode: DataFrame
 
 
 def typed_results(log: DataFrame) -> DataFrame:
-    """Response log -> request_id, doc_id, model, result for the answers that can be read."""
-    parsed = responses.parse_answers(responses.read_answers(log))
+    """Response log -> request_id, doc_id, model, result for the answers that can be read.
+
+    Parsed answers are checkpointed: a filter on them would otherwise be pushed below the parsing and parse twice.
+    """
+    parsed = cut_lineage(responses.parse_answers(responses.read_answers(log)).select(
+        "request_id", "doc_id", "model", "answer_json"))
     return parsed.where(F.col("answer_json").isNotNull()).select(
         "request_id", "doc_id", "model", findings.normalise_result(F.col("answer_json")).alias("result"))
 
 
 def grounded_findings(results: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row per finding with its verification, page and final wording."""
-    flat = findings.findings_flat(results, ["request_id", "doc_id", "model"])
+    flat = cut_lineage(findings.findings_flat(results, ["request_id", "doc_id", "model"]))
     return grounding.ground(flat, corpus, F.xxhash64("request_id", "ord"))
 
 

@@ -27,16 +27,16 @@ def spread_join(
     keys: list[str],
     spread_by: Column,
     how: str = "inner",
-    share: float = HOT_SHARE,
-    min_rows: int = 10_000,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi join of many ``facts`` to few ``dims`` rows per key that stays balanced when keys are hot.
 
     Facts of a hot key get one of ``_slots`` slots by hash of ``spread_by``; the dims rows of that key are copied once
     per slot, every other key keeps its single slot. Small dims are still broadcast when the optimizer's size check
-    allows it; then the slots cost nothing. ``how`` is ``inner`` or ``left``.
+    allows it; then the slots cost nothing. ``how`` is ``inner`` or ``left``. ``hot`` is the output of ``hot_keys``;
+    pass one counted on a cheap source when ``facts`` are costly to compute, since counting reads them again.
     """
-    hot = F.broadcast(hot_keys(facts, keys, share, min_rows))
+    hot = F.broadcast(hot_keys(facts, keys) if hot is None else hot)
     salted = (
         facts.join(hot, keys, "left")
         .withColumn("_slot", F.when(F.col("_slots").isNull(), F.lit(0))
