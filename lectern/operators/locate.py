@@ -198,7 +198,10 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
         .join(whole.select(*keep), keep, "left_anti")
         .select(*keep, "page", F.posexplode(F.array(F.left("needle", cut), F.right("needle", cut))).alias("part", "needle"))
     )
-    partial = _search(cut_lineage(parts), texts, boxes, [*key, "part"], hot)
+    parts = cut_lineage(parts)
+    if parts.isEmpty():
+        return whole
+    partial = _search(parts, texts, boxes, [*key, "part"], hot)
     place = F.struct("page_index", "rects", "sort_index", "fuzzy")
     first_part = partial.groupBy(*keep).agg(F.min_by(place, "part").alias("at")).select(
         *keep, "at.*", F.lit(True).alias("partial"))

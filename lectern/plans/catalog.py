@@ -1,6 +1,7 @@
 """Named queries over the driver's tables, one or more per operator. Every query reads whole tables."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +29,21 @@ def query(build):
     return build
 
 
+_STAGES: dict[tuple, object] = {}
+
+
+def stage(build):
+    """An intermediate table of the run, stored once and read by every query after it."""
+    @functools.wraps(build)
+    def stored(spark, sf, *args):
+        key = (spark.sparkContext.applicationId, sf, build.__name__, *args)
+        if key not in _STAGES:
+            _STAGES[key] = cut_lineage(build(spark, sf, *args))
+        return _STAGES[key]
+
+    return stored
+
+
 # --- text ----------------------------------------------------------------------------------------------------
 
 @query
@@ -62,6 +78,7 @@ def models_url(spark, sf):
 
 # --- pages ---------------------------------------------------------------------------------------------------
 
+@stage
 def _papers(spark, sf):
     return pages.parse_documents(derived.raw_papers(spark, sf).drop("text"))[0]
 
@@ -161,9 +178,9 @@ def request_rows(spark, sf):
 
 # --- responses -----------------------------------------------------------------------------------------------
 
+@stage
 def _log(spark, sf, altered=""):
-    """The response log, stored once as the model service would."""
-    return cut_lineage(derived.response_log(spark, sf, altered))
+    return derived.response_log(spark, sf, altered)
 
 
 @query
@@ -180,12 +197,12 @@ def parsed_answers(spark, sf):
 
 @query
 def normalised_results(spark, sf):
-    r = reading.typed_results(_log(spark, sf))
-    return r.select("doc_id", *[F.col(f"result.{c}.quote").alias(f"{c}_quote") for c in v.CATEGORIES],
+    return _typed(spark, sf).select("doc_id", *[F.col(f"result.{c}.quote").alias(f"{c}_quote") for c in v.CATEGORIES],
                     *[F.size(f"result.{c}.evidence").alias(f"{c}_evidence") for c in v.CATEGORIES],
                     F.size("result.highlights").alias("highlights"))
 
 
+@stage
 def _typed(spark, sf, altered=""):
     return reading.typed_results(_log(spark, sf, altered))
 
@@ -248,8 +265,9 @@ def near_passages(spark, sf):
                                      derived.table(spark, sf, "documents"))
 
 
+@stage
 def _corpus(spark, sf):
-    return reading.paged_corpus(derived.raw_papers(spark, sf).drop("text"))
+    return grounding.canonical_corpus(_papers(spark, sf))
 
 
 @query
@@ -301,9 +319,9 @@ def seed_top5(spark, sf):
 
 # --- locating ------------------------------------------------------------------------------------------------
 
+@stage
 def _page_texts(spark, sf):
-    """Page texts, stored once as a job would."""
-    return cut_lineage(locate.with_page_text(derived.page_chars(pages.pages_flat(_papers(spark, sf)))))
+    return locate.with_page_text(derived.page_chars(pages.pages_flat(_papers(spark, sf))))
 
 
 @query
@@ -330,14 +348,18 @@ def located_quotes(spark, sf):
     return placed.withColumn("rects", F.to_json("rects"))
 
 
+@stage
 def _grounded(spark, sf, altered=""):
     return reading.grounded_findings(_typed(spark, sf, altered), _corpus(spark, sf))
 
 
+@stage
+def _placed(spark, sf):
+    return reading.located_findings(_grounded(spark, sf), _page_texts(spark, sf))
+
+
 def _located(spark, sf):
-    """Grounded findings and the located ones, each computed once."""
-    grounded = cut_lineage(_grounded(spark, sf))
-    return grounded, cut_lineage(reading.located_findings(grounded, _page_texts(spark, sf)))
+    return _grounded(spark, sf), _placed(spark, sf)
 
 
 def _rect_text(rects):
