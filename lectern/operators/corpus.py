@@ -6,7 +6,7 @@ No document is compared with every quote. Documents and quotes meet on text fing
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lectern import values as v
 from lectern.functions import kernels
@@ -18,26 +18,27 @@ from lectern.plans.skew import cut_lineage, spread_join
 # much text, their seeds at most a quarter as many rows. Larger quote sets are shuffled.
 BROADCAST_CHARS = 16_000_000
 
-MARK_TYPE = T.ArrayType(T.StructType([
-    T.StructField("hash", T.LongType()), T.StructField("pos", T.IntegerType())]))
-
-
-def _marks(text: str, window: int, seed: int, first_only: bool) -> list[dict]:
-    positions, hashes = kernels.fingerprints(text[:window] if first_only else text, window, seed)
-    return [{"hash": int(h), "pos": int(p)} for h, p in zip(hashes, positions)]
+MARK_TYPE = T.StructType([
+    T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("pos", T.ArrayType(T.LongType()))])
 
 
 def fingerprint_udf(window: int, first_only: bool = False):
-    """Winnowing fingerprints of canonical texts; ``first_only`` keeps the one of the first window."""
+    """Winnowing fingerprints of canonical texts as two parallel arrays; ``first_only`` keeps the first window's."""
     seed = min(v.SEED_CHARS, window)
 
     @F.pandas_udf(MARK_TYPE)
-    def marks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: _marks(s, window, seed, first_only), na_action="ignore")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        found = [kernels.fingerprints(s[:window] if first_only else s, window, seed) for s in texts.fillna("")]
+        return pd.DataFrame({"hash": [h for _, h in found], "pos": [p for p, _ in found]})
 
     return marks
 
 
+def exploded_marks(marks: Column) -> Column:
+    """One struct(hash, pos) per fingerprint."""
+    return F.explode(F.arrays_zip(marks["hash"].alias("hash"), marks["pos"].alias("pos")))
+
+
 def corpus_hay(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", t.canon(F.col(text)).alias("hay"))
 
@@ -57,34 +58,29 @@ def find_passages(quotes: DataFrame, corpus: DataFrame, min_chars: int = v.MIN_F
                   broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Exact occurrences of quotes anywhere in the corpus: needle, doc_id, start (first, 0-based), occurrences.
 
-    ``quotes``: quote. ``corpus``: doc_id, hay. The fingerprint of a quote's first ``min_chars`` characters is also
-    kept by every document that contains the quote, so one equi join finds all pairs. When the quotes pass the size
-    check they are broadcast and pairs are verified while the document row is at hand; otherwise the fingerprints are
-    shuffled, hot ones spread, and the pairs go back to their documents for the check.
+    ``quotes``: quote. ``corpus``: doc_id, hay; store it, it is read twice. The fingerprint of a quote's first
+    ``min_chars`` characters is also kept by every document that contains the quote, so one equi join of fingerprints
+    finds all pairs; these few numbers are stored and go back to their documents for the check. Both joins broadcast
+    the small side when its measured size allows and spread hot keys otherwise.
     """
-    needles = distinct_needles(quotes, min_chars)
-    anchors = needles.select(
-        "needle_id", "needle", F.explode(fingerprint_udf(min_chars, first_only=True)("needle")).alias("a")).select(
-        "needle_id", "needle", F.col("a.hash").alias("hash"), F.col("a.pos").alias("offset"))
-    marked = corpus.select("doc_id", "hay", fingerprint_udf(min_chars)("hay").alias("marks"))
-    if fits_broadcast(needles, broadcast_chars):
-        hits = marked.select("doc_id", "hay", F.explode("marks").alias("m")).join(
-            F.broadcast(anchors), F.col("m.hash") == F.col("hash"))
-        start = F.col("m.pos") - F.col("offset")
-        found = hits.where(
-            (start >= 0) & (F.substring("hay", start + 1, F.length("needle")) == F.col("needle"))
-        ).select("needle", "doc_id", start.alias("start"))
-    else:
-        marks = marked.select("doc_id", F.explode("marks").alias("m")).select("doc_id", F.col("m.hash").alias("hash"),
-                                                                             F.col("m.pos").alias("pos"))
-        pairs = spread_join(marks, anchors.select("hash", "needle_id", "offset"), ["hash"], F.xxhash64("doc_id", "pos"))
-        starts = pairs.select("doc_id", "needle_id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-        with_needle = spread_join(starts, needles, ["needle_id"], F.col("doc_id"))
-        with_text = spread_join(with_needle, corpus.select("doc_id", "hay"), ["doc_id"],
-                                F.xxhash64("needle_id", "start"))
-        found = with_text.where(
-            F.substring("hay", F.col("start") + 1, F.length("needle")) == F.col("needle")
-        ).select("needle", "doc_id", "start")
+    needles = cut_lineage(distinct_needles(quotes, min_chars))
+    anchors = needles.select("needle_id", fingerprint_udf(min_chars, first_only=True)("needle").alias("f")).select(
+        "needle_id", exploded_marks(F.col("f")).alias("a")).select(
+        "needle_id", F.col("a.hash").alias("hash"), F.col("a.pos").alias("offset"))
+    marks = corpus.select("doc_id", fingerprint_udf(min_chars)("hay").alias("f")).select(
+        "doc_id", exploded_marks(F.col("f")).alias("m")).select("doc_id", "m.hash", "m.pos")
+    small = fits_broadcast(needles, broadcast_chars)
+    met = marks.join(F.broadcast(anchors), "hash") if small else spread_join(
+        marks, anchors, ["hash"], F.xxhash64("doc_id", "pos"))
+    pairs = cut_lineage(met.select("doc_id", "needle_id", (F.col("pos") - F.col("offset")).cast("int").alias("start"))
+                        .where("start >= 0"))
+    wanted = (pairs.join(F.broadcast(needles), "needle_id") if small
+              else spread_join(pairs, needles, ["needle_id"], F.col("doc_id")))
+    texts = corpus.select("doc_id", "hay")
+    chars = wanted.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("n")).first().n
+    checked = (texts.join(F.broadcast(wanted), "doc_id") if chars <= broadcast_chars
+               else spread_join(wanted, texts, ["doc_id"], F.xxhash64("needle_id", "start")))
+    found = checked.where(F.substring("hay", F.col("start") + 1, F.length("needle")) == F.col("needle"))
     return found.groupBy("needle", "doc_id").agg(
         F.min("start").alias("start"), F.count_distinct("start").alias("occurrences"))
 

@@ -28,8 +28,9 @@ def classify_heading(line: Column) -> Column:
         sized = F.length(trimmed).between(v.HEADING_MIN_CHARS, v.HEADING_MAX_CHARS)
         return F.when(sized & ~trimmed.rlike(v.SUBHEADING), let(title, by_title))
 
-    # Long lines are ordinary text unless padded: skip the trim for lines that cannot be headings.
-    return let(t.trim_ws(line), by_line)
+    # a long line that is not padded cannot be a heading; most lines stop here
+    padded = F.left(line, F.lit(1)).rlike(f"[{t.WS}]") | F.right(line, F.lit(1)).rlike(f"[{t.WS}]")
+    return F.when((F.length(line) <= v.HEADING_MAX_CHARS) | padded, let(t.trim_ws(line), by_line))
 
 
 def all_sections(text: Column) -> Column:

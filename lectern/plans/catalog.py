@@ -44,6 +44,11 @@ def stage(build):
     return stored
 
 
+def forget_stages() -> None:
+    """Next queries compute their intermediate tables again."""
+    _STAGES.clear()
+
+
 # --- text ----------------------------------------------------------------------------------------------------
 
 @query
@@ -247,11 +252,16 @@ def benchmark_quotes(spark, sf):
                         .alias("sent_no", "quote"))
 
 
+@stage
+def _hay(spark, sf):
+    return corpus.corpus_hay(derived.table(spark, sf, "documents"))
+
+
 @query
 def ground_exact(spark, sf):
     """Benchmark sentences found in any document."""
     quotes = benchmark_quotes(spark, sf)
-    hits = corpus.find_passages(quotes, corpus.corpus_hay(derived.table(spark, sf, "documents")))
+    hits = corpus.find_passages(quotes, _hay(spark, sf))
     keyed = quotes.select("item_id", "sent_no", t.canon(F.col("quote")).alias("needle"))
     return hits.join(keyed, "needle").select("item_id", "sent_no", "doc_id", "start")
 
