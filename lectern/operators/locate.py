@@ -149,7 +149,7 @@ def _with_rects(spans: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFram
 def _search(needles: DataFrame, texts: DataFrame, boxes: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
     """Location per needle: hinted page first, then the page rules over all pages of the document.
 
-    Spans are checkpointed before the boxes are joined: they are a few numbers per quote, and reading them is cheaper
+    Spans are stored before the boxes are joined: they are a few numbers per quote, and reading them is cheaper
     than matching again. ``hot``: documents with very many needles.
     """
     keep = ["doc_id", *key]

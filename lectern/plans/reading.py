@@ -16,7 +16,7 @@ def prepare_requests(papers: DataFrame, cfg: JobConfig, no_json_mode: DataFrame
 def typed_results(log: DataFrame) -> DataFrame:
     """Response log -> request_id, doc_id, model, result for the answers that can be read.
 
-    Parsed answers are checkpointed: a filter on them would otherwise be pushed below the parsing and parse twice.
+    Parsed answers are stored first: a filter on them would otherwise be pushed below the parsing and parse twice.
     """
     parsed = cut_lineage(responses.parse_answers(responses.read_answers(log)).select(
         "request_id", "doc_id", "model", "answer_json"))
