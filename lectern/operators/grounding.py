@@ -86,11 +86,13 @@ def ground(claims: DataFrame, corpus: DataFrame, spread_by: Column) -> DataFrame
     doubtful = (~exact & (F.length(needle) >= v.MIN_FUZZY_CHARS)) | (exact & needle.rlike(v.CANON_PAGE_MARKER_PATTERN))
     joined = spread_join(quoted, dims, ["doc_id"], spread_by, "left", hot_keys(claims, ["doc_id"])).select(
         *carried, "quote", "location", "_needle", "has_page_info",
-        exact.alias("_exact"), doubtful.alias("_doubtful"),
-        F.when(doubtful, F.col("full_text")).alias("_source"),
-        F.when(doubtful, F.col("canon_pages")).alias("_pages"),
-        F.when(exact & F.col("has_page_info"), pages_holding(F.col("canon_pages"), needle)).alias("_exact_on"),
-    )
+        # inline is a barrier: the kernel's operator sees these columns only, not the document's texts
+        F.inline(F.array(F.struct(
+            exact.alias("_exact"), doubtful.alias("_doubtful"),
+            F.when(doubtful, F.col("full_text")).alias("_source"),
+            F.when(doubtful, F.col("canon_pages")).alias("_pages"),
+            F.when(exact & F.col("has_page_info"), pages_holding(F.col("canon_pages"), needle)).alias("_exact_on"),
+        ))))
     match = joined.withColumn("_match", source_match_udf("_source", "_needle"))
     shown = t.display_quote(F.col("_match.text"))
     crosses = shown.rlike(v.PAGE_MARKER_PATTERN)
