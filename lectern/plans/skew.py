@@ -1,6 +1,7 @@
 """Joins and lineage for keys that may hold a large share of all rows."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,9 +53,17 @@ def spread_join(
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Only in local mode, where driver and executors are one process, an unset folder is replaced by a temporary one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
