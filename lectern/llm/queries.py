@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import mixing, url_filters, warc
+from lectern.llm import mixing, outliers, packing, quality, url_filters, warc
 from lectern.llm.common import documents, read_table, shared_folder
 
 PAGE_RULES = (
@@ -13,6 +13,13 @@ PAGE_RULES = (
     url_filters.Rule("allow", "com/fr/"), url_filters.Rule("block", "com/de/"))
 
 
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""
     return warc.page_digests(spark, read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
@@ -23,11 +30,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "part")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(documents(spark, sf_dir), vocabulary_path())
+
+
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents judged by base rules and robust distance."""
+    return outliers.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for quality."""
+    return quality.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the rules, with blocks spread over its aliases."""
     return url_filters.judge(read_table(spark, sf_dir, "pages"), PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_mixing, op8_url_filters)}
+    f.__name__: f for f in (
+        op1_warc, op2_mixing, op5_packing, op6_outliers, op7_quality, op8_url_filters)}
 
