@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import mixing, outliers, packing, quality, url_filters, warc
+from lectern.llm import mixing, neighbours, outliers, packing, quality, url_filters, warc
 from lectern.llm.common import documents, read_table, shared_folder
 
 PAGE_RULES = (
@@ -30,6 +30,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "part")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every row whose id is divisible by 50."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, 5)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
@@ -53,5 +58,5 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc, op2_mixing, op5_packing, op6_outliers, op7_quality, op8_url_filters)}
+        op1_warc, op2_mixing, op3_neighbours, op5_packing, op6_outliers, op7_quality, op8_url_filters)}
 
