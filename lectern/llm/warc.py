@@ -22,9 +22,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in upper-case base32: five hexadecimal digits are four base32 digits."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """Forty hexadecimal digits in upper-case base32: five of them are four base32 digits."""
     alphabet = F.lit(BASE32)
 
     def four(part: int) -> list[Column]:
@@ -44,9 +43,10 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    # One row a digest: only digests that repeat need a look, the others are responses.
-    chosen = (rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d"))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
+    # One row a digest, and only digests that repeat: the others are responses. The table is written first, so that its
+    # size is known when the join is planned, and the payloads are not shuffled to meet a few digests.
+    chosen = cut_lineage(rows.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d"))
               .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first"))
     marked = rows.join(chosen, F.col("digest") == F.col("d"), "left")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -57,7 +57,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.lit(MAGIC), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", name("page_id")),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         line("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(line("WARC-Refers-To", name("first")), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(F.lit("")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
@@ -199,7 +199,7 @@ def _joined_payloads(spark: SparkSession, folder: str, placed: DataFrame, kept:
     joined = (pieces.groupBy("file", "owner").agg(F.array_join(F.transform(parts, lambda p: F.hex(p)), MAGIC.encode().hex()).alias("digits"))
               .join(broken, ["file", "owner"])
               .select("file", F.col("owner").alias("start"),
-                      base32_sha1(F.substring(F.unhex("digits"), F.col("head").cast("int") + 1, F.col("length").cast("int"))).alias("late")))
+                      base32(F.sha1(F.substring(F.unhex("digits"), F.col("head").cast("int") + 1, F.col("length").cast("int")))).alias("late")))
     return kept.join(joined, ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "late")).drop("late")
 
 
