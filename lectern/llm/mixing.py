@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lectern.llm.common import cut_lineage, n_words
 
 #: Rows that trade in one leaf, and residuals that trade in one inner node of the tree.
-LEAF_ROWS, FAN_IN = 20_000, 64
+LEAF_ROWS, FAN_IN = 4_000, 64
 WEIGHTS, MOST_COPIES = (1, 2, 3), 3
 
 
