@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import mixing, neighbours, outliers, packing, quality, url_filters, warc
-from lectern.llm.common import documents, read_table, shared_folder
+from lectern.llm import mixing, neighbours, ngram_join, outliers, packing, quality, repeats, suffix_tree, url_filters, warc
+from lectern.llm.common import documents, read_table, remainder, shared_folder
 
 PAGE_RULES = (
     url_filters.Rule("allow", "org/"), url_filters.Rule("block", "example.org/es/"), url_filters.Rule("block", "example.org/en/1"),
@@ -35,6 +35,11 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, 5)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word sets have a similarity of 0.85."""
+    return ngram_join.linked_components(documents(spark, sf_dir), 4, 85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
@@ -56,7 +61,18 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read_table(spark, sf_dir, "pages"), PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 400-byte strings that repeat."""
+    return repeats.remove_repeats(documents(spark, sf_dir), 400)
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a probabilistic suffix tree, next to the unigram base."""
+    return suffix_tree.score_documents(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc, op2_mixing, op3_neighbours, op5_packing, op6_outliers, op7_quality, op8_url_filters)}
+        op1_warc, op2_mixing, op3_neighbours, op4_ngram_join, op5_packing, op6_outliers, op7_quality, op8_url_filters,
+        op9_repeats, op10_suffix_tree)}
 
