@@ -1,10 +1,43 @@
 """A training corpus from ``documents``: filtered, de-duplicated, mixed and packed in five stages."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lectern.llm import mixing
-from lectern.llm.common import documents, cut_lineage
+from lectern.llm import mixing, ngram_join, packing, quality, queries, repeats
+from lectern.llm.common import cut_lineage, documents, read_table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule classifier doesn't reject. Rows that repeat an id stand or fall together."""
+    judged = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    rejected = cut_lineage(judged.groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 0").select("doc_id"))
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of documents whose 5-word sets have a similarity of 0.8: that with the least id.
+
+    Of rows that repeat its id the longest is kept; rows without an id are kept.
+    """
+    found = ngram_join.linked_components(docs, 5, 80)
+    gone = cut_lineage(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = cut_lineage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), *[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(several.select(docs.columns))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that occur more than once; those with nothing left go."""
+    left = repeats.remove_repeats(docs, 400, columns=tuple(c for c in docs.columns if c != "text"), keep_text=True)
+    # A document that had no text stays as it was.
+    left = left.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("_text"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +45,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_rows(docs, mixing.mix(docs, cut_last=False))
 
 
-STAGES = [("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs, queries.vocabulary_path())
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each on what the one before has written."""
     rows = documents(spark, sf_dir)
     for _, stage in STAGES:
         rows = cut_lineage(stage(spark, rows, sf_dir))
     return rows
 
 
+#: SQL cannot express the classifier, the rounding and the tokens; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
