@@ -178,11 +178,16 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     named = sketches.where("doc_id is not null and n > 0")
     # Classes of equal sets and groups of equal prefixes: only those with several documents are kept.
     classes = cut_lineage(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("digest", "class_id"))
-    heads = cut_lineage(named.join(classes, "digest", "left").select("doc_id", "n", "prefix_key", F.coalesce("class_id", "doc_id").alias("class_id")))
+    heads = cut_lineage(named.join(classes, "digest", "left").select("doc_id", "n", "digest", "prefix_key", F.coalesce("class_id", "doc_id").alias("class_id")))
     groups = cut_lineage(heads.groupBy("prefix_key").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("prefix_key", "group_id"))
-    members = cut_lineage(heads.where("doc_id = class_id").join(groups, "prefix_key").select("doc_id", "group_id", "n").distinct())
-    others = cut_lineage(heads.where("doc_id <> class_id").select("doc_id").union(members.where("doc_id <> group_id").select("doc_id")).distinct())
-    postings = named.join(others, "doc_id", "left_anti").select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    members = cut_lineage(heads.where("doc_id = class_id").join(groups, "prefix_key").select("doc_id", "group_id", "n", "digest").distinct())
+    others = cut_lineage(heads.where("doc_id <> class_id").select("doc_id", "digest")
+                         .union(members.where("doc_id <> group_id").select("doc_id", "digest")).distinct())
+    members = members.drop("digest").distinct()
+    # Classes that one document belongs to by several rows are one.
+    same = heads.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    same = cut_lineage(heads.join(same, "doc_id").where("class_id <> lo").select(F.col("lo").alias("a"), F.col("class_id").alias("b")).distinct())
+    postings = named.join(others, ["doc_id", "digest"], "left_anti").select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
     turn = F.xxhash64("doc_id", F.pmod("gram", F.lit(ORDERS)))
     buckets = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(turn.alias("t"), "doc_id", "n", "at")).alias("lead")).where("m > 1")
     shared = cut_lineage(postings.join(buckets.select("gram", "lead"), "gram").select("gram", "doc_id", "n", "at", "lead"))
@@ -199,7 +204,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     ids = shared.select("doc_id").union(members.select("doc_id")).distinct()
     sets = cut_lineage(docs.join(cut_lineage(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id bigint, grams binary"))
     tested = _tested(pairs, sets, percent)
-    stars = cut_lineage(components(tested.where("linked").select("a", "b")))
+    stars = cut_lineage(components(tested.where("linked").select("a", "b").union(same)))
 
     # What is still apart: members of the minority components of a bucket meet the bucket's other components.
     def placed(rows: DataFrame) -> DataFrame:
@@ -224,8 +229,8 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
     late = apart.select(*_ordered("doc_id", "d2")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = _tested(cut_lineage(late), sets, percent)
-    links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b")).union(same)
     found = cut_lineage(components(links)).withColumnRenamed("id", "class_id") if not more.where("linked").isEmpty() else stars.withColumnRenamed("id", "class_id")
     return (sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
             .withColumn("class_id", F.coalesce("class_id", "doc_id")).join(found, "class_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id")))

@@ -22,7 +22,7 @@ def vocabulary_path() -> str:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""
-    return warc.page_digests(spark, read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return warc.page_digests(spark, read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc")).drop("uri")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
