@@ -42,7 +42,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple]:
     """(rows, bytes, starts) of Arrow batches, cut so that a part holds about ``most`` bytes of text or one row.
 
     ``bytes`` is one uint8 array of the texts one after another and ``starts`` has one more entry than rows. A null

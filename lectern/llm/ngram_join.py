@@ -140,8 +140,8 @@ def _verify(percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
                     linked.append(False)
                     continue
@@ -159,6 +159,14 @@ def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(both.mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"))
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id shares a slot with one of ``ids``: those to come and a few others, so that not all
+    texts are shuffled to meet the ids. There are 2**SLOT_BITS slots, so the broadcast table is bounded."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)).alias("slot")
+    slots = F.broadcast(ids.select(slot).distinct())
+    return docs.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
+
+
 def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -188,9 +196,10 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     same = heads.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("doc_id", "lo")
     same = cut_lineage(heads.join(same, "doc_id").where("class_id <> lo").select(F.col("lo").alias("a"), F.col("class_id").alias("b")).distinct())
     postings = named.join(others, ["doc_id", "digest"], "left_anti").select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    several = postings.groupBy("gram").count().where("count > 1").select("gram")
+    shared = cut_lineage(postings.join(several, "gram", "left_semi"))
     turn = F.xxhash64("doc_id", F.pmod("gram", F.lit(ORDERS)))
-    buckets = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(turn.alias("t"), "doc_id", "n", "at")).alias("lead")).where("m > 1")
-    shared = cut_lineage(postings.join(buckets.select("gram", "lead"), "gram").select("gram", "doc_id", "n", "at", "lead"))
+    leads = shared.groupBy("gram").agg(F.min(F.struct(turn.alias("t"), "doc_id", "n", "at")).alias("lead"))
 
     def may_link(n1, at1, n2, at2):
         """Sizes allow the similarity, and what follows the shared place suffices for the overlap it needs."""
@@ -198,11 +207,11 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         rest = F.least(n1 - at1, n2 - at2)
         return (low * 100 >= high * percent) & (rest * (100 + percent) + F.least(at1, at2) * (100 + percent) >= (n1 + n2) * percent)
 
-    lead = shared.where("doc_id <> lead.doc_id").where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    lead = shared.join(leads, "gram").where("doc_id <> lead.doc_id").where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = lead.select(*_ordered("doc_id", "lead.doc_id")).union(members.where("doc_id <> group_id").select(*_ordered("doc_id", "group_id"))).distinct()
     pairs = cut_lineage(pairs)
-    ids = shared.select("doc_id").union(members.select("doc_id")).distinct()
-    sets = cut_lineage(docs.join(cut_lineage(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id bigint, grams binary"))
+    ids = cut_lineage(shared.select("doc_id").union(members.select("doc_id")).distinct())
+    sets = cut_lineage(_likely(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id bigint, grams binary"))
     tested = _tested(pairs, sets, percent)
     stars = cut_lineage(components(tested.where("linked").select("a", "b").union(same)))
 
