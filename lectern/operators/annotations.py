@@ -70,8 +70,9 @@ def annotation_stats(findings: DataFrame, located: DataFrame, created: DataFrame
     if failures is None:
         out = out.withColumn("failed", F.lit(0).cast("long")).withColumn("errors", F.array().cast("array<string>"))
     else:
-        refused = failures.groupBy("doc_id", "message").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
-            F.sum("n").alias("failed"), F.array_sort(F.collect_set("message")).alias("errors"))
+        # every message is kept; a document has as many as it has refused rows
+        refused = failures.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("failed"), F.array_sort(F.collect_list("message")).alias("errors"))
         out = out.join(refused, "doc_id", "left").fillna({"failed": 0}).withColumn(
             "errors", F.coalesce("errors", F.array().cast("array<string>")))
     out = out.fillna({"placed": 0, "made": 0})

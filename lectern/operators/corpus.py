@@ -127,7 +127,9 @@ def find_near_passages(quotes: DataFrame, docs: DataFrame, broadcast_chars: int
     pairs = cut_lineage(pairs)
     with_needle = spread_join(pairs, needles, ["needle_id"], F.col("doc_id"))
     with_text = spread_join(with_needle, docs.select("doc_id", "text"), ["doc_id"], F.col("needle_id"))
-    checked = with_text.select("needle", "doc_id", source_match_udf("text", "needle").alias("m"))
+    # explode keeps the filter below from running the kernel a second time
+    checked = with_text.select("needle", "doc_id", source_match_udf("text", "needle").alias("found")).select(
+        "needle", "doc_id", F.explode(F.array("found")).alias("m"))
     return checked.where(F.col("m.text").isNotNull()).select(
         "needle", "doc_id", t.display_quote(F.col("m.text")).alias("matched"), F.col("m.exact").alias("exact"),
         F.col("m.similarity").alias("similarity"))

@@ -9,11 +9,11 @@ from lectern.functions.arrays import let
 FINDING_COLUMNS = ["category", "category_ord", "ord", "is_primary", "title", "summary", "location", "quote"]
 
 
-# Untrusted answers are read with a fixed schema: a field of another type is read as text or, where a list is due, as null.
+# Untrusted answers are read with a fixed schema: a field of another type is read as text or, where a list is due, as
+# null. Elements of lists are read one by one, so an odd one among them does not spoil the list.
 _QUOTED = "summary:string, location:string, quote:string"
 ANSWER_SCHEMA = ", ".join(
-    [f"{c} struct<{_QUOTED}, evidence:array<struct<{_QUOTED}>>>" for c in v.CATEGORIES]
-    + ["highlights array<struct<title:string, description:string, location:string, quote:string>>"])
+    [f"{c} struct<{_QUOTED}, evidence:array<variant>>" for c in v.CATEGORIES] + ["highlights array<variant>"])
 
 
 def _base(node: Column) -> Column:
@@ -22,9 +22,14 @@ def _base(node: Column) -> Column:
                     F.coalesce(node["quote"], F.lit("")).alias("quote"))
 
 
+def _element(element: Column, fields: tuple[str, ...]) -> Column:
+    """Fields of a list element as text; null where the element is no object."""
+    return F.struct(*[F.try_variant_get(element, f"$.{f}", "string").alias(f) for f in fields])
+
+
 def _category(node: Column) -> Column:
     primary = F.coalesce(node["quote"], F.lit(""))
-    evidence = F.filter(F.transform(node["evidence"], _base), lambda e: (e["quote"] != "") & (e["quote"] != primary))
+    evidence = F.filter(F.transform(node["evidence"], lambda e: _base(_element(e, ("summary", "location", "quote")))), lambda e: (e["quote"] != "") & (e["quote"] != primary))
     none = F.array().cast("array<struct<summary:string,location:string,quote:string>>")
     return F.struct(*[_base(node)[c].alias(c) for c in ("summary", "location", "quote")],
                     F.coalesce(F.slice(evidence, 1, v.MAX_EVIDENCE), none).alias("evidence"))
@@ -33,7 +38,9 @@ def _category(node: Column) -> Column:
 def normalise_result(answer_json: Column) -> Column:
     """Typed result struct of an answer: defaults for missing fields, evidence de-duplicated and capped, 12 highlights."""
     def build(answer: Column) -> Column:
-        highlights = F.transform(F.slice(answer["highlights"], 1, v.MAX_HIGHLIGHTS), lambda h: F.struct(
+        fields = ("title", "description", "location", "quote")
+        listed = F.transform(F.slice(answer["highlights"], 1, v.MAX_HIGHLIGHTS), lambda h: _element(h, fields))
+        highlights = F.transform(listed, lambda h: F.struct(
             F.coalesce(h["title"], F.lit(v.DEFAULT_HIGHLIGHT_TITLE)).alias("title"),
             *[F.coalesce(h[c], F.lit("")).alias(c) for c in ("description", "location", "quote")]))
         none = F.array().cast("array<struct<title:string,description:string,location:string,quote:string>>")

@@ -121,7 +121,8 @@ def _page_spans(pairs: DataFrame, hinted: bool, keep: list[str]) -> DataFrame:
         *keep, "needle", "page_index", first.alias("_first"),
         (F.lit(not hinted) & (first > 0) & (again > 0)).alias("_repeated"),
         F.when(missing, F.col("text")).alias("_text"))
-    near = narrow.withColumn("_near", near_span_udf("_text", "needle"))
+    # explode keeps the filter below from running the kernel a second time
+    near = narrow.withColumn("_found", near_span_udf("_text", "needle")).withColumn("_near", F.explode(F.array("_found")))
     mode = (
         F.when(F.col("_repeated"), "ambiguous").when(F.col("_first") > 0, "exact")
         .when(F.col("_near.start").isNotNull(), "fuzzy"))

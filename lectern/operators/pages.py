@@ -12,7 +12,7 @@ def split_raw_pages(raw: Column) -> Column:
     """Parts between form feeds without the trailing blank ones; at least one part stays."""
     def keep(parts: Column) -> Column:
         filled = F.filter(indexes(parts), lambda i: ~t.is_blank(at(parts, i)))
-        last = F.coalesce(F.element_at(filled, -1), F.lit(0))
+        last = F.coalesce(F.try_element_at(filled, F.lit(-1)), F.lit(0))
         return F.slice(parts, F.lit(1), last + 1)
 
     return let(F.split(raw, "\f"), keep)
@@ -64,31 +64,36 @@ def parse_reader_pages(df: DataFrame, texts: str = "page_texts") -> DataFrame:
 DOC_COLUMNS = ["pages", "full_text", "has_page_info", "method", "marked"]
 
 
+def has_text(raw: Column) -> Column:
+    """Long enough and not blank: a scan's form feeds alone are no text."""
+    return F.coalesce((F.length(raw) > v.MIN_TEXT_CHARS) & ~t.is_blank(raw), F.lit(False))
+
+
 def parse_documents(
     extracted: DataFrame, reader_pages: DataFrame | None = None, key: str = "doc_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with text, and rejected ones (``reason``).
 
     ``extracted``: key, raw_text, total_pages. ``reader_pages``: key, page_texts; preferred when its joined text is
-    long enough. ``extracted`` must hold every key; texts of at most 200 characters count as scans without text.
+    long enough. ``extracted`` must hold every key; texts of at most 200 characters, or of
+    white space alone, count as scans without text.
     """
-    base = extracted.where(F.length("raw_text") > v.MIN_TEXT_CHARS)
+    base = extracted.where(has_text(F.col("raw_text")))
     if reader_pages is None:
         good = parse_extracted(base).drop("raw_text", "total_pages")
-        bad = extracted.where(F.coalesce(F.length("raw_text") <= v.MIN_TEXT_CHARS, F.lit(True)))
+        bad = extracted.where(~has_text(F.col("raw_text")))
     else:
-        paged = parse_reader_pages(reader_pages).where(F.length("full_text") > v.MIN_TEXT_CHARS)
+        paged = parse_reader_pages(reader_pages).where(has_text(F.col("full_text")))
         paged = paged.select(key, F.struct(*DOC_COLUMNS).alias("_reader"))
         both = extracted.join(paged, key, "left")
         from_text = parse_extracted(
-            both.where(F.col("_reader").isNull() & (F.length("raw_text") > v.MIN_TEXT_CHARS))
+            both.where(F.col("_reader").isNull() & has_text(F.col("raw_text")))
         ).drop("_reader", "raw_text", "total_pages")
         from_reader = both.where(F.col("_reader").isNotNull()).select(
             *[c for c in extracted.columns if c not in ("raw_text", "total_pages")],
             *[F.col(f"_reader.{c}").alias(c) for c in DOC_COLUMNS])
         good = from_text.unionByName(from_reader)
-        bad = both.where(F.col("_reader").isNull() & F.coalesce(
-            F.length("raw_text") <= v.MIN_TEXT_CHARS, F.lit(True)))
+        bad = both.where(F.col("_reader").isNull() & ~has_text(F.col("raw_text")))
     return good, bad.select(key, F.lit("no-text").alias("reason"))
 
 

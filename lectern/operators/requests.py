@@ -68,24 +68,40 @@ def refuses_json_mode(status: Column, body: Column) -> Column:
 
 
 def retry_plan(log: DataFrame) -> DataFrame:
-    """What to send again: request_id, endpoint, reason, json_mode, stricter.
+    """What to send next: request_id, endpoint, reason, attempt, json_mode, stricter.
 
-    ``log``: request_id, endpoint, attempt, json_mode, status, body, error_kind. Unrelated errors are never resent;
-    an unreadable answer is resent once.
+    ``log``: request_id, endpoint, attempt, json_mode, status, body, error_kind; any number of attempts per request.
+    Only a request's last attempt is looked at, so what was resent already is not sent again. A refusal of JSON mode is
+    resent without it, with the text it had; a first unreadable answer is resent once with the stricter text. Unrelated
+    errors are never resent.
     """
+    last = log.groupBy("request_id").agg(
+        F.max(F.struct("attempt", "endpoint", "json_mode", "status", "body", "error_kind")).alias("last"),
+        F.count_if(F.col("error_kind") == "parse").alias("unread")).select("request_id", "last.*", "unread")
     refused = F.col("json_mode") & refuses_json_mode(F.col("status"), F.col("body"))
-    unreadable = (F.col("error_kind") == "parse") & (F.col("attempt") == 1)
+    unreadable = (F.col("error_kind") == "parse") & (F.col("unread") == 1)
     reason = F.when(refused, "json-mode").when(unreadable, "unreadable")
-    return (
-        log.withColumn("reason", reason).where(F.col("reason").isNotNull())
-        .select("request_id", "endpoint", "reason",
-                (F.col("json_mode") & (F.col("reason") != "json-mode")).alias("json_mode"),
-                (F.col("reason") == "unreadable").alias("stricter"))
-    )
+    return last.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+        "request_id", "endpoint", "reason", (F.col("attempt") + 1).alias("attempt"),
+        (F.col("json_mode") & (F.col("reason") != "json-mode")).alias("json_mode"), (F.col("unread") > 0).alias("stricter"))
+
+
+def retry_requests(plan: DataFrame, docs: DataFrame, cfg: JobConfig) -> DataFrame:
+    """The requests of a plan: request_id, endpoint, model, attempt, json_mode, body.
+
+    ``plan``: output of ``retry_plan``. ``docs``: request_id, meta_text, condensed.
+    """
+    text = F.col("condensed.text")
+    task = instructions(cfg.language, F.length(text), cfg.highlight_count)
+    message = F.concat(prompt(task, F.col("meta_text"), text), F.when(F.col("stricter"), STRICTER).otherwise(""))
+    return plan.join(docs.select("request_id", "meta_text", "condensed"), "request_id").select(
+        "request_id", "endpoint", F.lit(cfg.model).alias("model"), "attempt", "json_mode",
+        request_body(cfg.model, message, F.col("json_mode")).alias("body"))
 
 
 def endpoints_without_json_mode(log: DataFrame) -> DataFrame:
-    """Endpoints that refused JSON mode and answered the same request without it."""
+    """Endpoints that refused JSON mode and sent content for the same request without it, readable or not."""
     refused = log.where(F.col("json_mode") & refuses_json_mode(F.col("status"), F.col("body")))
-    answered = log.where(~F.col("json_mode") & F.col("error_kind").isNull()).select("request_id")
+    kind = F.coalesce(F.col("error_kind"), F.lit(""))
+    answered = log.where(~F.col("json_mode") & kind.isin("", "parse")).select("request_id")
     return refused.join(answered, "request_id", "left_semi").select("endpoint").distinct()

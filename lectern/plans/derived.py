@@ -40,7 +40,9 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     trailing = F.when(F.col("doc_id") % 3 == 0, F.lit("\f")).otherwise(F.lit(""))
     missing = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
     return paged.select(
-        "doc_id", "lang", "source", "text", F.concat(F.array_join("_pages", "\f"), trailing).alias("raw_text"),
+        # a few documents are scans: form feeds and blanks alone
+        "doc_id", "lang", "source", "text", F.when(F.col("doc_id") % 41 == 5, F.repeat(F.lit(" \f"), 150))
+        .otherwise(F.concat(F.array_join("_pages", "\f"), trailing)).alias("raw_text"),
         (F.size("_pages") - missing).alias("total_pages"))
 
 
@@ -59,9 +61,9 @@ def sectioned_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_array(text: Column) -> Column:
-    """First sentence of every line that has one."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda line: trim_ws(F.regexp_extract(line, SENTENCE, 0))),
-                    lambda s: s != "")
+    """All sentences of a text, line by line."""
+    found = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))))
+    return F.filter(F.transform(found, trim_ws), lambda s: s != "")
 
 
 def quote_array(text: Column, altered: str = "") -> Column:

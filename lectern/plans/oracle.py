@@ -109,7 +109,8 @@ CTES = {
     "raw_pages": """SELECT *, list_transform(range(CAST(ceil(len(ls) / 5.0) AS BIGINT)),
         lambda i: array_to_string(ls[i * 5 + 1 : i * 5 + 5], chr(10))) AS rp FROM lines""",
     "raw_papers": """SELECT doc_id, source, lang, text,
-        array_to_string(rp, chr(12)) || CASE WHEN doc_id % 3 = 0 THEN chr(12) ELSE '' END AS raw_text,
+        CASE WHEN doc_id % 41 = 5 THEN repeat(' ' || chr(12), 150) ELSE
+          array_to_string(rp, chr(12)) || CASE WHEN doc_id % 3 = 0 THEN chr(12) ELSE '' END END AS raw_text,
         len(rp) - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS total_pages FROM raw_pages""",
     "parts": f"""SELECT *, ps[1 : coalesce(list_max(list_filter(list_transform(ps,
           lambda p, i: CASE WHEN regexp_matches(p, '[^{WS}]') THEN i END), lambda i: i IS NOT NULL)), 1)] AS parts
@@ -118,14 +119,14 @@ CTES = {
             lambda p, i: '[PDF Page ' || i || ']' || chr(10) || p), chr(10) || chr(10)) ELSE texts[1] END AS full_text
         FROM (SELECT doc_id, source, len(parts) = total_pages AS has_page_info,
             CASE WHEN len(parts) = total_pages THEN list_transform(parts, lambda p: {norm('p')}) ELSE [{norm('raw_text')}] END AS texts
-          FROM parts WHERE length(raw_text) > 200)""",
+          FROM parts WHERE length(raw_text) > 200 AND regexp_matches(raw_text, '[^{WS}]'))""",
     "pages_flat": """SELECT doc_id, has_page_info, unnest(texts) AS text,
         CAST(generate_subscripts(texts, 1) - 1 AS INTEGER) AS page_index FROM papers""",
     "corpus": f"""SELECT *, CASE WHEN has_page_info THEN array_to_string(list_transform(cpages,
             lambda p, i: '[pdfpage' || i || ']' || p), '') ELSE cpages[1] END AS hay
         FROM (SELECT *, list_transform(texts, lambda p: {canon('p')}) AS cpages FROM papers)""",
-    "sents": f"""SELECT doc_id, list_filter(list_transform(ls, lambda l: {trim(f"regexp_extract(l, '{derived.SENTENCE}')")}),
-        lambda s: s <> '') AS sents FROM lines""",
+    "sents": f"""SELECT doc_id, list_filter(list_transform(flatten(list_transform(ls, lambda l: regexp_extract_all(l, '{derived.SENTENCE}'))),
+        lambda s: {trim("s")}), lambda s: s <> '') AS sents FROM lines""",
     "claims": _claims(""), "claims_typo": _claims("typo"), "claims_mixed": _claims("mixed"),
     "grounded_claims": _grounded("claims", "claim_no"),
     "sectioned": "SELECT doc_id, source, string_agg(line, chr(10) ORDER BY n, k) AS full_text FROM ("
@@ -267,14 +268,14 @@ sql("models_url", """SELECT endpoint, endpoint || '/models' AS models, CAST(NULL
     FROM (SELECT 'https://host-' || (user_id % 50) || '.example/v1' AS endpoint FROM events) GROUP BY endpoint""")
 sql("page_split", "SELECT doc_id, has_page_info, page_index, text FROM pages_flat")
 sql("marked_full_text", "SELECT doc_id, CASE WHEN has_page_info THEN 'paged' ELSE 'fulltext' END AS method, full_text FROM papers")
-sql("rejected_documents", "SELECT doc_id, 'no-text' AS reason FROM raw_papers WHERE length(raw_text) <= 200")
+sql("rejected_documents", "SELECT doc_id, 'no-text' AS reason FROM raw_papers WHERE length(raw_text) <= 200 OR NOT regexp_matches(raw_text, '[^" + WS + "]')")
 sql("reader_pages_first", f"""
     SELECT doc_id, CASE WHEN r.full_text IS NOT NULL OR has_page_info THEN 'paged' ELSE 'fulltext' END AS method,
       r.full_text IS NULL AND has_page_info AS marked, CAST(coalesce(r.n, len(texts)) AS INTEGER) AS n_pages, coalesce(r.full_text, p.full_text) AS full_text
     FROM raw_papers LEFT JOIN papers p USING (doc_id) LEFT JOIN (
       SELECT * FROM (SELECT doc_id, len(string_split(raw_text, chr(12))) AS n,
         array_to_string(list_transform(string_split(raw_text, chr(12)), lambda p: {norm('p')}), chr(10)) AS full_text
-        FROM raw_papers WHERE lang = 'en') WHERE length(full_text) > 200) r USING (doc_id)
+        FROM raw_papers WHERE lang = 'en') WHERE length(full_text) > 200 AND regexp_matches(full_text, '[^{WS}]')) r USING (doc_id)
     WHERE r.full_text IS NOT NULL OR p.full_text IS NOT NULL""")
 sql("metadata_text", """SELECT doc_id, 'TITLE: T' || doc_id || chr(10) || 'ABSTRACT: ' || coalesce(b.text, '') AS meta_text
     FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id // 3""")
@@ -333,10 +334,12 @@ _log = """SELECT event_id, user_id, 'https://host-' || (user_id % 50) || '.examp
       WHEN 'error' THEN 'no available channel for this model' WHEN 'signup' THEN 'bad key' END AS detail,
     CASE event_type WHEN 'purchase' THEN 'content-review' WHEN 'error' THEN 'model-unavailable' WHEN 'signup' THEN 'bad-key' END AS hint FROM events"""
 sql("response_triage", "SELECT status, error_kind, hint, detail, count(*) AS requests FROM inference GROUP BY ALL", inference=_log)
-sql("retry_rows", """SELECT event_id AS request_id, endpoint, 'json-mode' AS reason, false AS json_mode, false AS stricter
-      FROM inference WHERE json_mode AND event_type = 'click'
-    UNION ALL SELECT event_id, endpoint, 'unreadable', json_mode, true FROM inference WHERE error_kind IS NULL AND event_id % 3 = 0""", inference=_log)
-sql("endpoints_without_json_mode", "SELECT DISTINCT endpoint FROM inference WHERE json_mode AND event_type = 'click' AND event_id % 3 <> 0", inference=_log)
+sql("retry_rows", """SELECT event_id AS request_id, endpoint, 'json-mode' AS reason, 2 AS attempt, false AS json_mode, false AS stricter
+      FROM inference WHERE json_mode AND event_type = 'click' AND event_id % 5 = 0
+    UNION ALL SELECT event_id, endpoint, 'unreadable', 3, false, true FROM inference
+      WHERE json_mode AND event_type = 'click' AND event_id % 5 <> 0 AND event_id % 3 = 0 AND event_id % 4 <> 0
+    UNION ALL SELECT event_id, endpoint, 'unreadable', 2, json_mode, true FROM inference WHERE error_kind IS NULL AND event_id % 3 = 0""", inference=_log)
+sql("endpoints_without_json_mode", "SELECT DISTINCT endpoint FROM inference WHERE json_mode AND event_type = 'click' AND event_id % 5 <> 0", inference=_log)
 
 # --- grounding -----------------------------------------------------------------------------------------------
 

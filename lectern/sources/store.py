@@ -13,8 +13,9 @@ from lectern import values as v
 
 
 def latest_per_key(rows: DataFrame, key: str = "cache_key", order: str = "created_at") -> DataFrame:
-    """Newest row per key; a grouped maximum combines before the shuffle, a window would not."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    """Newest row per key; a grouped maximum combines before the shuffle, a window would not. Ties go by the rows' hash."""
+    total = F.struct(order, F.xxhash64(*rows.columns))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), total).alias("r")).select("r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "cache_key") -> DataFrame:
@@ -46,10 +47,16 @@ class ResultStore:
     def _replace(self, rows: DataFrame) -> None:
         version = f"{self.path}/v-{uuid.uuid4().hex}"
         rows.write.parquet(version)
-        fs, pointer = self._fs(f"{self.path}/current")
-        stream = fs.create(pointer, True)
+        # The pointer is written aside and renamed, so a reader meets the old one or the new one.
+        fs, aside = self._fs(f"{self.path}/next-{uuid.uuid4().hex}")
+        stream = fs.create(aside, True)
         stream.write(bytearray(version.encode()))
         stream.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        files = hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(aside, hadoop.Path(f"{self.path}/current"), how)
 
     def read(self) -> DataFrame:
         current = self._current()

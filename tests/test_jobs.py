@@ -36,11 +36,24 @@ def test_retries(spark):
     df = log(spark, [
         (1, "a", 1, True, 400, "", "Unknown parameter", None), (1, "a", 2, False, 200, "", "{}", None),
         (2, "b", 1, True, 400, "", "upstream rejected request", None), (3, "b", 1, True, 200, "", "no", None),
-        (4, "b", 2, True, 200, "", "no", None), (5, "c", 1, True, 422, "", "unsupported", None)]).withColumn(
-        "error_kind", F.when(F.col("request_id").isin(3, 4), "parse").when(F.col("status") != 200, "http"))
-    got = {r.request_id: (r.reason, r.json_mode, r.stricter) for r in requests.retry_plan(df).collect()}
-    assert got == {1: ("json-mode", False, False), 3: ("unreadable", True, True), 5: ("json-mode", False, False)}
-    assert [r.endpoint for r in requests.endpoints_without_json_mode(df).collect()] == ["a"]
+        (4, "b", 2, True, 200, "", "no", None), (5, "c", 1, True, 422, "", "unsupported", None),
+        (6, "d", 1, True, 400, "", "Unknown parameter", None), (6, "d", 2, False, 200, "", "no", None),
+        (7, "e", 1, True, 200, "", "no", None), (7, "e", 2, True, 200, "", "{}", None),
+        (8, "f", 1, True, 200, "", "no", None), (8, "f", 2, True, 422, "", "unsupported", None)]).withColumn(
+        "error_kind", F.when(F.col("request_id").isin(3, 4, 6, 8) & (F.col("status") == 200)
+                             | (F.col("request_id") == 7) & (F.col("attempt") == 1), "parse").when(F.col("status") != 200, "http"))
+    plan = requests.retry_plan(df)
+    got = {r.request_id: (r.reason, r.attempt, r.json_mode, r.stricter) for r in plan.collect()}
+    # 1 and 7 are answered; 4 was sent again before this log begins and gets its one stricter try
+    assert got == {3: ("unreadable", 2, True, True), 4: ("unreadable", 3, True, True), 5: ("json-mode", 2, False, False),
+                   6: ("unreadable", 3, False, True), 8: ("json-mode", 3, False, True)}
+    assert sorted(r.endpoint for r in requests.endpoints_without_json_mode(df).collect()) == ["a", "d"]
+    from lectern.config import JobConfig
+    from lectern.operators.sections import with_condensed
+    docs = with_condensed(spark.createDataFrame([(k, "some text", "meta") for k in (3, 5)], "request_id long, full_text string, meta_text string"), 1000)
+    sent = {r.request_id: r for r in requests.retry_requests(plan, docs, JobConfig()).collect()}
+    stricter = {k: requests.STRICTER.strip() in json.loads(r.body)["messages"][0]["content"] for k, r in sent.items()}
+    assert stricter == {3: True, 5: False} and "response_format" not in json.loads(sent[5].body) and sent[5].attempt == 2
 
 
 def test_requests_drop_json_mode_where_it_is_refused(spark):
@@ -91,3 +104,14 @@ def test_streamed_answers_end_fail_or_time_out(spark, tmp_path):
 def test_every_sql_has_its_query():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+def test_odd_list_elements_do_not_spoil_a_list(spark):
+    from lectern.operators import findings
+    answers = ['{"method":{"summary":"s","quote":"q","evidence":[7,null,{"quote":"e1","summary":5},["x"],{"quote":"q"},{"quote":"e2"},{"quote":"e3"}]},'
+               '"highlights":["plain",{"title":"t","quote":3},null]}', '{"method":7,"results":{"evidence":5,"quote":"z"},"highlights":{"a":1}}']
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string")
+    first, second = [r.r for r in rows.select("k", findings.normalise_result(F.col("a")).alias("r")).orderBy("k").collect()]
+    assert [(e.quote, e.summary) for e in first.method.evidence] == [("e1", "5"), ("e2", first.results.summary)]
+    assert [(h.title == "t", h.quote) for h in first.highlights] == [(False, ""), (True, "3"), (False, "")]
+    assert second.results.quote == "z" and second.results.evidence == [] and second.highlights == []
