@@ -17,6 +17,7 @@ HEADINGS = ("Abstract", "1 Introduction", "2 Related Work", "3 Methods", "3.1 De
             "Limitations:", "第六章 结论", "Acknowledgments", "References", "Appendix A")
 SENTENCE = "[^.!?]+[.!?]?"
 ANSWER_PIECE = 40
+ODD_TEXT = r"[\[\]{}\"\\]"
 CHARS_PER_LINE = 80
 
 
@@ -131,9 +132,10 @@ def model_name(doc_id: Column) -> Column:
 
 
 def answers(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
-    """doc_id, model, answer (JSON text)."""
+    """doc_id, model, answer (JSON text), odd (the text has brackets or quotes, which a cut-off answer isn't closed over)."""
     return table(spark, sf_dir, "documents").select(
-        "doc_id", model_name(F.col("doc_id")).alias("model"), F.to_json(answer_struct(F.col("text"), altered)).alias("answer"))
+        "doc_id", model_name(F.col("doc_id")).alias("model"), F.to_json(answer_struct(F.col("text"), altered)).alias("answer"),
+        F.col("text").rlike(ODD_TEXT).alias("odd"))
 
 
 def chat_json(content: Column) -> Column:
@@ -150,7 +152,7 @@ def response_log(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFra
     content = (
         F.when(form == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
         .when(form == 2, F.concat(F.lit("Here it is:\n"), answer, F.lit("\nDone.")))
-        .when(form == 3, F.substring(answer, F.lit(1), F.length(answer) - 2))
+        .when((form == 3) & ~F.col("odd"), F.substring(answer, F.lit(1), F.length(answer) - 2))
         .when(form == 5, F.lit("There is nothing to report.")).otherwise(answer))
     count = F.ceil(F.length(answer) / ANSWER_PIECE).cast("int")
     lines = let(answer, lambda whole: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(

@@ -319,8 +319,8 @@ _answer = "to_json({%s, 'highlights': list_transform(qs, lambda q, j: {'title':
                 for k, x in enumerate((i + 4, i, i + 8, i + 12))) + "]}" for i, c in enumerate(v.CATEGORIES))
 sql("assembled_answers", f"""SELECT doc_id AS request_id, CAST(NULL AS VARCHAR) AS error_kind,
     CASE doc_id % 6 WHEN 1 THEN '```json' || chr(10) || a || chr(10) || '```' WHEN 2 THEN 'Here it is:' || chr(10) || a || chr(10) || 'Done.'
-      WHEN 3 THEN left(a, length(a) - 2) WHEN 5 THEN 'There is nothing to report.' ELSE a END AS content
-    FROM (SELECT doc_id, CAST({_answer} AS VARCHAR) AS a FROM quote_lists)""")
+      WHEN 3 THEN CASE WHEN odd THEN a ELSE left(a, length(a) - 2) END WHEN 5 THEN 'There is nothing to report.' ELSE a END AS content
+    FROM (SELECT doc_id, CAST({_answer} AS VARCHAR) AS a, regexp_matches(text, {lit(derived.ODD_TEXT)}) AS odd FROM quote_lists JOIN documents USING (doc_id))""")
 _count = lambda c: f"CAST(count(*) FILTER (category = '{c}' AND NOT is_primary) AS INTEGER) AS {c}_evidence"
 sql("normalised_results", "SELECT doc_id, " + ", ".join(
     f"max(quote) FILTER (category = '{c}' AND is_primary) AS {c}_quote, {_count(c)}" for c in v.CATEGORIES)
