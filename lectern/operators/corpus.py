@@ -5,6 +5,7 @@ No document is compared with every quote. Documents and quotes meet on text fing
 """
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -22,13 +23,19 @@ MARK_TYPE = T.StructType([
     T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("pos", T.ArrayType(T.LongType()))])
 
 
-def fingerprint_udf(window: int, first_only: bool = False):
-    """Winnowing fingerprints of canonical texts as two parallel arrays; ``first_only`` keeps the first window's."""
+def fingerprint_udf(window: int, first_only: bool = False, wanted: list[int] | None = None):
+    """Winnowing fingerprints of canonical texts as two parallel arrays; ``first_only`` keeps the first window's.
+
+    ``wanted``: the only hashes that are asked for, a set of bounded size; others are left out at once.
+    """
+    asked = None if wanted is None else np.array(sorted(wanted), dtype=np.int64)
     seed = min(v.SEED_CHARS, window)
 
     @F.pandas_udf(MARK_TYPE)
     def marks(texts: pd.Series) -> pd.DataFrame:
         found = [kernels.fingerprints(s[:window] if first_only else s, window, seed) for s in texts.fillna("")]
+        if asked is not None:
+            found = [(p[keep], h[keep]) for p, h in found for keep in [np.isin(h, asked)]]
         return pd.DataFrame({"hash": [h for _, h in found], "pos": [p for p, _ in found]})
 
     return marks
@@ -54,22 +61,38 @@ def fits_broadcast(needles: DataFrame, limit: int) -> bool:
     return size.chars <= limit
 
 
-def find_passages(quotes: DataFrame, corpus: DataFrame, min_chars: int = v.MIN_FUZZY_CHARS,
+def find_passages(quotes: DataFrame, corpus: DataFrame, min_chars: int = v.MIN_MATCH_CHARS,
                   broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Exact occurrences of quotes anywhere in the corpus: needle, doc_id, start (first, 0-based), occurrences.
 
-    ``quotes``: quote. ``corpus``: doc_id, hay; store it, it is read twice. The fingerprint of a quote's first
-    ``min_chars`` characters is also kept by every document that contains the quote, so one equi join of fingerprints
-    finds all pairs; these few numbers are stored and go back to their documents for the check. Both joins broadcast
-    the small side when its measured size allows and spread hot keys otherwise.
+    ``quotes``: quote; those of at least ``min_chars`` canonical characters are looked for. ``corpus``: doc_id, hay;
+    store it, it is read several times. Long quotes meet the corpus by sparse fingerprints, short ones by those of a
+    narrower window.
     """
     needles = cut_lineage(distinct_needles(quotes, min_chars))
+    size, found = F.length("needle"), None
+    for window, upto in ((v.MIN_FUZZY_CHARS, None), (min_chars, v.MIN_FUZZY_CHARS)):
+        part = needles.where(size >= window) if upto is None else needles.where(size < upto)
+        if window < (upto or window + 1) and not part.isEmpty():
+            hits = _find_by_window(part, corpus, window, broadcast_chars)
+            found = hits if found is None else found.unionByName(hits)
+    return _find_by_window(needles, corpus, v.MIN_FUZZY_CHARS, broadcast_chars) if found is None else found
+
+
+def _find_by_window(needles: DataFrame, corpus: DataFrame, min_chars: int, broadcast_chars: int) -> DataFrame:
+    """Occurrences of needles of at least ``min_chars`` characters.
+
+    The fingerprint of a needle's first ``min_chars`` characters is also kept by every document that contains it, so
+    one equi join of fingerprints finds all pairs; these few numbers are stored and go back to their documents for the
+    check. Both joins broadcast the small side when its measured size allows and spread hot keys otherwise.
+    """
     anchors = needles.select("needle_id", fingerprint_udf(min_chars, first_only=True)("needle").alias("f")).select(
         "needle_id", exploded_marks(F.col("f")).alias("a")).select(
         "needle_id", F.col("a.hash").alias("hash"), F.col("a.pos").alias("offset"))
-    marks = corpus.select("doc_id", fingerprint_udf(min_chars)("hay").alias("f")).select(
-        "doc_id", exploded_marks(F.col("f")).alias("m")).select("doc_id", "m.hash", "m.pos")
     small = fits_broadcast(needles, broadcast_chars)
+    wanted = [r.hash for r in anchors.select("hash").distinct().collect()] if small else None
+    marks = corpus.select("doc_id", fingerprint_udf(min_chars, wanted=wanted)("hay").alias("f")).select(
+        "doc_id", exploded_marks(F.col("f")).alias("m")).select("doc_id", "m.hash", "m.pos")
     met = marks.join(F.broadcast(anchors), "hash") if small else spread_join(
         marks, anchors, ["hash"], F.xxhash64("doc_id", "pos"))
     pairs = cut_lineage(met.select("doc_id", "needle_id", (F.col("pos") - F.col("offset")).cast("int").alias("start"))

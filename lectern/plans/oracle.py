@@ -346,7 +346,7 @@ sql("endpoints_without_json_mode", "SELECT DISTINCT endpoint FROM inference WHER
 sql("ground_exact", f"""SELECT item_id, sent_no, doc_id, CAST(instr(hay, needle) - 1 AS INTEGER) AS start FROM (
       SELECT item_id, sent_no, {canon('s')} AS needle FROM (SELECT item_id, unnest(ss) AS s, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sent_no
         FROM (SELECT item_id, regexp_extract_all(text, '{derived.SENTENCE}') AS ss FROM benchmark))) q
-    JOIN (SELECT doc_id, {canon('text')} AS hay FROM documents) d ON contains(hay, needle) WHERE length(needle) >= 20""")
+    JOIN (SELECT doc_id, {canon('text')} AS hay FROM documents) d ON contains(hay, needle) WHERE length(needle) >= 6""")
 
 
 def _own(claims: str) -> str:
