@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.plans.skew import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "documents", "read_table", "remainder", "shared_folder", "text_batches", "words"]
+__all__ = ["cut_lineage", "documents", "read_table", "remainder", "shared_folder", "text_batches", "words", "written_for_now"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -61,3 +62,13 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             data = np.frombuffer(b"".join(filled.to_pylist()), dtype=np.uint8)
             yield batch.slice(at, to - at), data, np.concatenate([[0], ends[at:to] - before]).astype(np.int64)
             at = to
+
+
+@contextmanager
+def written_for_now(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a table in the shared folder that is removed at the end; what is made of them must be written by then."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "now")
+    df.write.parquet(path)
+    yield spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

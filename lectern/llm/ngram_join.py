@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import cut_lineage, text_batches
+from lectern.llm.common import cut_lineage, text_batches, written_for_now
 from lectern.llm.components import components
 from lectern.llm.hashing import MULTIPLIER, Prefixes, mixed
 
@@ -152,11 +152,17 @@ def _verify(percent: int):
     return emit
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs of document ids, from their full sets. Each set travels once, with its pairs' ends."""
-    first = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "grams": "x"}), "a")
-    both = first.join(sets.withColumnsRenamed({"doc_id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
-    return cut_lineage(both.mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"))
+def _tested(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, linked) for pairs of document ids, from the full sets of the documents in ``pairs``.
+
+    The sets are a table for as long as they are needed; each travels with its pairs' ends.
+    """
+    ids = cut_lineage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    found = _likely(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id bigint, grams binary")
+    with written_for_now(found) as sets:
+        first = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "grams": "x"}), "a")
+        both = first.join(sets.withColumnsRenamed({"doc_id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
+        return cut_lineage(both.mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean"))
 
 
 def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -210,9 +216,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     lead = shared.join(leads, "gram").where("doc_id <> lead.doc_id").where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = lead.select(*_ordered("doc_id", "lead.doc_id")).union(members.where("doc_id <> group_id").select(*_ordered("doc_id", "group_id"))).distinct()
     pairs = cut_lineage(pairs)
-    ids = cut_lineage(shared.select("doc_id").union(members.select("doc_id")).distinct())
-    sets = cut_lineage(_likely(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id bigint, grams binary"))
-    tested = _tested(pairs, sets, percent)
+    tested = _tested(pairs, docs, words, percent)
     stars = cut_lineage(components(tested.where("linked").select("a", "b").union(same)))
 
     # What is still apart: members of the minority components of a bucket meet the bucket's other components.
@@ -237,7 +241,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     apart = rows.join(few, "bucket").where("component <> c2 and (component = major or doc_id < d2)").where(
         may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
     late = apart.select(*_ordered("doc_id", "d2")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = _tested(cut_lineage(late), sets, percent)
+    more = _tested(cut_lineage(late), docs, words, percent)
     links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b")).union(same)
     found = cut_lineage(components(links)).withColumnRenamed("id", "class_id") if not more.where("linked").isEmpty() else stars.withColumnRenamed("id", "class_id")
     return (sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
