@@ -439,16 +439,16 @@ sql("cache_evict", f"""SELECT cache_key, title, model, created_at, result FROM (
 
 # --- reports -------------------------------------------------------------------------------------------------
 
-_paged = "页码依据原文片段逐页匹配；无法唯一匹配时请用搜索核对"
-_unpaged = "未能获取逐页信息，模型页码未经校验，请用原文搜索核对"
+_paged = "页码由逐页比对原文得出，比对不唯一处请搜索确认"
+_unpaged = "没有分页文本，页码来自模型且未核对，请搜索原文确认"
 _names = "replace(replace(replace(replace(omitted, 'references', '参考文献'), 'acknowledgements', '致谢'), 'appendix', '附录'), ',', '、')"
 sql("coverage_note", f"""SELECT doc_id, CASE WHEN partial THEN 'partial' ELSE 'full' END AS coverage, concat_ws('；',
-      CASE WHEN omitted <> '' THEN '未发送' || {_names} END, CASE WHEN partial THEN '论文较长，部分章节只发送了开头（建议核对结论）' END,
-      CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3) || ' 条引用与原文有个别字词差异，已替换为原文片段' END,
+      CASE WHEN omitted <> '' THEN '未发送' || {_names} END, CASE WHEN partial THEN '全文超出长度，若干章节仅送出开头，结论请自行核实' END,
+      CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3) || ' 处引文与原文略有出入，已改用原文' END,
       CASE WHEN doc_id % 2 = 0 THEN '{_paged}' ELSE '{_unpaged}' END) AS note FROM condensed_t""", condensed_t=_cond)
 CTES["reported"] = f"""SELECT g.*, 'Paper <' || doc_id || '> &  more' AS paper, 'model-' || (doc_id % 4) AS model,
     strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS made,
-    concat_ws('；', CASE WHEN long THEN '论文较长，部分章节只发送了开头（建议核对结论）' END,
+    concat_ws('；', CASE WHEN long THEN '全文超出长度，若干章节仅送出开头，结论请自行核实' END,
       CASE WHEN p.has_page_info THEN '{_paged}' ELSE '{_unpaged}' END) AS note
     FROM (SELECT * EXCLUDE (has_page_info) FROM grounded_f) g JOIN (SELECT doc_id, has_page_info, length(full_text) > {LIMIT} AS long FROM papers) p USING (doc_id)"""
 _flag = "CASE WHEN verified THEN '' ELSE ' ⚠️未校验' END"
@@ -493,10 +493,10 @@ sql("outline_nodes", f"""
     UNION ALL SELECT doc_id, '0.' || g || '.' || k, '0.' || g, 2, CAST(k AS INTEGER), label, {by_category(1)} FROM leaves_r
     UNION ALL SELECT DISTINCT doc_id, '0.0', '0', 1, 0, '{v.EMPTY_LABEL}', '{v.EMPTY_COLOR}' FROM reported WHERE doc_id NOT IN (SELECT doc_id FROM leaves_r)""", leaves_r=_leaves)
 sql("unverified_counts", "SELECT doc_id, CAST(count(*) FILTER (NOT verified) AS INTEGER) AS unverified FROM grounded_f GROUP BY doc_id")
-sql("guide_text", f"""SELECT doc_id, '本次定位 ' || (created + existing) || ' 条；未可靠定位 ' || skipped || ' 条；保存失败 ' || failed
-      || ' 条。未可靠定位的内容没有强行标注。' || chr(10) || '分析由 AI 生成，不等于作者原话；请结合高亮原文核对。' || chr(10) || '分析范围：scope' || chr(10)
+sql("guide_text", f"""SELECT doc_id, '已定位 ' || (created + existing) || ' 条，未能定位 ' || skipped || ' 条，写入失败 ' || failed
+      || ' 条。未能定位的内容不作标注。' || chr(10) || '以上内容由模型写成，并非作者原话，请对照高亮处阅读。' || chr(10) || '范围：scope' || chr(10)
       || coalesce(body, '') AS guide FROM stats LEFT JOIN (SELECT doc_id, string_agg(chr(10) || CASE category WHEN 'research_question' THEN '研究问题' WHEN 'method' THEN '方法'
-        WHEN 'results' THEN '结果' ELSE '作者局限' END || CASE WHEN verified THEN '' ELSE '（原文片段未校验）' END || '：' || summary, '' ORDER BY ord) AS body
+        WHEN 'results' THEN '结果' ELSE '作者局限' END || CASE WHEN verified THEN '' ELSE '（引文未核实）' END || '：' || summary, '' ORDER BY ord) AS body
       FROM grounded_f WHERE is_primary AND category <> 'highlight' AND summary <> '' GROUP BY doc_id) USING (doc_id)""")
 sql("run_summary", "SELECT event_id % 20 AS run_id, coalesce(detail, error_kind, 'saved') AS outcome, count(*) AS items FROM inference GROUP BY ALL", inference=_log)
 sql("run_failures", "SELECT event_id % 20 AS run_id, 'item ' || event_id || '：' || coalesce(detail, error_kind) AS line FROM inference WHERE error_kind IS NOT NULL", inference=_log)
