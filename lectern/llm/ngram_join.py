@@ -3,8 +3,9 @@
 Two sets with Jaccard similarity t share a word n-gram among the first ``n - ceil(t n) + 1`` of each in any common
 order; n-grams that few documents have come first. Equal sets are one class. Classes with the same prefix and size are
 one group: groups are joined by the n-grams of their prefixes, pairs of groups are filtered by size and position, and
-only what is left is expanded to members and verified on the full sets. Only links that can change a component are
-looked for: first everybody meets one partner in each bucket, then whatever is still apart meets the others.
+only what is left is verified on the full sets, and expanded to all members while its groups are in several components. Only
+links that can change a component are looked for: first everybody meets one partner in each bucket, then whatever is
+still apart meets the others, then the members of groups that are still apart meet.
 """
 from __future__ import annotations
 
@@ -219,31 +220,61 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     tested = _tested(pairs, docs, words, percent)
     stars = cut_lineage(components(tested.where("linked").select("a", "b").union(same)))
 
-    # What is still apart: members of the minority components of a bucket meet the bucket's other components.
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    # A group in one component stands for its members; one in several is looked at member by member.
-    spread = placed(members)
-    torn = cut_lineage(spread.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group_id"))
-    inside = spread.join(torn, "group_id").select(F.col("group_id").cast("string").alias("bucket"), "doc_id", "n", F.lit(0).alias("at"), "component")
-    expanded = shared.select("gram", "doc_id", "n", "at").join(
-        spread.join(torn, "group_id").where("doc_id <> group_id").select(F.col("group_id").alias("g"), F.col("doc_id").alias("member")),
-        F.col("doc_id") == F.col("g")).select("gram", F.col("member").alias("doc_id"), "n", "at")
-    rows = placed(shared.select("gram", "doc_id", "n", "at").union(expanded)).select(
-        F.concat(F.lit("g"), F.col("gram").cast("string")).alias("bucket"), "doc_id", "n", "at", "component").union(inside)
-    mixed_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rows = cut_lineage(rows.join(mixed_buckets, "bucket", "left_semi"))
-    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    major = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("major"))
-    rows = cut_lineage(rows.join(major, "bucket"))
-    few = rows.where("component <> major").select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"))
-    apart = rows.join(few, "bucket").where("component <> c2 and (component = major or doc_id < d2)").where(
-        may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
-    late = apart.select(*_ordered("doc_id", "d2")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = _tested(cut_lineage(late), docs, words, percent)
-    links = tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b")).union(same)
-    found = cut_lineage(components(links)).withColumnRenamed("id", "class_id") if not more.where("linked").isEmpty() else stars.withColumnRenamed("id", "class_id")
+    # What is still apart: rows of the minority components of a bucket meet the bucket's other components.
+    def across(rows: DataFrame) -> DataFrame:
+        mixed_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        rows = cut_lineage(rows.join(mixed_buckets, "bucket", "left_semi"))
+        sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        major = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("major"))
+        rows = cut_lineage(rows.join(major, "bucket"))
+        few = rows.where("component <> major").select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"))
+        return rows.join(few, "bucket").where("component <> c2 and (component = major or doc_id < d2)").where(
+            may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
+
+    def enough(n1, n2, common):
+        """``common`` shared n-grams of the prefixes, and all that follows the prefix that ends first, suffice."""
+        rest = F.greatest(*[F.ceil(n * percent / 100) - 1 for n in (n1, n2)])
+        return (common + rest) * (100 + percent) >= (n1 + n2) * percent
+
+    def placed(rows: DataFrame, stars: DataFrame, key: str = "doc_id") -> DataFrame:
+        return rows.join(stars.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
+
+    def torn_groups(spread: DataFrame) -> DataFrame:
+        return cut_lineage(spread.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group_id"))
+
+    def labelled(rows: DataFrame, stars: DataFrame, torn: DataFrame, key: str = "doc_id") -> DataFrame:
+        """A group in one component goes by that, one in several by itself."""
+        own = torn.select(F.col("group_id").alias(key), F.lit(1).alias("torn"))
+        return placed(rows, stars, key).join(own, key, "left").withColumn("torn", F.coalesce("torn", F.lit(0))).withColumn(
+            "component", F.struct("torn", F.when(F.col("torn") == 1, F.col(key)).otherwise(F.col("component")).alias("id"))).drop("torn")
+
+    # Pairs of groups first: their representatives are tested, which settles most.
+    rows = labelled(shared.select(F.col("gram").alias("bucket"), "doc_id", "n", "at"), stars, torn_groups(placed(members, stars)))
+    first = F.col("doc_id") < F.col("d2")
+    near = across(rows).select(*_ordered("doc_id", "d2"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n1"),
+                               F.when(first, F.col("n2")).otherwise(F.col("n")).alias("n2"))
+    near = near.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("common")).where(enough(F.col("n1"), F.col("n2"), F.col("common")))
+    near = cut_lineage(near.select("a", "b").distinct())
+    between = _tested(cut_lineage(near.join(tested.select("a", "b"), ["a", "b"], "left_anti")), docs, words, percent)
+
+    def grown(stars: DataFrame, tested: DataFrame) -> DataFrame:
+        links = tested.where("linked").select("a", "b")
+        return stars if links.isEmpty() else cut_lineage(components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)))
+
+    stars = grown(stars, between)
+    # A representative need not link where its members do: groups that are still apart meet member by member.
+    spread = cut_lineage(placed(members, stars))
+    torn = torn_groups(spread)
+    sides = labelled(labelled(near, stars, torn, "a").withColumnRenamed("component", "ca"), stars, torn, "b").where("ca <> component").select("a", "b")
+    for side, own in (("a", "ca"), ("b", "cb")):
+        alone = placed(sides, stars, side).withColumnRenamed("component", "alone")
+        ends = spread.select(F.col("group_id").alias(side), F.col("doc_id").alias("member"), F.col("component").alias(own)).distinct()
+        sides = alone.join(ends, side, "left").withColumn(f"m{side}", F.coalesce("member", side)).withColumn(own, F.coalesce(own, "alone")).drop("member", "alone")
+    apart = sides.where("ca <> cb").select(*_ordered("ma", "mb"))
+    inside = across(spread.join(torn, "group_id").select(F.col("group_id").alias("bucket"), "doc_id", "n", F.lit(0).alias("at"), "component"))
+    known = tested.select("a", "b").union(between.select("a", "b"))
+    late = apart.union(inside.select(*_ordered("doc_id", "d2"))).distinct().join(known, ["a", "b"], "left_anti")
+    found = grown(stars, _tested(cut_lineage(late), docs, words, percent)).withColumnRenamed("id", "class_id")
     return (sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
             .withColumn("class_id", F.coalesce("class_id", "doc_id")).join(found, "class_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id")))

@@ -48,3 +48,16 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.linked_components(documents(spark, rows)).collect()), key=repr)
     assert got == sorted([(5, 2), (5, 2), (9, 2), (2, 2), (None, None), (7, 7)], key=repr)
     assert ngram_join.linked_components(documents(spark, rows).where("false")).collect() == []
+
+
+def test_a_member_links_where_its_representative_does_not(spark):
+    """g and m differ in common n-grams only, so they have one prefix and g stands for both; x links with m alone."""
+    m = [f"w{k}" for k in range(63)]
+    g, x = list(m), list(m)
+    g[50], x[10] = "changed", "other"
+    texts = {1: " ".join(g), 2: " ".join(m), 3: " ".join(x)}
+    texts |= {100 + k: " ".join([*[m, g][k % 2][44:57], *[f"f{k}-{i}" for i in range(30)]]) for k in range(20)}
+    want = brute(texts, 4, 85)
+    assert [want[k] for k in (1, 2, 3)] == [(60, 1)] * 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(documents(spark, texts)).collect()}
+    assert got == want
