@@ -52,33 +52,55 @@ def verdict_of(rule: Column, rules: Sequence[Rule]) -> Column:
     return verdict
 
 
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments, as urls are resolved; most have none and stay as they are."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: F.when(part == ".", done).when(
+        part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part))))
+    folder = F.when(path.rlike(r"/\.{1,2}\z") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 def _key(url: Column) -> Column:
     """What two spellings of one url share: host, path and query; the scheme and the fragment are left out."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
-    return F.concat(host_of(url), path_of(url), query)
+    return F.concat(host_of(url), _without_dots(path_of(url)), query)
+
+
+_CANONICAL = (
+    r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s>/]))[^>]*>")
+_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _resolved(href: Column, url: Column) -> Column:
+    """``href`` against the url of its page: null for a scheme without a host (mailto:) and for a place in the page itself."""
+    host, path = host_of(url), path_of(url)
+    folder = F.concat(F.lit("http://"), host, F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^.*/", 0), F.lit("")), F.lit("/")))
+    return (F.when(href.rlike(_SCHEME + "//"), href)
+            .when(href.rlike(_SCHEME) | href.startswith("#"), F.lit(None))
+            .when(href.startswith("//"), F.concat(F.lit("http:"), href))
+            .when(href.startswith("/"), F.concat(F.lit("http://"), host, href))
+            .when(host == "", F.lit(None))
+            .when(href.startswith("?"), F.concat(F.lit("http://"), host, path, href))
+            .otherwise(F.concat(folder, href)))
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """(a, b, target): keys of a page's url and of the url it redirects to or calls canonical, and that url itself.
 
-    Read from ``<link rel=canonical href=...>`` and ``<meta http-equiv=refresh content="n; url=...">``. A target may be
-    absolute, without a scheme or relative to the host; anything else has no host and makes no link.
+    Read from ``<link rel=canonical href=...>``, where canonical is one of the words of rel, and ``<meta
+    http-equiv=refresh content="n; url=...">``. A target is resolved against the page's url, whatever its form is;
+    ``<base>`` is not read. A page whose url has no host can't resolve a target that is relative to its folder.
     """
-    tags = F.concat(
-        F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
-        F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
-    href = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")))
+    tags = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)))
+    attribute = lambda name: F.nullif(F.regexp_extract("tag", rf"(?is)\b{name}\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit(""))
+    href = F.when(F.col("tag").rlike("(?i)^<link"), attribute("href")).otherwise(attribute("url"))
     named = (
         pages.select("url", "html").where("url is not null and html is not null")
         .select("url", F.explode(tags).alias("tag"))
         .select("url", F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href")).where("href is not null"))
-    target = (
-        F.when(F.col("href").contains("://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href"))
-        .when(F.col("href").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), "href")))
-    return (named.select(_key(F.col("url")).alias("a"), target.alias("target")).where("target is not null")
+    return (named.select(_key(F.col("url")).alias("a"), _resolved(F.col("href"), F.col("url")).alias("target")).where("target is not null")
             .select("a", _key(F.col("target")).alias("b"), "target"))
 
 

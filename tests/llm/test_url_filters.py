@@ -31,6 +31,31 @@ def test_blocks_reach_aliases_but_not_those_with_an_allowed_one(spark):
                                                  9: "allow", 10: "allow"}
 
 
+def test_targets_of_every_form_are_resolved(spark):
+    url = "http://A.net/dir/sub/page.html?x=1#f"
+    want = {
+        "page2.html": "a.net/dir/sub/page2.html", "./p": "a.net/dir/sub/p", "../p": "a.net/dir/p", "../../../p": "a.net/p", "..": "a.net/dir/",
+        "../..": "a.net/", ".": "a.net/dir/sub/", "?id=3": "a.net/dir/sub/page.html?id=3", "q/?u=../y": "a.net/dir/sub/q/?u=../y", "/r/../s": "a.net/s",
+        "/go?u=https://x.org/": "a.net/go?u=https://x.org/", "p?u=https://x.org/": "a.net/dir/sub/p?u=https://x.org/", "HTTPS://X.org/P": "x.org/P",
+        "//x.org/./p": "x.org/p", "x.html#a:b": "a.net/dir/sub/x.html", "mailto:a@b.c": None, "#top": None}
+    forms = ["<link rel=canonical href='{}'>", "<LINK href=\"{}\" rel='alternate canonical'/>", "<link rel=\"Canonical\n next\" href={}>",
+             '<meta http-equiv="refresh" content="0; url={}">']
+    rows = [(url, form.format(href)) for href in want for form in forms]
+    other = ["<link rel='canonical-x' href='no'>", "<link rel=alternate href='no'>", "<link rel='notcanonical' href='no'>"]
+    found = url_filters.alias_links(spark.createDataFrame(rows + [(url, o) for o in other], "url string, html string")).collect()
+    assert {r.a for r in found} == {"a.net/dir/sub/page.html?x=1"}
+    assert sorted(r.b for r in found) == sorted(k for k in want.values() if k for _ in forms)
+    bare = url_filters.alias_links(spark.createDataFrame([("x://b.net", forms[0].format("p")), ("no host", forms[0].format("p"))], "url string, html string"))
+    assert [(r.a, r.b) for r in bare.collect()] == [("b.net", "b.net/p")]
+
+
+def test_blocks_reach_relative_aliases(spark):
+    canonical = lambda u: f"<link rel='alternate canonical' href='{u}'>"
+    got = judged(spark, [(1, "http://a.com/de/x", canonical("../en/y")), (2, "http://a.com/en/y", canonical("?p=1")), (3, "http://a.com/en/y?p=1", None),
+                         (4, "http://c.net/1", canonical("/go?u=https://a.com/de/")), (5, "http://c.net/go?u=https://a.com/de/", None)])
+    assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_components_of_a_long_chain(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 201), (202, 201), (203, 201)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
