@@ -13,17 +13,17 @@ STATE = "pieces string, closed boolean"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Stream lines (request_id, seq, line, ts) -> request_id, seq, piece, error, done, ts; other lines fall away."""
+    """Stream lines (request_id, seq, line, ts) -> request_id, seq, piece, error, done, ts, and whether the line ``counts`` as an event."""
     data = t.trim_ws(F.regexp_replace("line", r"\Adata:", ""))
+    held = F.coalesce(F.startswith("line", F.lit("data:")) & (F.col("_data") != ""), F.lit(False))
     events = (
-        lines.where(F.startswith("line", F.lit("data:"))).withColumn("_data", data).where(F.col("_data") != "")
-        .withColumn("done", F.col("_data") == "[DONE]")
-        .withColumn("_event", F.when(~F.col("done"), F.try_parse_json("_data")))
-        .where(F.col("done") | F.col("_event").isNotNull())
+        lines.withColumn("_data", data).withColumn("done", held & (F.col("_data") == "[DONE]"))
+        .withColumn("_event", F.when(held & ~F.col("done"), F.try_parse_json("_data")))
+        .withColumn("counts", F.col("done") | F.col("_event").isNotNull())
     )
     return events.select(
         "request_id", "seq", F.when(F.col("done"), "").otherwise(event_piece(F.col("_event"))).alias("piece"),
-        event_error(F.col("_event")).alias("error"), "done", "ts")
+        event_error(F.col("_event")).alias("error"), "done", "ts", "counts")
 
 
 def _finish(key, pieces: list, kind, detail) -> pd.DataFrame:
@@ -34,44 +34,56 @@ def _finish(key, pieces: list, kind, detail) -> pd.DataFrame:
         "request_id": key, "content": content if kind is None else None, "error_kind": kind, "detail": detail}])
 
 
-def _assembler(timeout_ms: int):
+def _assembler(timeout_ms: int, numbered: bool):
     def step(key, batches, state: GroupState):
         import json
 
-        pieces, closed = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
+        # Pieces [seq, text], with null for a line that is no event; the end mark's seq; event time of the last event.
+        pieces, end, latest, closed = [], None, None, False
+        if state.exists:  # a plain list of pieces if an earlier form wrote it
+            held, closed = json.loads(state.get[0]), state.get[1]
+            pieces, end, latest = (held["pieces"], held["end"], held["latest"]) if isinstance(held, dict) else (held, None, None)
         if state.hasTimedOut:
             state.remove()
-            if not closed:
-                yield _finish(key[0], pieces, "timeout", None)
+            if not closed and any(p is not None for _, p in pieces):
+                yield _finish(key[0], [], "timeout", None)
             return
-        error, done, latest = None, False, None
+        errors, newest = [], 0
         for rows in batches:
-            newest = rows["ts"].max()
-            latest = newest if latest is None else max(latest, newest)
-            pieces += [[int(s), p] for s, p in zip(rows["seq"], rows["piece"])]
-            failed = rows.loc[rows["error"].notna()].sort_values("seq")
-            error = error if error is not None or failed.empty else failed["error"].iloc[0]
-            done = done or bool(rows["done"].any())
+            newest = max(newest, int(rows["ts"].max().timestamp() * 1000))
+            events = rows.loc[rows["counts"]]
+            if len(events):
+                latest = max(latest or 0, int(events["ts"].max().timestamp() * 1000))
+            pieces += [[int(s), (p or "") if c else None] for s, p, c in zip(rows["seq"], rows["piece"], rows["counts"])]
+            errors += [(int(s), e) for s, e in zip(events["seq"], events["error"]) if e is not None]
+            ends = [int(s) for s in events.loc[events["done"], "seq"]]
+            end = min(ends + ([] if end is None else [end]), default=None)
         if closed:
             return
-        finished = error is not None or done
+        error = min(((s, e) for s, e in errors if end is None or s < end), default=(None, None))[1]
+        whole = end is not None and (not numbered or len({s for s, _ in pieces if 0 <= s < end}) >= end)
+        finished = error is not None or whole
         # After the end the state only remembers that later rows are to be dropped, until the watermark passes.
-        state.update(("[]" if finished else json.dumps(pieces), finished))
-        state.setTimeoutTimestamp(
-            max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + timeout_ms)
+        state.update((json.dumps({"pieces": [] if finished else pieces, "end": end, "latest": latest}), finished))
+        state.setTimeoutTimestamp(max(latest or newest, state.getCurrentWatermarkMs() + 1) + timeout_ms)
         if finished:
-            yield _finish(key[0], pieces, "http" if error is not None else None, error)
+            told = [[s, p] for s, p in pieces if p is not None and (end is None or s < end)]
+            yield _finish(key[0], told, "http" if error is not None else None, error)
 
     return step
 
 
-def assemble(lines: DataFrame, timeout_ms: int, delay: str = "0 seconds") -> DataFrame:
+def assemble(lines: DataFrame, timeout_ms: int, delay: str = "0 seconds", numbered: bool = True) -> DataFrame:
     """Answers from a stream of response lines.
 
-    A request is answered at its end mark, fails at an error event, and fails with ``timeout`` when nothing ended it
-    for ``timeout_ms`` of event time. State per request is one answer.
+    A request is answered once its end mark and all lines before it are there, in whatever order and batches they
+    arrive; ``seq`` numbers all lines of a request, events or not, from 0 without gaps. It fails at an error event, and
+    with ``timeout`` when nothing ended it, or a line before its end mark stayed away, for ``timeout_ms`` of event time
+    since its last event. Lines after the end mark are left out. Spark drops lines that are later than ``delay``. Where
+    ``seq`` only orders the lines (not ``numbered``) a missing line can't be told: the answer is what has arrived with
+    the end mark's batch. State per request is one answer.
     """
     return (
         parse_lines(lines).withWatermark("ts", delay).groupBy("request_id")
-        .applyInPandasWithState(_assembler(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_assembler(timeout_ms, numbered), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

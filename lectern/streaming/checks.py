@@ -24,7 +24,7 @@ def answers_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one streamed answer, each turn as one delta, an hour of event time apart.
 
     Conversations end by a done mark, an error event, or not at all, in turn; the last kind times out once event time
-    has moved on.
+    has moved on. The end's ``seq`` leaves a gap after the turns, so it orders the lines only.
     """
     turns = file_stream(spark, sf_dir, "conversations")
     kind = F.col("conv_id") % 3
@@ -36,7 +36,7 @@ def answers_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("request_id"), (F.col("turn") + F.col("part") * 1_000_000).alias("seq"), "line",
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn")).alias("ts"))
     out = shared_folder(spark, "answers")
-    done = (answers.assemble(stamped, timeout_ms=60_000).writeStream.format("parquet").outputMode("append")
+    done = (answers.assemble(stamped, timeout_ms=60_000, numbered=False).writeStream.format("parquet").outputMode("append")
             .option("checkpointLocation", f"{out}-progress").option("path", out).trigger(availableNow=True).start())
     done.awaitTermination()
     return spark.read.schema(answers.OUTPUT).parquet(out)

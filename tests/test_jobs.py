@@ -101,6 +101,26 @@ def test_streamed_answers_end_fail_or_time_out(spark, tmp_path):
     assert got == {1: ("Hello", None, None), 2: (None, "timeout", None), 3: (None, "http", "bad")}
 
 
+def test_streamed_answers_wait_for_lines_before_the_end_mark(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    piece = lambda s: 'data: {"choices":[{"delta":{"content":"%s"}}]}' % s
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "request_id long, seq long, line string, t long").select(
+            "request_id", "seq", "line", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        lines = spark.readStream.schema("request_id long, seq long, line string, ts timestamp").parquet(source)
+        (answers.assemble(lines, 60_000, "60 seconds").writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()).awaitTermination()
+        return {r.request_id: (r.content, r.error_kind) for r in spark.read.schema(answers.OUTPUT).parquet(out).collect()}
+
+    done = "data: [DONE]"
+    first = arrive([(1, 0, piece("a"), 1000), (1, 3, done, 1003), (1, 4, piece("after"), 1003), (2, 0, piece("x"), 1000), (2, 2, done, 1001), (3, 0, done, 1000),
+                    (4, 0, ": only a comment", 1000)])
+    assert first == {3: (None, "empty")}
+    assert arrive([(1, 1, ": keep-alive", 1001), (1, 2, piece("b"), 990)]) == {3: (None, "empty"), 1: ("ab", None)}
+    assert arrive([(9, 0, piece("y"), 5000)]) == {3: (None, "empty"), 1: ("ab", None), 2: (None, "timeout")}
+
+
 def test_every_sql_has_its_query():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
