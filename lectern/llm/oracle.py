@@ -67,4 +67,38 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.component_id, t.do
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = t.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_neighbours": OP3, "op4_ngram_join": OP4, "op8_url_filters": OP8}
+OP12 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+low AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM win JOIN low USING (g) WHERE lo < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+RUNS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP13 = f"""
+WITH d AS (SELECT doc_id, {RUNS} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest({RUNS}) AS x FROM benchmark),
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+kinds AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+hashed AS (SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) % 10000 AS bucket FROM kinds, steps),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (x) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (x) GROUP BY bucket),
+gain AS (SELECT b.range AS bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE)
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) b LEFT JOIN s ON s.bucket = b.range LEFT JOIN t ON t.bucket = b.range),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (x) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weights USING (doc_id)),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_neighbours": OP3, "op4_ngram_join": OP4, "op8_url_filters": OP8,
+                           "op12_factors": OP12, "op13_resampling": OP13}

@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import mixing, neighbours, ngram_join, outliers, packing, quality, repeats, suffix_tree, url_filters, warc
+from lectern.llm import (
+    factors, mixing, neighbours, ngram_join, outliers, packing, quality, repeats, resampling, suffix_tree, url_filters, warc, whitening)
 from lectern.llm.common import documents, read_table, remainder, shared_folder
 
 PAGE_RULES = (
@@ -71,8 +72,22 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 first principal components, scaled to variance one."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 13-word windows that documents with smaller ids hold."""
+    return factors.remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents drawn towards the words of the benchmark."""
+    return resampling.resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_mixing, op3_neighbours, op4_ngram_join, op5_packing, op6_outliers, op7_quality, op8_url_filters,
-        op9_repeats, op10_suffix_tree)}
-
+        op9_repeats, op10_suffix_tree, op11_whitening, op12_factors, op13_resampling)}
