@@ -509,13 +509,15 @@ sql("stream_annotations", "SELECT doc_id, color, sort_index, text, comment FROM
 sql("stream_grounding", f"""SELECT doc_id, claim_no, quote, {_at_page}, verified, false AS corrected,
     CASE WHEN verified THEN CAST(1 AS DOUBLE) END AS similarity, page FROM grounded_claims""")
 sql("streamed_answers", """SELECT conv_id AS request_id,
-      CASE WHEN ended AND conv_id % 3 = 0 AND content <> '' THEN content END AS content,
-      CASE WHEN NOT ended OR conv_id % 3 = 2 THEN 'timeout' WHEN conv_id % 3 = 1 THEN 'http' WHEN content = '' THEN 'empty' END AS error_kind,
-      CASE WHEN ended AND conv_id % 3 = 1 THEN 'overloaded' END AS detail
-    FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content, min(turn) = 0 AS ended FROM conversations GROUP BY conv_id)
-    WHERE (ended AND conv_id % 3 < 2) OR conv_id < (SELECT max(conv_id) FROM conversations)""")
-sql("stream_requests", f"""SELECT doc_id, 'default-model' AS model, true AS json_mode, CAST(length('{{"model":"default-model","messages":[{{"role":"user","content":'
+      CASE WHEN conv_id % 3 = 0 AND NOT lost AND content <> '' THEN content END AS content,
+      CASE WHEN lost OR conv_id % 3 = 2 THEN 'timeout' WHEN conv_id % 3 = 1 THEN 'http' WHEN content = '' THEN 'empty' END AS error_kind,
+      CASE WHEN conv_id % 3 = 1 THEN 'overloaded' END AS detail
+    FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content,
+      (conv_id % 15 = 0 AND max(turn) >= 1) OR (conv_id % 21 = 0 AND max(turn) >= 5) AS lost FROM conversations GROUP BY conv_id)
+    WHERE (NOT lost AND conv_id % 3 < 2) OR conv_id < (SELECT max(conv_id) FROM conversations)""")
+sql("stream_requests", f"""SELECT doc_id, 'default-model' AS model, true AS json_mode, CAST(length(body) AS INTEGER) AS body_chars, md5(body) AS body_md5
+    FROM (SELECT doc_id, '{{"model":"default-model","messages":[{{"role":"user","content":'
       || CAST(to_json({lit(_task + chr(10) + chr(10) + 'Paper metadata:' + chr(10))} || {lit(chr(10) + chr(10) + 'Paper text:' + chr(10))}
         || CASE WHEN length(text) <= {LIMIT} THEN text ELSE left(text, 900) || {lit(v.MIDDLE_MARKER)} || right(text, 600) END || {lit(_closing)}) AS VARCHAR)
-      || '}}],"temperature":0.2,"stream":true,"response_format":{{"type":"json_object"}}}}') AS INTEGER) AS body_chars
-    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+      || '}}],"temperature":0.2,"stream":true,"response_format":{{"type":"json_object"}}}}' AS body
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))""")

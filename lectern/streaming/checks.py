@@ -10,9 +10,19 @@ from lectern.plans.skew import shared_folder
 from lectern.streaming import answers, jobs
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of part files; its own file system tells which."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", place.getName()).parquet(sf_dir)
+
+
+REQUESTS = "doc_id bigint, endpoint string, model string, json_mode boolean, body string"
+GROUNDED = ("doc_id bigint, claim_no int, quote string, location string, verified boolean, corrected boolean, similarity double, "
+            "page int")
 
 
 def event_line(content: Column) -> Column:
@@ -24,26 +34,28 @@ def answers_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one streamed answer, each turn as one delta, an hour of event time apart.
 
     Conversations end by a done mark, an error event, or not at all, in turn; the last kind times out once event time
-    has moved on. The end's ``seq`` leaves a gap after the turns, so it orders the lines only.
+    has moved on, and so do those with a done mark whose second turn got lost (every fifteenth id) or which have a turn
+    each minute for longer than the overall limit (every twenty-first).
     """
-    turns = file_stream(spark, sf_dir, "conversations")
+    counts = derived.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    turns = table_stream(spark, sf_dir, "conversations").join(counts, "conv_id")
     kind = F.col("conv_id") % 3
     ending = F.when(kind == 0, F.lit("data: [DONE]")).when(
         kind == 1, F.lit('data: {"error":{"message":"overloaded"}}')).otherwise(F.lit(": keep-alive"))
-    lines = F.array(event_line(F.col("text")), F.when(F.col("turn") == 0, ending))
+    lines = F.array(event_line(F.col("text")), F.when(F.col("turn") == F.col("last"), ending))
     rows = turns.select("conv_id", "turn", F.posexplode(lines).alias("part", "line")).where(F.col("line").isNotNull())
+    rows = rows.where(~((F.col("conv_id") % 15 == 0) & (F.col("turn") == 1) & (F.col("part") == 0)))
+    pause = F.when(F.col("conv_id") % 21 == 0, 55).otherwise(1)
     stamped = rows.select(
-        F.col("conv_id").alias("request_id"), (F.col("turn") + F.col("part") * 1_000_000).alias("seq"), "line",
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn")).alias("ts"))
+        F.col("conv_id").alias("request_id"), (F.col("turn") + F.col("part")).cast("long").alias("seq"), "line",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * pause).alias("ts"))
     out = shared_folder(spark, "answers")
-    done = (answers.assemble(stamped, timeout_ms=60_000, numbered=False).writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{out}-progress").option("path", out).trigger(availableNow=True).start())
-    done.awaitTermination()
+    answers.write_answers(stamped, out, f"{out}-progress", idle_ms=60_000, overall_ms=240_000).awaitTermination()
     return spark.read.schema(answers.OUTPUT).parquet(out)
 
 
 def requests_for_new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = file_stream(spark, sf_dir, "documents")
+    docs = table_stream(spark, sf_dir, "documents")
     items = docs.select(
         "doc_id", F.concat(F.lit("K"), "doc_id").alias("item_key"), F.lit(None).cast("string").alias("file_path"),
         F.col("n_chars").alias("file_size"), F.lit(0).alias("modified_ms"), F.lit(1).alias("item_version"),
@@ -55,7 +67,8 @@ def requests_for_new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = jobs.request_new_documents(
         items, lambda: held, out, f"{out}-progress", cfg, lambda d: sections.with_condensed(d, cfg.max_input_chars))
     query.awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "model", "json_mode", F.length("body").alias("body_chars"))
+    rows = spark.read.schema(REQUESTS).parquet(out)
+    return rows.select("doc_id", "model", "json_mode", F.length("body").alias("body_chars"), F.md5("body").alias("body_md5"))
 
 
 def annotations_written_twice(spark: SparkSession, sf_dir: str, located: DataFrame, cfg: JobConfig) -> DataFrame:
@@ -69,9 +82,9 @@ def annotations_written_twice(spark: SparkSession, sf_dir: str, located: DataFra
 
 
 def claims_against_corpus(spark: SparkSession, sf_dir: str, corpus: DataFrame) -> DataFrame:
-    quoted = file_stream(spark, sf_dir, "documents").select(
+    quoted = table_stream(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(derived.quote_array(F.col("text"))).alias("claim_no", "q")).select(
         "doc_id", "claim_no", "q.quote", "q.location")
     out = shared_folder(spark, "grounded")
     jobs.ground_stream(quoted, corpus, out, f"{out}-progress", "claim_no").awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.schema(GROUNDED).parquet(out)

@@ -81,44 +81,69 @@ def test_store(spark, tmp_path):
     assert {int(r.cache_key) for r in evict(many).collect()} == set(range(5, 505))
 
 
-def test_streamed_answers_end_fail_or_time_out(spark, tmp_path):
-    schema = "request_id long, seq long, line string, ts timestamp"
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    piece = lambda s: 'data: {"choices":[{"delta":{"content":"%s"}}]}' % s
-
-    def arrive(rows):
-        spark.createDataFrame([(r, s, line, t) for r, s, line, t in rows], "request_id long, seq long, line string, t long").select(
-            "request_id", "seq", "line", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
-        lines = spark.readStream.schema(schema).parquet(source)
-        query = (answers.assemble(lines, 60_000).writeStream.format("parquet").outputMode("append").option("path", out)
-                 .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start())
-        query.awaitTermination()
+def piece(text):
+    return 'data: {"choices":[{"delta":{"content":"%s"}}]}' % text
 
-    arrive([(1, 0, piece("He"), 1000), (2, 0, piece("cut"), 1000), (3, 0, piece("x"), 1000)])
-    arrive([(1, 1, piece("llo"), 1010), (1, 2, "data: [DONE]", 1010), (3, 1, 'data: {"error":{"message":"bad"}}', 1010)])
-    arrive([(1, 3, piece("late"), 1020), (4, 0, piece("y"), 5000)])
-    got = {r.request_id: (r.content, r.error_kind, r.detail) for r in spark.read.schema(answers.OUTPUT).parquet(out).collect()}
-    assert got == {1: ("Hello", None, None), 2: (None, "timeout", None), 3: (None, "http", "bad")}
 
+DONE = "data: [DONE]"
 
-def test_streamed_answers_wait_for_lines_before_the_end_mark(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    piece = lambda s: 'data: {"choices":[{"delta":{"content":"%s"}}]}' % s
 
-    def arrive(rows):
+def stream(spark, folder, batches, idle_ms=60_000, overall_ms=600_000, delay="0 seconds"):
+    """Answers after each batch of (request, seq, line, second); each batch is a run of the stream that goes on from the last."""
+    out, told = f"{folder}/out", []
+    for rows in batches:
         spark.createDataFrame(rows, "request_id long, seq long, line string, t long").select(
-            "request_id", "seq", "line", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
-        lines = spark.readStream.schema("request_id long, seq long, line string, ts timestamp").parquet(source)
-        (answers.assemble(lines, 60_000, "60 seconds").writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()).awaitTermination()
-        return {r.request_id: (r.content, r.error_kind) for r in spark.read.schema(answers.OUTPUT).parquet(out).collect()}
-
-    done = "data: [DONE]"
-    first = arrive([(1, 0, piece("a"), 1000), (1, 3, done, 1003), (1, 4, piece("after"), 1003), (2, 0, piece("x"), 1000), (2, 2, done, 1001), (3, 0, done, 1000),
-                    (4, 0, ": only a comment", 1000)])
-    assert first == {3: (None, "empty")}
-    assert arrive([(1, 1, ": keep-alive", 1001), (1, 2, piece("b"), 990)]) == {3: (None, "empty"), 1: ("ab", None)}
-    assert arrive([(9, 0, piece("y"), 5000)]) == {3: (None, "empty"), 1: ("ab", None), 2: (None, "timeout")}
+            "request_id", "seq", "line", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        lines = spark.readStream.schema("request_id long, seq long, line string, ts timestamp").parquet(f"{folder}/in")
+        answers.write_answers(lines, out, f"{folder}/progress", idle_ms, overall_ms, delay).awaitTermination()
+        found = spark.read.schema(answers.OUTPUT).parquet(out).collect()
+        told.append({r.request_id: (r.content, r.error_kind, r.detail) for r in found})
+        assert len(found) == len(told[-1])
+    return told
+
+
+def test_streamed_answers_end_fail_or_time_out(spark, tmp_path):
+    got = stream(spark, tmp_path, [
+        [(1, 0, piece("He"), 1000), (2, 0, piece("cut"), 1000), (3, 0, piece("x"), 1000)],
+        [(1, 1, piece("llo"), 1010), (1, 2, DONE, 1010), (3, 1, 'data: {"error":{"message":"bad"}}', 1010)],
+        [(1, 3, piece("late"), 1020), (4, 0, piece("y"), 5000)]])
+    assert got == [{}, {1: ("Hello", None, None), 3: (None, "http", "bad")},
+                   {1: ("Hello", None, None), 2: (None, "timeout", None), 3: (None, "http", "bad")}]
+
+
+def test_streamed_answers_wait_for_lines_before_the_end_mark(spark, tmp_path):
+    empty = (None, "empty", None)
+    got = stream(spark, tmp_path, [
+        [(1, 0, piece("a"), 1000), (1, 3, DONE, 1003), (1, 4, piece("after"), 1003), (2, 0, piece("x"), 1000), (2, 2, DONE, 1001), (3, 0, DONE, 1000),
+         (4, 0, ": only a comment", 1000)],
+        [(1, 2, piece("c"), 990), (1, 0, piece("a"), 1000)],
+        [(1, 1, ": keep-alive", 1001)],
+        [(9, 0, piece("y"), 5000)]], delay="60 seconds")
+    assert got == [{3: empty}, {3: empty}, {3: empty, 1: ("ac", None, None)}, {3: empty, 1: ("ac", None, None), 2: (None, "timeout", None)}]
+
+
+def test_streamed_answers_have_an_overall_limit(spark, tmp_path):
+    """Request 1 gets a piece each 50 seconds and is never idle; 2 ends just in time."""
+    dribble = [[(1, k, piece("x"), 1000 + 50 * k)] for k in range(7)]
+    dribble[0] += [(2, 0, piece("b"), 1000)]
+    dribble[3] += [(2, 1, piece("e"), 1150)]
+    dribble[4] += [(2, 2, DONE, 1199)]
+    got = stream(spark, tmp_path, dribble, overall_ms=200_000)
+    # 2 has no event for longer than the idle limit
+    assert got[3] == {2: (None, "timeout", None)} and got[6] == {2: (None, "timeout", None), 1: (None, "timeout", None)}
+    late = [(3, 0, piece("c"), 1000), (3, 1, DONE, 1201), (4, 0, piece("d"), 1000), (4, 1, DONE, 1200), (9, 0, piece("y"), 5000)]
+    (once,) = stream(spark, f"{tmp_path}/once", [late], overall_ms=200_000)
+    assert once == {3: (None, "timeout", None), 4: ("d", None, None)}
+
+
+def test_streams_read_files_and_folders_alike(spark, tmp_path):
+    from lectern.plans.catalog import QUERIES
+    for name in ("conversations", "documents", "labels"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows.repartition(5).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("streamed_answers", "stream_requests", "stream_grounding"):
+        one, other = (sorted(map(str, QUERIES[name](spark, folder).collect())) for folder in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one and one == other
 
 
 def test_every_sql_has_its_query():
