@@ -87,4 +87,4 @@ def claims_against_corpus(spark: SparkSession, sf_dir: str, corpus: DataFrame) -
         "doc_id", "claim_no", "q.quote", "q.location")
     out = shared_folder(spark, "grounded")
     jobs.ground_stream(quoted, corpus, out, f"{out}-progress", "claim_no").awaitTermination()
-    return spark.read.schema(GROUNDED).parquet(out)
+    return spark.read.schema(GROUNDED).parquet(out).drop("batch_id")
