@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from lectern import values as v
 from lectern.functions import kernels
+from lectern.functions.arrays import let
 
 WS = v.WS_CLASS
 
@@ -71,6 +72,20 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+def strict_json(text: Column) -> Column:
+    """A JSON text as a variant, null where it is none or where anything but blanks follows its value.
+
+    The built-in parser stops after the first value. Here the text is the first element of a list that a hash of it closes,
+    so the list can be read to that hash only if the text is one whole value.
+    """
+    seal = F.md5(text)
+
+    def first(sealed: Column) -> Column:
+        return F.when(F.try_variant_get(sealed, "$[1]", "string") == seal, F.try_variant_get(sealed, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))), first)
+
+
 def zero_pad(number: Column, width: int) -> Column:
     """Left zero padding that also cuts to ``width``."""
     return F.lpad(number.cast("string"), width, "0")

@@ -42,7 +42,7 @@ def stream_answer(body: Column) -> Column:
     payloads = F.filter(
         F.transform(data_lines, lambda line: t.trim_ws(F.substring(line, 6, 2_147_483_647))),
         lambda data: (data != "") & (data != "[DONE]"))
-    events = F.filter(F.transform(payloads, F.try_parse_json), lambda e: e.isNotNull())
+    events = F.filter(F.transform(payloads, t.strict_json), lambda e: e.isNotNull())
     return let(events, lambda es: F.struct(
         F.array_join(F.transform(es, event_piece), "").alias("content"),
         at(F.filter(F.transform(es, event_error), lambda m: m.isNotNull()), F.lit(0)).alias("error")))
@@ -50,14 +50,14 @@ def stream_answer(body: Column) -> Column:
 
 def plain_answer(body: Column) -> Column:
     """struct(content, readable) of an ordinary JSON body; three places may hold the content."""
-    return let(F.try_parse_json(body), lambda doc: F.struct(
+    return let(t.strict_json(body), lambda doc: F.struct(
         F.coalesce(_string_at(doc, "$.choices[0].message.content"), _string_at(doc, "$.choices[0].text"),
                    _string_at(doc, "$.content"), F.lit("")).alias("content"),
         doc.isNotNull().alias("readable")))
 
 
 def error_detail(body: Column) -> Column:
-    return let(F.try_parse_json(body), lambda doc: F.coalesce(
+    return let(t.strict_json(body), lambda doc: F.coalesce(
         F.nullif(_string_at(doc, "$.error.message"), F.lit("")), F.nullif(_string_at(doc, "$.message"), F.lit("")),
         F.substring(body, 1, v.ERROR_DETAIL_CHARS)))
 

@@ -17,7 +17,7 @@ HEADINGS = ("Abstract", "1 Introduction", "2 Related Work", "3 Methods", "3.1 De
             "Limitations:", "第六章 结论", "Acknowledgments", "References", "Appendix A")
 SENTENCE = "[^.!?]+[.!?]?"
 ANSWER_PIECE = 40
-ODD_TEXT = r"[\[\]{}\"\\]"
+SPREAD = 16
 CHARS_PER_LINE = 80
 
 
@@ -102,6 +102,13 @@ def claims(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
         "doc_id", "claim_no", "q.quote", "q.location")
 
 
+def spread_out(items: Column) -> Column:
+    """All items, those that lie evenly over the whole list first."""
+    step = F.greatest(F.lit(1), F.ceil(F.size(items) / SPREAD).cast("int"))
+    order = F.array_sort(F.transform(items, lambda q, j: F.struct((j % step).alias("turn"), j.alias("at"), q.alias("item"))))
+    return F.transform(order, lambda s: s["item"])
+
+
 def answer_struct(text: Column, altered: str = "") -> Column:
     """A model's answer about a document, built from its own sentences (more evidence and highlights than are kept)."""
     def build(qs: Column) -> Column:
@@ -124,7 +131,7 @@ def answer_struct(text: Column, altered: str = "") -> Column:
             q["quote"].alias("quote")))
         return F.struct(*[category(i).alias(c) for i, c in enumerate(v.CATEGORIES)], highlights.alias("highlights"))
 
-    return let(quote_array(text, altered), build)
+    return let(quote_array(text, altered), lambda qs: let(spread_out(qs), build))
 
 
 def model_name(doc_id: Column) -> Column:
@@ -132,10 +139,9 @@ def model_name(doc_id: Column) -> Column:
 
 
 def answers(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFrame:
-    """doc_id, model, answer (JSON text), odd (the text has brackets or quotes, which a cut-off answer isn't closed over)."""
+    """doc_id, model, answer (JSON text)."""
     return table(spark, sf_dir, "documents").select(
-        "doc_id", model_name(F.col("doc_id")).alias("model"), F.to_json(answer_struct(F.col("text"), altered)).alias("answer"),
-        F.col("text").rlike(ODD_TEXT).alias("odd"))
+        "doc_id", model_name(F.col("doc_id")).alias("model"), F.to_json(answer_struct(F.col("text"), altered)).alias("answer"))
 
 
 def chat_json(content: Column) -> Column:
@@ -152,7 +158,7 @@ def response_log(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFra
     content = (
         F.when(form == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
         .when(form == 2, F.concat(F.lit("Here it is:\n"), answer, F.lit("\nDone.")))
-        .when((form == 3) & ~F.col("odd"), F.substring(answer, F.lit(1), F.length(answer) - 2))
+        .when(form == 3, F.substring(answer, F.lit(1), F.length(answer) - 2))
         .when(form == 5, F.lit("There is nothing to report.")).otherwise(answer))
     count = F.ceil(F.length(answer) / ANSWER_PIECE).cast("int")
     lines = let(answer, lambda whole: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(
@@ -186,7 +192,7 @@ def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", message("upstream rejected request"))
         .when(kind == "error", message("no available channel for this model"))
         .when(kind == "signup", F.lit("bad key")).when(F.col("value") < 5, F.lit('{"choices":[]}'))
-        .when(F.col("value") < 10, F.lit("<html>")).otherwise(F.lit('{"content":"{}"}')).alias("body"),
+        .when(F.col("value") < 10, F.lit("<html>")).when(F.col("value") < 15, F.lit('{"content":"{}"} and more')).otherwise(F.lit('{"content":"{}"}')).alias("body"),
         F.when((kind == "view") & (F.col("value") > 60), F.lit("timeout")).alias("failure"))
 
 

@@ -177,7 +177,8 @@ CTES = {
       UNION ALL
       SELECT doc_id, 4, 0, j, q FROM (SELECT doc_id, unnest(qs) AS q, generate_subscripts(qs, 1) - 1 AS j FROM quote_lists) WHERE j < 12""",
     "quote_lists": """SELECT d.doc_id, coalesce(qs, []) AS qs FROM documents d LEFT JOIN (
-        SELECT doc_id, list({'quote': quote, 'location': location} ORDER BY claim_no) AS qs FROM claims GROUP BY doc_id) USING (doc_id)""",
+        SELECT doc_id, list({'quote': quote, 'location': location} ORDER BY claim_no % step, claim_no) AS qs
+        FROM (SELECT *, greatest(1, (count(*) OVER (PARTITION BY doc_id) + 15) // 16) AS step FROM claims) GROUP BY doc_id) USING (doc_id)""",
     "findings_f": """SELECT doc_id, category, category_ord,
         CAST(row_number() OVER (PARTITION BY doc_id ORDER BY category_ord, kind, k) - 1 AS INTEGER) AS ord, kind = 0 AS is_primary,
         CASE WHEN category_ord = 4 THEN 'Point ' || (k + 1) END AS title,
@@ -319,8 +320,8 @@ _answer = "to_json({%s, 'highlights': list_transform(qs, lambda q, j: {'title':
                 for k, x in enumerate((i + 4, i, i + 8, i + 12))) + "]}" for i, c in enumerate(v.CATEGORIES))
 sql("assembled_answers", f"""SELECT doc_id AS request_id, CAST(NULL AS VARCHAR) AS error_kind,
     CASE doc_id % 6 WHEN 1 THEN '```json' || chr(10) || a || chr(10) || '```' WHEN 2 THEN 'Here it is:' || chr(10) || a || chr(10) || 'Done.'
-      WHEN 3 THEN CASE WHEN odd THEN a ELSE left(a, length(a) - 2) END WHEN 5 THEN 'There is nothing to report.' ELSE a END AS content
-    FROM (SELECT doc_id, CAST({_answer} AS VARCHAR) AS a, regexp_matches(text, {lit(derived.ODD_TEXT)}) AS odd FROM quote_lists JOIN documents USING (doc_id))""")
+      WHEN 3 THEN left(a, length(a) - 2) WHEN 5 THEN 'There is nothing to report.' ELSE a END AS content
+    FROM (SELECT doc_id, CAST({_answer} AS VARCHAR) AS a FROM quote_lists)""")
 _count = lambda c: f"CAST(count(*) FILTER (category = '{c}' AND NOT is_primary) AS INTEGER) AS {c}_evidence"
 sql("normalised_results", "SELECT doc_id, " + ", ".join(
     f"max(quote) FILTER (category = '{c}' AND is_primary) AS {c}_quote, {_count(c)}" for c in v.CATEGORIES)
@@ -329,7 +330,7 @@ sql("findings_flat", "SELECT * FROM findings_f")
 _log = """SELECT event_id, user_id, 'https://host-' || (user_id % 50) || '.example/v1' AS endpoint, user_id % 2 = 0 AS json_mode, event_type,
     value, CASE event_type WHEN 'click' THEN 400 WHEN 'signup' THEN 401 WHEN 'error' THEN 503 WHEN 'purchase' THEN 400 ELSE 200 END AS status,
     CASE WHEN event_type = 'view' AND value > 60 THEN 'timeout' WHEN event_type <> 'view' THEN 'http'
-      WHEN value < 5 THEN 'empty' WHEN value < 10 THEN 'http' END AS error_kind,
+      WHEN value < 5 THEN 'empty' WHEN value < 15 THEN 'http' END AS error_kind,
     CASE event_type WHEN 'click' THEN 'Unknown parameter: response_format' WHEN 'purchase' THEN 'upstream rejected request'
       WHEN 'error' THEN 'no available channel for this model' WHEN 'signup' THEN 'bad key' END AS detail,
     CASE event_type WHEN 'purchase' THEN 'content-review' WHEN 'error' THEN 'model-unavailable' WHEN 'signup' THEN 'bad-key' END AS hint FROM events"""

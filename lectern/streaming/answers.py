@@ -20,7 +20,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     held = F.coalesce(F.startswith("line", F.lit("data:")) & (F.col("_data") != ""), F.lit(False))
     events = (
         lines.withColumn("_data", data).withColumn("done", held & (F.col("_data") == "[DONE]"))
-        .withColumn("_event", F.when(held & ~F.col("done"), F.try_parse_json("_data")))
+        .withColumn("_event", F.when(held & ~F.col("done"), t.strict_json("_data")))
         .withColumn("counts", F.col("done") | F.col("_event").isNotNull())
     )
     return events.select(

@@ -32,6 +32,18 @@ def test_answers_and_triage(spark):
     assert got[11].error_kind == "timeout"
 
 
+def test_text_after_a_json_value_makes_a_body_unreadable(spark):
+    bodies = ['{"content":"a"}', ' {"content":"a"}\n ', '{"content":"a"} junk', '{"content":"a"},{"content":"b"}', '{"content":"a"}]', '', '[{"content":"a"}',
+              '{"content":"a"} {"content":"b"}', '{"content":"b]\\"["}']
+    df = log(spark, [(i, "e", 1, True, 200, "application/json", b, None) for i, b in enumerate(bodies)])
+    got = {r.request_id: (r.content, r.error_kind) for r in responses.read_answers(df).collect()}
+    unread = (None, "http")
+    assert [got[i] for i in range(9)] == [("a", None), ("a", None), unread, unread, unread, unread, unread, unread, ('b]"[', None)]
+    lines = ['data: {"choices":[{"text":"x"}]} junk', 'data: {"choices":[{"text":"y"}]}', "data: [DONE]"]
+    sse = log(spark, [(1, "e", 1, True, 200, "text/event-stream", "\n".join(lines), None)])
+    assert responses.read_answers(sse).first().content == "y"
+
+
 def test_retries(spark):
     df = log(spark, [
         (1, "a", 1, True, 400, "", "Unknown parameter", None), (1, "a", 2, False, 200, "", "{}", None),
