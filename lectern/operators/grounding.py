@@ -17,10 +17,16 @@ MATCH_TYPE = T.StructType([
 
 @F.pandas_udf(MATCH_TYPE)
 def source_match_udf(sources: pd.Series, needles: pd.Series) -> pd.DataFrame:
-    """Source wording for a canonical needle; null sources are skipped."""
-    rows = []
+    """Source wording for a canonical needle; null sources are skipped.
+
+    Claims of one document follow each other, so its canonical form is made once for all of them.
+    """
+    rows, held = [], None
     for source, needle in zip(sources, needles):
-        hit = kernels.source_match(source, needle) if source is not None and needle is not None else None
+        hit = None
+        if source is not None and needle is not None:
+            held = held if held is not None and held.text == source else kernels.Source(source)
+            hit = held.match(needle)
         rows.append((hit[0], kernels.canon_text(hit[0]), hit[1], hit[2]) if hit else (None, None, None, None))
     return pd.DataFrame(rows, columns=["text", "canon", "exact", "similarity"])
 

@@ -5,7 +5,10 @@ line_break_after>>``. Pages without character data are absent or have null ``cha
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lectern import values as v
@@ -111,21 +114,16 @@ def near_span_udf(hays: pd.Series, needles: pd.Series) -> pd.DataFrame:
         "stop": pd.array([s[1] if s else None for s in spans], dtype="Int32")})
 
 
-def _page_spans(pairs: DataFrame, hinted: bool, keep: list[str]) -> DataFrame:
-    """Matching (needle, page) pairs: ``keep``, page_index, mode, start, stop (canonical positions)."""
+def _page_spans(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Matches of needles on their hinted page: ``keep``, page_index, mode, start, stop (canonical positions)."""
     first = F.call_function("locate", F.col("needle"), F.col("text"))
-    again = F.call_function("locate", F.col("needle"), F.col("text"), first + 1)
     size = F.length("needle")
     missing = (first == 0) & (size >= v.MIN_FUZZY_CHARS)
     narrow = pairs.select(
-        *keep, "needle", "page_index", first.alias("_first"),
-        (F.lit(not hinted) & (first > 0) & (again > 0)).alias("_repeated"),
-        F.when(missing, F.col("text")).alias("_text"))
+        *keep, "needle", "page_index", first.alias("_first"), F.when(missing, F.col("text")).alias("_text"))
     # explode keeps the filter below from running the kernel a second time
     near = narrow.withColumn("_found", near_span_udf("_text", "needle")).withColumn("_near", F.explode(F.array("_found")))
-    mode = (
-        F.when(F.col("_repeated"), "ambiguous").when(F.col("_first") > 0, "exact")
-        .when(F.col("_near.start").isNotNull(), "fuzzy"))
+    mode = F.when(F.col("_first") > 0, "exact").when(F.col("_near.start").isNotNull(), "fuzzy")
     exact = F.col("_first") > 0
     return near.withColumn("mode", mode).where(F.col("mode").isNotNull()).select(
         *keep, "page_index", "mode",
@@ -133,36 +131,114 @@ def _page_spans(pairs: DataFrame, hinted: bool, keep: list[str]) -> DataFrame:
         F.when(exact, F.col("_first") - 1 + size).otherwise(F.col("_near.stop")).alias("stop"))
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as shuffles have. Left to itself Spark joins small partitions by bytes, but these are read by costly work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+#: Spans that meet one copy of a page's boxes.
+PAGE_SPANS = 1000
+
+
 def _with_rects(spans: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
-    """Rectangles for spans; spans without sound boxes disappear, ambiguous ones stay as they are."""
-    joined = spread_join(spans, boxes, ["doc_id", "page_index"], F.xxhash64(*keep))
-    located = F.col("mode") != "ambiguous"
-    first = F.when(located, at(F.col("offsets"), F.col("start")))
-    last = F.when(located, at(F.col("offsets"), F.col("stop") - 1))
-    found = F.struct(first.alias("first"), F.when(located, merged_rects(F.col("chars"), first, last)).alias("rects"))
-    # explode keeps the fold from being evaluated again by a filter and by each use of its result
-    sound = F.filter(F.array(found), lambda f: ~located | f["rects"].isNotNull())
-    return joined.select(*keep, "page_index", "view_top", "mode", F.explode(sound).alias("f")).select(
-        *keep, "page_index", "mode", "f.rects",
+    """Rectangles for spans (a written table); spans without sound boxes disappear, ambiguous ones stay as they are.
+
+    A page's boxes travel once for all its spans; those of a page with very many are dealt to several copies of it.
+    """
+    counts = spans.groupBy("doc_id", "page_index").agg(F.ceil(F.count(F.lit(1)) / PAGE_SPANS).cast("long").alias("_slots")).where("_slots > 1")
+    slot = F.pmod(F.xxhash64(*keep), F.coalesce("_slots", F.lit(1)))
+    one = F.struct(F.struct(*[c for c in keep if c != "doc_id"]).alias("id"), "mode", "start", "stop")
+    page = ["doc_id", "page_index"]
+    asked = _dealt(spans.join(counts, page, "left").withColumn("_slot", slot), *page, "_slot").groupBy(*page, "_slot").agg(F.collect_list(one).alias("asked"))
+
+    def found(s: Column) -> Column:
+        located = s["mode"] != "ambiguous"
+        first = F.when(located, at(F.col("offsets"), s["start"]))
+        last = F.when(located, at(F.col("offsets"), s["stop"] - 1))
+        return F.struct(s["id"].alias("id"), s["mode"].alias("mode"), first.alias("first"),
+                        F.when(located, merged_rects(F.col("chars"), first, last)).alias("rects"))
+
+    sound = F.filter(F.transform("asked", found), lambda f: (f["mode"] == "ambiguous") | f["rects"].isNotNull())
+    copies = boxes.join(counts, page, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)).cast("long") - 1))).drop("_slots")
+    joined = asked.join(copies, [*page, "_slot"])
+    return joined.select(*page, "view_top", F.explode(sound).alias("f")).select(
+        "doc_id", *[F.col(f"f.id.{c}").alias(c) for c in keep if c != "doc_id"], "page_index", "f.mode", "f.rects",
         sort_index(F.col("page_index"), F.col("f.first"), F.col("view_top"), F.col("f.rects")).alias("sort_index"))
 
 
-def _search(needles: DataFrame, texts: DataFrame, boxes: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+def document_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, pages array<struct<page_index, text>>: all page texts of a document in one row."""
+    return pages.groupBy("doc_id").agg(F.collect_list(F.struct("page_index", "text")).alias("pages"))
+
+
+def _page_hits(near: bool):
+    """Spans of many needles of a document on all its pages: exact ones, and near ones of needles without any (or only near ones)."""
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, pages, modes, starts, stops = [], [], [], [], []
+            held = batch.column("asked")
+            firsts = held.offsets.to_pylist()
+            asked = held.flatten() if len(held) else held.values
+            ids = asked.field("id").to_pylist()
+            needles, without = asked.field("needle").to_pylist(), asked.field("without").to_pylist()
+            base = firsts[0] if firsts else 0
+            for k, document in enumerate(batch.column("pages").to_pylist()):
+                at, to = firsts[k] - base, firsts[k + 1] - base
+                index = kernels.PageIndex([(p["page_index"], p["text"]) for p in document])
+                exact = [[]] * (to - at) if near else index.exact(needles[at:to])
+                for i, places in zip(range(at, to), exact, strict=True):
+                    spans = [(page, "ambiguous" if again else "exact", start, start + len(needles[i])) for page, start, again in places]
+                    if not spans:
+                        spans = [(page, "fuzzy", start, stop) for page, start, stop in index.near(needles[i], set(without[i] or ()))]
+                    for page, mode, start, stop in spans:
+                        rows.append(ids[i])
+                        pages.append(page)
+                        modes.append(mode)
+                        starts.append(start)
+                        stops.append(stop)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, asked.field("id").type), pa.array(pages, pa.int32()), pa.array(modes, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
+                names=["id", "page_index", "mode", "start", "stop"])
+    return hits
+
+
+def _all_page_spans(needles: DataFrame, documents: DataFrame, keep: list[str], hot: DataFrame, near: bool = False) -> DataFrame:
+    """``keep``, page_index, mode, start, stop of every page of the document that holds the needle.
+
+    Needles go to their document together, so its text travels once and is read once for all of them; those of a document
+    with very many are dealt to several copies of it. ``near``: pages in ``without`` are left out and only near matches are looked for.
+    """
+    slot = F.pmod(F.xxhash64(*keep, "needle"), F.coalesce("_slots", F.lit(1)).cast("long"))
+    one = F.struct(F.struct(*keep).alias("id"), "needle", F.col("without") if near else F.lit(None).cast("array<int>").alias("without"))
+    asked = needles.join(F.broadcast(hot), "doc_id", "left").withColumn("_slot", slot)
+    asked = _dealt(asked, "doc_id", "_slot").groupBy("doc_id", "_slot").agg(F.collect_list(one).alias("asked"))
+    schema = T.StructType([T.StructField("id", T.StructType([needles.schema[c] for c in keep])), T.StructField("page_index", T.IntegerType()),
+                           T.StructField("mode", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    found = asked.join(documents, "doc_id").select("pages", "asked").mapInArrow(_page_hits(near), schema)
+    return found.select("id.*", "page_index", "mode", "start", "stop")
+
+
+def _search(needles: DataFrame, texts: DataFrame, documents: DataFrame, boxes: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
     """Location per needle: hinted page first, then the page rules over all pages of the document.
 
     Spans are stored before the boxes are joined: they are a few numbers per quote, and reading them is cheaper
-    than matching again. ``hot``: documents with very many needles.
+    than matching again. Exact matches settle a needle before any near match is looked for; only where none of them has sound
+    boxes the other pages are searched for near ones. ``hot``: documents with very many needles.
     """
     keep = ["doc_id", *key]
     hint = needles.where(F.col("page") > 0).withColumn("page_index", F.col("page") - 1)
     on_hint = spread_join(hint, texts, ["doc_id", "page_index"], F.xxhash64(*keep))
-    hint_spans = cut_lineage(_page_spans(on_hint, True, keep))
+    hint_spans = cut_lineage(_page_spans(on_hint, keep))
     hinted = cut_lineage(
         _with_rects(hint_spans, boxes, keep).withColumn("fuzzy", F.col("mode") == "fuzzy").drop("mode"))
 
-    rest = needles.join(hinted.select(*keep), keep, "left_anti").drop("page")
-    everywhere = spread_join(rest, texts, ["doc_id"], F.xxhash64(*keep), hot=hot)
-    hits = _with_rects(cut_lineage(_page_spans(everywhere, False, keep)), boxes, keep)
+    rest = cut_lineage(needles.join(hinted.select(*keep), keep, "left_anti").drop("page"))
+    spans = cut_lineage(_all_page_spans(rest, documents, keep, hot))
+    hits = cut_lineage(_with_rects(spans, boxes, keep))
+    unsound = spans.where("mode = 'exact'").join(hits, keep, "left_anti").groupBy(*keep).agg(F.collect_set("page_index").alias("without"))
+    unsound = cut_lineage(rest.join(unsound, keep))
+    if not unsound.isEmpty():
+        hits = hits.unionByName(_with_rects(cut_lineage(_all_page_spans(unsound, documents, keep, hot, near=True)), boxes, keep))
     place = F.struct("page_index", "rects", "sort_index")
     # Whatever the page order, an ambiguous page or a second exact page means no location.
     scanned = hits.groupBy(*keep).agg(
@@ -185,13 +261,14 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     A long quote found nowhere is tried by its first, then its last 55 %.
     """
     texts = pages.select("doc_id", "page_index", "text")
+    documents = cut_lineage(document_pages(pages))
     boxes = pages.select("doc_id", "page_index", "view_top", "chars", "offsets")
     keep = ["doc_id", *key]
     needles = cut_lineage(
         findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("needle"))
         .where(F.length("needle") >= v.MIN_MATCH_CHARS))
     hot = hot_keys(needles, ["doc_id"])
-    whole = cut_lineage(_search(needles, texts, boxes, key, hot)).withColumn("partial", F.lit(False))
+    whole = cut_lineage(_search(needles, texts, documents, boxes, key, hot)).withColumn("partial", F.lit(False))
 
     cut = F.floor(F.length("needle") * F.lit(v.PARTIAL_SHARE)).cast("int")
     parts = (
@@ -202,7 +279,7 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     parts = cut_lineage(parts)
     if parts.isEmpty():
         return whole
-    partial = _search(parts, texts, boxes, [*key, "part"], hot)
+    partial = _search(parts, texts, documents, boxes, [*key, "part"], hot)
     place = F.struct("page_index", "rects", "sort_index", "fuzzy")
     first_part = partial.groupBy(*keep).agg(F.min_by(place, "part").alias("at")).select(
         *keep, "at.*", F.lit(True).alias("partial"))

@@ -108,5 +108,16 @@ def test_export_checks_and_markup(spark, located):
 
 def test_the_near_kernel_is_planned_once_a_pass(spark):
     pairs = spark.createDataFrame([(1, 1, "a needle that is long enough", 0, "page text")], "doc_id long, n int, needle string, page_index int, text string")
-    plan = locate._page_spans(pairs, False, ["doc_id", "n"])._jdf.queryExecution().executedPlan().toString()
+    plan = locate._page_spans(pairs, ["doc_id", "n"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_exact_on_an_unsound_page_leaves_near_matches_elsewhere(spark):
+    long_quote = "the keeper wrote the same line in every book he was ever given to fill"
+    broken = [c[:2] + (float("nan"),) + c[3:] for c in chars("xx " + long_quote)]
+    near = long_quote.replace("same line", "sane line")
+    got = place(spark, [(long_quote, 0), (long_quote, 1), (QUOTE, 0)], [broken, "yy " + near, near, QUOTE])
+    assert (got[0].page_index, got[0].fuzzy, got[1].page_index, got[2].page_index) == (1, True, 1, 3)
+    # the page with unsound boxes is no match, so one sound exact page is no tie
+    got = place(spark, [(long_quote, 0)], [broken, near, long_quote])[0]
+    assert (got.page_index, got.fuzzy) == (2, False)
