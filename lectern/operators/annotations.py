@@ -81,10 +81,15 @@ def annotation_stats(findings: DataFrame, located: DataFrame, created: DataFrame
         (F.col("asked") - F.col("placed")).alias("skipped"), "failed", "errors")
 
 
+def note_place() -> Column:
+    """Boxes of a guide note: one at the corner of the first page."""
+    return F.array(F.struct(*[F.lit(float(n)).alias(c) for c, n in zip(("x0", "y0", "x1", "y1"), v.NOTE_BOX, strict=True)]))
+
+
 def new_guide_notes(guides: DataFrame, stored: DataFrame, cfg: JobConfig) -> DataFrame:
     """Guide notes (doc_id, comment) not yet stored under our tag with the same comment."""
     ours = stored.where(F.array_contains("tags", cfg.owner_tag)).select("doc_id", "comment")
     return guides.distinct().join(ours, ["doc_id", "comment"], "left_anti").select(
         "doc_id", F.lit("note").alias("type"), F.lit(v.CATEGORY_TABLE[0][1]).alias("color"),
-        F.lit("00000|000000|00000").alias("sort_index"), "comment", F.lit("1").alias("page_label"),
+        F.lit("00000|000000|00000").alias("sort_index"), F.lit(0).alias("page_index"), note_place().alias("rects"), "comment", F.lit("1").alias("page_label"),
         F.array(F.lit(cfg.owner_tag)).alias("tags"))

@@ -61,6 +61,13 @@ def parse_reader_pages(df: DataFrame, texts: str = "page_texts") -> DataFrame:
     )
 
 
+def from_page_rows(rows: DataFrame) -> DataFrame:
+    """Page rows of a reader (doc_id, page_index, text) -> doc_id, page_texts in page order; of a repeated page the first text."""
+    once = rows.groupBy("doc_id", "page_index").agg(F.min("text").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_index", "text")))
+    return once.groupBy("doc_id").agg(ordered.alias("_rows")).select("doc_id", F.transform("_rows", lambda r: r["text"]).alias("page_texts"))
+
+
 DOC_COLUMNS = ["pages", "full_text", "has_page_info", "method", "marked"]
 
 

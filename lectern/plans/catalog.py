@@ -12,15 +12,16 @@ from lectern.functions import text as t
 from lectern.operators import (annotations, corpus, export, findings, grounding, locate, pages, reports, requests,
                                responses, sections, selection)
 from lectern.plans import derived, reading
-from lectern.plans.skew import cut_lineage
+from lectern.plans.skew import cut_lineage, shared_folder
 from lectern.session import without_call_sites
-from lectern.sources import store
-from lectern.streaming import checks as stream_checks
+from lectern.sources import store, tables
+from lectern.streaming import checks as stream_checks, jobs as stream_jobs
 
 without_call_sites()
 
 CFG = JobConfig()
 SECTION_LIMIT = 1500
+SMALL_STORE = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -113,6 +114,15 @@ def reader_pages_first(spark, sf):
         "doc_id", "method", "marked", F.size("pages").alias("n_pages"), "full_text")
 
 
+@query
+def reader_page_rows(spark, sf):
+    """Reader pages that come as one row each."""
+    raw = derived.raw_papers(spark, sf)
+    rows = raw.where(F.col("lang") == "en").select("doc_id", F.posexplode(F.split("raw_text", "\f")).alias("page_index", "text"))
+    return pages.parse_documents(raw.select("doc_id", "raw_text", "total_pages"), pages.from_page_rows(rows))[0].select(
+        "doc_id", "method", "marked", F.size("pages").alias("n_pages"), "full_text")
+
+
 @query
 def metadata_text(spark, sf):
     docs = derived.table(spark, sf, "documents")
@@ -475,7 +485,8 @@ def guide_notes(spark, sf):
     guides = docs.select("doc_id", F.concat(F.lit("guide "), "source").alias("comment"))
     stored = docs.where(F.col("lang") == "en").select(
         "doc_id", F.concat(F.lit("guide "), "source").alias("comment"), F.array(F.lit(CFG.owner_tag)).alias("tags"))
-    return annotations.new_guide_notes(guides.unionByName(guides), stored, CFG).withColumn("tags", F.array_join("tags", ","))
+    return annotations.new_guide_notes(guides.unionByName(guides), stored, CFG).withColumn("tags", F.array_join("tags", ",")).withColumn(
+        "rects", _rect_text("rects"))
 
 
 # --- selection and store -------------------------------------------------------------------------------------
@@ -538,7 +549,66 @@ def cache_upsert(spark, sf):
 
 @query
 def cache_evict(spark, sf):
-    return store.evict(store.latest_per_key(derived.store_entries(spark, sf)))
+    """A store that is too small for all keys keeps the newest."""
+    return store.evict(store.latest_per_key(derived.store_entries(spark, sf)), SMALL_STORE)
+
+
+@query
+def forced_documents(spark, sf):
+    """Stored results count for nothing when a run is forced."""
+    items = _keyed_items(spark, sf)
+    return selection.pending(items, items, force=True).select("doc_id", "cache_key")
+
+
+@query
+def stored_results(spark, sf):
+    """Grounded results written to a result store in two overlapping halves and read back."""
+    rows = cut_lineage(reading.store_rows(_reported(spark, sf), _keyed_items(spark, sf)))
+    kept = store.ResultStore(spark, shared_folder(spark, "store"), reading.STORED)
+    kept.upsert(rows.where(F.crc32("cache_key") % 3 < 2).withColumn("title", F.lit("to be replaced")).withColumn(
+        "created_at", F.col("created_at") - F.expr("INTERVAL 1 HOUR")))
+    kept.upsert(rows)
+    found = F.from_json("result", "findings array<struct<quote:string,verified:boolean>>")["findings"]
+    return kept.read().select("cache_key", "title", "model", "created_at", F.size(found).alias("findings"),
+                              F.size(F.filter(found, lambda f: f["verified"])).alias("verified"))
+
+
+# --- written and read back -----------------------------------------------------------------------------------
+
+@query
+def written_annotations(spark, sf):
+    """New annotations in the sink, which holds them by bucket of the document."""
+    path = shared_folder(spark, "annotations")
+    tables.write_annotations(annotations.new_annotations(_located(spark, sf)[1], _stored(_located(spark, sf)[1]), CFG), path)
+    rows = spark.read.schema(f"{stream_jobs.ANNOTATION_SCHEMA}, doc_bucket int").parquet(path)
+    return rows.drop("doc_bucket").withColumn("rects", _rect_text("rects")).withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def written_notes(spark, sf):
+    """Guides as notes: below the parent of a regular item, else on their own."""
+    docs = derived.table(spark, sf, "documents")
+    items = docs.select("doc_id", F.floor(F.col("doc_id") / 3).alias("parent_id"), (F.col("doc_id") % 4 != 0).alias("regular"))
+    path = shared_folder(spark, "notes")
+    tables.guide_notes(docs.select("doc_id", F.concat(F.lit("<p>"), t.html_escape(F.col("source")), F.lit("</p>")).alias("html")), items).write.parquet(path)
+    return tables.read_table(spark, path, "doc_id bigint, parent_id bigint, html string")
+
+
+@query
+def written_requests(spark, sf):
+    """Requests as JSON lines for a batch service, read back."""
+    path = shared_folder(spark, "requests")
+    tables.write_requests(request_rows(spark, sf), path)
+    rows = tables.read_table(spark, path, "custom_id string, url string, body string", "json")
+    return rows.select(F.col("custom_id").cast("long").alias("doc_id"), F.col("url").alias("endpoint"), "body")
+
+
+@query
+def read_responses(spark, sf):
+    """A response log kept as JSON lines, read back and answered."""
+    path = shared_folder(spark, "responses")
+    _log(spark, sf).write.json(path)
+    return responses.read_answers(tables.read_table(spark, path, tables.RESPONSES, "json")).select("request_id", "error_kind", "content")
 
 
 # --- reports -------------------------------------------------------------------------------------------------

@@ -414,8 +414,8 @@ sql("new_annotations", f"""SELECT doc_id, type, color, sort_index, page_index, {
 sql("kept_after_clear", "SELECT doc_id, color, sort_index, comment, tags FROM stored WHERE tags = 'mine'")
 sql("cleared_counts", "SELECT doc_id, count(*) FILTER (tags <> 'mine') AS removed FROM stored GROUP BY doc_id")
 sql("annotation_stats", "SELECT * FROM stats")
-sql("guide_notes", f"""SELECT doc_id, 'note' AS type, '#ffd400' AS color, '00000|000000|00000' AS sort_index, 'guide ' || source AS comment,
-    '1' AS page_label, {lit(CFG.owner_tag)} AS tags FROM documents WHERE lang <> 'en'""")
+sql("guide_notes", f"""SELECT doc_id, 'note' AS type, '#ffd400' AS color, '00000|000000|00000' AS sort_index, 0 AS page_index, '20 20 42 42' AS rects,
+    'guide ' || source AS comment, '1' AS page_label, {lit(CFG.owner_tag)} AS tags FROM documents WHERE lang <> 'en'""")
 
 # --- selection and store -------------------------------------------------------------------------------------
 
@@ -436,7 +436,7 @@ _store = "SELECT CAST(user_id AS VARCHAR) AS cache_key, event_type AS title, 'm'
 sql("cache_upsert", f"""SELECT cache_key, title, model, created_at, result FROM (SELECT *, row_number() OVER (PARTITION BY cache_key
     ORDER BY title = 'purchase' DESC, created_at DESC) AS rn FROM ({_store})) WHERE rn = 1""")
 sql("cache_evict", f"""SELECT cache_key, title, model, created_at, result FROM (SELECT *, row_number() OVER (PARTITION BY cache_key
-    ORDER BY created_at DESC) AS rn FROM ({_store})) WHERE rn = 1 ORDER BY created_at DESC, cache_key DESC LIMIT {v.STORE_CAPACITY}""")
+    ORDER BY created_at DESC) AS rn FROM ({_store})) WHERE rn = 1 ORDER BY created_at DESC, cache_key DESC LIMIT 100""")
 
 # --- reports -------------------------------------------------------------------------------------------------
 
@@ -522,3 +522,15 @@ sql("stream_requests", f"""SELECT doc_id, 'default-model' AS model, true AS json
         || CASE WHEN length(text) <= {LIMIT} THEN text ELSE left(text, 900) || {lit(v.MIDDLE_MARKER)} || right(text, 600) END || {lit(_closing)}) AS VARCHAR)
       || '}}],"temperature":0.2,"stream":true,"response_format":{{"type":"json_object"}}}}' AS body
     FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))""")
+
+# --- written and read back -----------------------------------------------------------------------------------
+
+_key = """CASE WHEN doc_id % 3 <> 0 THEN 'v3:K' || doc_id || ':' || n_chars || ':' || doc_id * 1000 ELSE 'v3:K' || doc_id || ':v7' END || ':default-model:zh:p4'"""
+sql("forced_documents", f"SELECT doc_id, {_key} AS cache_key FROM documents")
+sql("stored_results", f"""SELECT {_key} AS cache_key, any_value(paper) AS title, any_value(model) AS model, make_timestamp((1700000000 + doc_id) * 1000000) AS created_at,
+    CAST(count(*) AS INTEGER) AS findings, CAST(count(*) FILTER (verified) AS INTEGER) AS verified FROM reported JOIN documents USING (doc_id) GROUP BY doc_id, n_chars""")
+sql("written_notes", """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN doc_id // 3 END AS parent_id,
+    '<p>' || replace(replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p>' AS html FROM documents""")
+for _copy, _of in (("written_annotations", "new_annotations"), ("read_responses", "assembled_answers"), ("reader_page_rows", "reader_pages_first")):
+    ORACLES[_copy] = ORACLES[_of]
+ORACLES["written_requests"] = f"SELECT doc_id, endpoint, body FROM ({ORACLES['request_rows']})"

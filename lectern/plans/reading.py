@@ -52,6 +52,18 @@ def analysis_notes(results: DataFrame, papers: DataFrame) -> DataFrame:
     ).drop("condensed")
 
 
+STORED = "cache_key string, title string, model string, created_at timestamp, result string"
+
+
+def store_rows(noted: DataFrame, keys: DataFrame) -> DataFrame:
+    """Grounded results with their notes as rows of the result store: cache_key, title, model, created_at, result (JSON).
+
+    ``noted``: output of ``analysis_notes`` with title and created_at. ``keys``: doc_id, cache_key.
+    """
+    result = F.to_json(F.struct("findings", "coverage", "note"))
+    return noted.join(keys.select("doc_id", "cache_key"), "doc_id").select("cache_key", "title", "model", "created_at", result.alias("result"))
+
+
 def annotate(grounded: DataFrame, page_texts: DataFrame, stored: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
     """(annotations to append, statistics per document)."""
     located = located_findings(grounded, page_texts)

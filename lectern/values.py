@@ -118,3 +118,6 @@ OMITTED_NAMES = (("references", "参考文献"), ("acknowledgements", "致谢"),
 KEY_VERSION = "v3"
 PROMPT_VERSION = 4
 STORE_CAPACITY = 500
+
+# Fixed value: where a guide note stands on the first page.
+NOTE_BOX = (20, 20, 42, 42)

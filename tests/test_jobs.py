@@ -93,6 +93,38 @@ def test_store(spark, tmp_path):
     assert {int(r.cache_key) for r in evict(many).collect()} == set(range(5, 505))
 
 
+def test_two_writers_lose_no_update_and_old_versions_go(spark, tmp_path):
+    import threading
+    path = str(tmp_path / "store")
+    rows = lambda *xs: spark.createDataFrame([(k, "t", "m", None, "1") for k in xs], STORE).withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    stores = [ResultStore(spark, path, STORE) for _ in range(3)]
+    threads = [threading.Thread(target=store.upsert, args=(rows(f"k{n}", "shared"),)) for n, store in enumerate(stores)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert sorted(r.cache_key for r in stores[0].read().collect()) == ["k0", "k1", "k2", "shared"]
+    assert stores[0].upsert(rows("k9"), capacity=2) == 4
+    assert len(list((tmp_path / "store").glob("data-*"))) == 2 and stores[1].read().count() == 2
+
+
+def test_a_claimed_version_is_not_claimed_again(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"), STORE)
+    assert store._claim(1, "first") and not store._claim(1, "second") and store._folder(1) == "first"
+    assert not list((tmp_path / "store" / "aside").glob("[!.]*"))
+
+
+def test_text_files_and_page_rows(spark, tmp_path):
+    from lectern.operators import pages
+    from lectern.sources import tables
+    (tmp_path / "12.txt").write_text("one\ftwo\f")
+    (tmp_path / "7.txt").write_text("only")
+    got = {r.doc_id: (r.raw_text, r.total_pages) for r in tables.read_text_files(spark, str(tmp_path)).collect()}
+    assert got == {12: ("one\ftwo\f", 2), 7: ("only", 1)}
+    rows = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 0, "a"), (2, 5, None)], "doc_id long, page_index int, text string")
+    assert {r.doc_id: r.page_texts for r in pages.from_page_rows(rows).collect()} == {1: ["a", "c"], 2: [None]}
+
+
 def piece(text):
     return 'data: {"choices":[{"delta":{"content":"%s"}}]}' % text
 
