@@ -3,6 +3,7 @@
 Two sets with Jaccard similarity t share a word n-gram among the first ``n - ceil(t n) + 1`` of each in any common
 order; n-grams that few documents have come first. Equal sets are one class. Classes with the same prefix and size are
 one group: groups are joined by the n-grams of their prefixes, pairs of groups are filtered by size and position, and
+pairs whose signatures differ in more bits than linked sets may differ in n-grams are dropped inside the join, and
 only what is left is verified on the full sets, and expanded to all members while its groups are in several components. Only
 links that can change a component are looked for: first everybody meets one partner in each bucket, then whatever is
 still apart meets the others, then the members of groups that are still apart meet.
@@ -11,11 +12,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.common import cut_lineage, text_batches, written_for_now
 from lectern.llm.components import components
@@ -99,7 +101,18 @@ def slot_counts(docs: DataFrame, words: int) -> np.ndarray:
     return slots
 
 
-_SKETCH = "doc_id bigint, n bigint, digest binary, prefix_key binary, prefix array<bigint>"
+_SKETCH = "doc_id bigint, n bigint, digest binary, prefix_key binary, prefix array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+#: Bits of a set's signature: each tells whether an odd number of its n-grams falls there, so two signatures differ in no
+#: more bits than the sets differ in n-grams.
+SIGNATURE = 256
+_SIGNATURES = [f"s{k}" for k in range(SIGNATURE // 64)]
+
+
+def signatures(texts: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, words of 64 bits) from distinct n-grams of texts."""
+    place = (grams >> np.uint64(SLOT_BITS)).astype(np.int64) & (SIGNATURE - 1)
+    odd = np.bincount(texts * SIGNATURE + place, minlength=rows * SIGNATURE).reshape(rows, SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def _sketches(words: int, percent: int, slots):
@@ -123,7 +136,8 @@ def _sketches(words: int, percent: int, slots):
                 prefixes.append(head)
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()),
-                pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix_key", "prefix"])
+                pa.array(prefixes, pa.list_(pa.int64())), *[pa.array(c) for c in signatures(texts, grams, rows.num_rows).T]],
+                names=["doc_id", "n", "digest", "prefix_key", "prefix", *_SIGNATURES])
     return emit
 
 
@@ -215,21 +229,42 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         return (low * 100 >= high * percent) & (rest * (100 + percent) + F.least(at1, at2) * (100 + percent) >= (n1 + n2) * percent)
 
     lead = shared.join(leads, "gram").where("doc_id <> lead.doc_id").where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    # Documents of several rows have no single signature, so nothing is said about their pairs.
+    signed = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), *[F.min(c).alias(c) for c in ["n", *_SIGNATURES]])
+                         .where("m = 1").select("doc_id", F.col("n").alias("size"), *_SIGNATURES))
+
+    # Nor does a representative's signature say anything about the pairs of its members.
+    alone = signed.join(members.where("doc_id <> group_id").select(F.col("group_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+
+    def signed_as(mark: str, of: DataFrame = signed) -> DataFrame:
+        return of.select(*[F.col(c).alias(f"{c}{mark}") for c in signed.columns])
+
+    def alike(x: str, y: str):
+        """The signatures differ in no more bits than linked sets may differ in n-grams."""
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in _SIGNATURES])
+        return F.coalesce(differ * (100 + percent) <= (F.col(f"size{x}") + F.col(f"size{y}")) * (100 - percent), F.lit(True))
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that signatures don't rule out."""
+        return (pairs.join(signed_as("_a").withColumnRenamed("doc_id_a", "a"), "a", "left").join(signed_as("_b").withColumnRenamed("doc_id_b", "b"), "b", "left")
+                .where(alike("_a", "_b")).select("a", "b"))
+
     pairs = lead.select(*_ordered("doc_id", "lead.doc_id")).union(members.where("doc_id <> group_id").select(*_ordered("doc_id", "group_id"))).distinct()
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(plausible(pairs))
     tested = _tested(pairs, docs, words, percent)
     stars = cut_lineage(components(tested.where("linked").select("a", "b").union(same)))
 
     # What is still apart: rows of the minority components of a bucket meet the bucket's other components.
-    def across(rows: DataFrame) -> DataFrame:
+    def across(rows: DataFrame, of: DataFrame) -> DataFrame:
         mixed_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         rows = cut_lineage(rows.join(mixed_buckets, "bucket", "left_semi"))
         sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
         major = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("major"))
-        rows = cut_lineage(rows.join(major, "bucket"))
-        few = rows.where("component <> major").select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"))
+        rows = cut_lineage(rows.join(major, "bucket").join(signed_as("_1", of).withColumnRenamed("doc_id_1", "doc_id"), "doc_id", "left"))
+        few = rows.where("component <> major").select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"),
+                                                      *[F.col(f"{c}_1").alias(f"{c}_2") for c in ["size", *_SIGNATURES]])
         return rows.join(few, "bucket").where("component <> c2 and (component = major or doc_id < d2)").where(
-            may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
+            may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")) & alike("_1", "_2"))
 
     def enough(n1, n2, common):
         """``common`` shared n-grams of the prefixes, and all that follows the prefix that ends first, suffice."""
@@ -251,11 +286,11 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     # Pairs of groups first: their representatives are tested, which settles most.
     rows = labelled(shared.select(F.col("gram").alias("bucket"), "doc_id", "n", "at"), stars, torn_groups(placed(members, stars)))
     first = F.col("doc_id") < F.col("d2")
-    near = across(rows).select(*_ordered("doc_id", "d2"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n1"),
+    near = across(rows, alone).select(*_ordered("doc_id", "d2"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n1"),
                                F.when(first, F.col("n2")).otherwise(F.col("n")).alias("n2"))
     near = near.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("common")).where(enough(F.col("n1"), F.col("n2"), F.col("common")))
     near = cut_lineage(near.select("a", "b").distinct())
-    between = _tested(cut_lineage(near.join(tested.select("a", "b"), ["a", "b"], "left_anti")), docs, words, percent)
+    between = _tested(cut_lineage(plausible(near.join(tested.select("a", "b"), ["a", "b"], "left_anti"))), docs, words, percent)
 
     def grown(stars: DataFrame, tested: DataFrame) -> DataFrame:
         links = tested.where("linked").select("a", "b")
@@ -271,9 +306,10 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         ends = spread.select(F.col("group_id").alias(side), F.col("doc_id").alias("member"), F.col("component").alias(own)).distinct()
         sides = alone.join(ends, side, "left").withColumn(f"m{side}", F.coalesce("member", side)).withColumn(own, F.coalesce(own, "alone")).drop("member", "alone")
     apart = sides.where("ca <> cb").select(*_ordered("ma", "mb"))
-    inside = across(spread.join(torn, "group_id").select(F.col("group_id").alias("bucket"), "doc_id", "n", F.lit(0).alias("at"), "component"))
+    inside = across(spread.join(torn, "group_id").select(F.col("group_id").alias("bucket"), "doc_id", "n", F.lit(0).alias("at"), "component"), signed)
     known = tested.select("a", "b").union(between.select("a", "b"))
     late = apart.union(inside.select(*_ordered("doc_id", "d2"))).distinct().join(known, ["a", "b"], "left_anti")
+    late = plausible(late)
     found = grown(stars, _tested(cut_lineage(late), docs, words, percent)).withColumnRenamed("id", "class_id")
     return (sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
             .withColumn("class_id", F.coalesce("class_id", "doc_id")).join(found, "class_id", "left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from helpers import documents, lower, words
@@ -61,3 +62,28 @@ def test_a_member_links_where_its_representative_does_not(spark):
     assert [want[k] for k in (1, 2, 3)] == [(60, 1)] * 3
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(documents(spark, texts)).collect()}
     assert got == want
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_differ_in_members():
+    rnd = np.random.default_rng(6)
+    for size in (3, 80, 900):
+        a = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
+        b = np.concatenate([a[size // 3:], rnd.integers(0, 2**63, size // 5 + 1).astype(np.uint64)])
+        texts = np.repeat([0, 2], [len(a), len(b)])
+        x, empty, y = ngram_join.signatures(texts, np.concatenate([a, b]), 3)
+        differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist())) and not empty.any()
+
+
+def test_a_group_of_copies_around_the_threshold(spark):
+    """Every document changes its own words of one base, so about half of all pairs link and no bucket is settled at once."""
+    rnd = random.Random(12)
+    base = [f"b{k}" for k in range(80)]
+    texts = {}
+    for k in range(150):
+        w = list(base)
+        for place in rnd.sample(range(80), rnd.choice([1, 2, 2, 3])):
+            w[place] = f"own{k}-{place}"
+        texts[k] = " ".join(w)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(documents(spark, texts)).collect()}
+    assert got == brute(texts, 4, 85)
