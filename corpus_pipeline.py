@@ -7,6 +7,10 @@ from lectern.llm import mixing, ngram_join, packing, quality, queries, repeats
 from lectern.llm.common import cut_lineage, documents, read_table
 
 
+#: Repeated strings of this many bytes go: passages of 50 words have 280 and more, and texts share shorter ones by chance.
+PASSAGE_BYTES = 200
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule classifier doesn't reject. Rows that repeat an id stand or fall together."""
     judged = quality.classify(docs, read_table(spark, sf_dir, "labels"))
@@ -25,19 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = cut_lineage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), *[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(several.select(docs.columns))
+    row = F.col("row")
+    others = [row.getField(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(row.getField("doc_id")).orderBy(F.desc(F.length(row.getField("text"))), row.getField("text").asc_nulls_last(), *others)
+    several = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row")).withColumn("rank", F.row_number().over(first))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(several.where("rank = 1").select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that occur more than once; those with nothing left go."""
-    left = repeats.remove_repeats(docs, 400, columns=tuple(c for c in docs.columns if c != "text"), keep_text=True)
-    # A document that had no text stays as it was.
-    left = left.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("_text"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    """Documents without the bytes of ``PASSAGE_BYTES``-byte strings that occur more than once; those with nothing left go."""
+    return repeats.without_repeats(docs, PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,6 +146,6 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as ``mixed`` (the output of ``mix`` on them) takes whole copies of their document."""
     often = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(F.max("copies").alias("copies"))
-    columns = docs.columns
-    joined = docs.join(often, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
-    return joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(columns)
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))  # other columns may have any names
+    joined = rows.join(often, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
+    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

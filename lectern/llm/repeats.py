@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lectern.llm.common import cut_lineage, text_batches
 from lectern.llm.hashing import BASES, Prefixes, sliding
@@ -223,10 +223,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, colu
     an empty table gives no rows; other columns are ignored. With ``keep_text`` a character that is cut through is
     dropped from the text. ``length`` must exceed ``gram``.
     """
-    rows = docs.select(*columns, F.col("text").alias("_text"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
+    found = _cut_out(docs, length, gram, columns, keep_text)
+    return found.select("row.*", *[c for c in found.columns if c != "row"])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The columns of ``docs`` (text and any others), the text without its repeats; rows of which nothing is left go.
+
+    Rows that had no text stay as they were; ``n_chars``, if there is one, follows the text. Columns may have any names.
+    """
+    found = _cut_out(docs, length, gram, tuple(docs.columns), True).where("n_removed = 0 or n_removed < n_bytes")
+    size = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+
+    def kept(name: str) -> Column:
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.length("_text").cast(size)).otherwise(own)
+        return (F.col("_text") if name == "text" else own).alias(name)
+
+    return found.select(*map(kept, docs.columns))
+
+
+def _cut_out(docs: DataFrame, length: int, gram: int, columns: tuple[str, ...], keep_text: bool) -> DataFrame:
+    """row (a struct of ``columns``, whose names thus meet no others), n_bytes, n_removed, n_spans, kept_sha256, _text."""
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("_text"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
     long_enough = F.octet_length("text") >= length
     spans = repeated_spans(docs.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("text_key")).where(long_enough), length, gram)
     per_text = cut_lineage(spans.groupBy(F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans")))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields])
-    schema += ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", _text string" if keep_text else "")
-    return (rows.join(per_text, "_key", "left").select(*columns, "_text", "_spans").mapInArrow(_remove(keep_text), schema))
+    schema = T.StructType([rows.schema["row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    return rows.join(per_text, "_key", "left").select("row", "_text", "_spans").mapInArrow(
+        _remove(keep_text), schema.add("_text", "string") if keep_text else schema)

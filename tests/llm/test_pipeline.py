@@ -56,3 +56,18 @@ def test_empty_and_repeated_rows(spark, folder):
         for _, stage in pipeline.STAGES:
             rows = stage(spark, rows, path)
         rows.collect()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns(spark, folder, empty):
+    """The later stages keep columns of whatever names they use inside themselves."""
+    path, _ = folder
+    rows = spark.read.parquet(f"{path}/documents.parquet").where("false" if empty else "doc_id < 12")
+    rows = rows.unionByName(rows.where("doc_id = 3")).selectExpr(
+        "*", "1 AS _text", "2 AS _key", "3 AS _spans", "4 AS copies", "5 AS copy", "6 AS `row`", "7 AS rank", "8 AS _rank", "9 AS n_bytes", "10 AS n_removed", "'a' AS m_id", "11 AS `count`")
+    columns = rows.columns
+    for _, stage in pipeline.STAGES[1:4]:
+        rows = stage(spark, rows, path)
+        assert rows.columns == columns
+    found = rows.collect()
+    assert not found if empty else {tuple(r[5:]) for r in found} == {(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, "a", 11)}
