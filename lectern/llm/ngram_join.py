@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,7 +24,7 @@ from lectern.llm.hashing import MULTIPLIER, Prefixes, mixed
 
 WORDS, PERCENT = 4, 85
 #: Slots that n-grams are counted in to put rare ones first: a fixed size, whatever the corpus.
-SLOT_BITS, BLOCK = 20, 1 << 12
+SLOT_BITS, BLOCK = 20, 1 << 9
 #: Orders in which partners are chosen, so that a document meets several ones across its n-grams.
 ORDERS = 6
 
@@ -78,23 +77,26 @@ def _count_slots(words: int):
         for _, data, bounds in text_batches(batches):
             grams = gram_sets(data, bounds, words)[1]
             slots += np.bincount((grams & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), minlength=1 << SLOT_BITS)
-        parts = slots.astype("<i4").reshape(-1, BLOCK) if slots.max(initial=0) < 2**31 else slots.reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())],
+        parts = slots.astype("<i8").reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
                                          names=["block", "counts"])
     return count
 
 
-def _add_slots(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, dtype=np.int64)
-    for counts in frame["counts"]:
-        total += np.frombuffer(counts, "<i8")
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
+def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each block, added as its rows arrive: memory is one sum a block, however many tasks have counted."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+                                     names=["block", "counts"])
 
 
 def slot_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many documents' n-grams fall in each slot: 2**SLOT_BITS numbers, the only ones that reach the driver."""
-    rows = (docs.select("text").mapInArrow(_count_slots(words), "block int, counts binary")
-            .groupBy("block").applyInPandas(_add_slots, "block int, counts binary").collect())
+    schema = "block int, counts binary"
+    rows = docs.select("text").mapInArrow(_count_slots(words), schema).repartition("block").mapInArrow(_add_slots, schema).collect()
     slots = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     for r in rows:
         slots[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
