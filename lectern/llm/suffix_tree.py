@@ -1,36 +1,42 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The symbols are the frequent words; all others are one symbol, RARE. The tree holds contexts of one and two symbols
-that are frequent enough and whose next-symbol distribution diverges from that of the context without its first symbol.
-A token is scored by the longest context in the tree. Distributions are smoothed with those of the shorter context: a
-symbol that a context has seen too rarely shares what is left of its mass in the shorter context's proportions. The
-root is the unigram base, add-one smoothed over all words, which also splits RARE's chance among rare words.
+Symbols are words, contexts are the last one to ``DEPTH`` words (a text begins after one START). A context is in the tree if it
+occurs ``MIN_CONTEXT`` times and its next-symbol distribution diverges from that of the context without its first word,
+or if a longer context that is in the tree ends with it. Both are absolute, so the tree grows with the corpus. A token
+is scored by its longest context in the tree. Distributions are smoothed with those of the shorter context: a symbol
+that a context has seen once or never shares what is left of its mass in the shorter context's proportions. The root is
+the unigram base, add-one smoothed over all words.
+
+The tree is a table of key and value: what a context adds to the logarithm of any next symbol's chance, and what it adds
+beyond that for each symbol it lists. A token's score is a sum of such values, so entries that many tokens use are
+broadcast and all others are joined to the few tokens that a filter of fixed size lets through.
 """
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.common import cut_lineage
+from lectern.llm.common import cut_lineage, text_batches
+from lectern.llm.hashing import mixed
+from lectern.llm.ngram_join import word_hashes
 
-#: Words with at least this share of the tokens are symbols (so there are at most 31,250), and those with at least the
-#: second share are looked up in a table (at most a million); the others are joined.
-SYMBOL_SHARE, HEAD_SHARE = 3.2e-5, 1e-6
-#: Share of all tokens that a context needs, and a context with one next symbol: at most 20,000 contexts and 500,000
-#: next symbols a level, however large the corpus is.
-CONTEXT_SHARE, NEXT_SHARE = 5e-5, 2e-6
-#: Divergence from the shorter context in nats over all occurrences, beyond what chance gives, that keeps a context.
-DIVERGENCE = 20.0
+#: Words a context has at most, occurrences it needs, and nats of divergence over all of them beyond what chance gives.
+DEPTH, MIN_CONTEXT, DIVERGENCE = 3, 100, 20.0
+#: Words with this share of the tokens (a million at most) and tree entries used by the second share of them (250,000
+#: contexts and as many symbols a level at most) are broadcast; others are joined. This changes where, not what.
+HEAD_SHARE, ENTRY_SHARE = 1e-6, 4e-6
 #: Weight of the shorter context's distribution, in occurrences.
 PRIOR = 5.0
-BITS = 15
+#: Bits of the filters for keys, a fixed size; a wrong hit costs a lookup.
+FILTER_BITS = 25
 END_TOKEN = "\n"
 
+_START, _END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SPACES = bytes.maketrans(bytes([*range(65, 91), 0x09, 0x0A, 0x0B, 0x0C, 0x0D]), bytes([*range(97, 123)] + [0x20] * 5))
 
 
@@ -57,204 +63,205 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-class Vocabulary(NamedTuple):
-    """Frequent words by descending count; the first ``symbols`` are symbols, RARE is the number after them."""
-    index: dict[str, int]
-    counts: np.ndarray
-    symbols: int
-    tokens: int
-    kinds: int
+def _symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the text, symbol) of START, the words and the end of each text."""
+    owner, hashes = word_hashes(data, bounds)
+    sizes = np.bincount(owner, minlength=len(bounds) - 1) + 2
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    symbols = np.empty(int(sizes.sum()), dtype=np.uint64)
+    symbols[first], symbols[last] = _START, _END
+    symbols[np.arange(len(hashes)) + 2 * owner + 1] = hashes
+    texts = np.repeat(np.arange(len(sizes)), sizes)
+    return texts, np.arange(len(symbols)) - first[texts], symbols
 
-    def root(self) -> np.ndarray:
-        """The chance of each symbol and of RARE (unseen words are one more kind) under the base."""
-        own = self.counts[:self.symbols] + 1.0
-        whole = self.tokens + self.kinds + 1.0
-        return np.append(own, max(whole - own.sum(), 1.0)) / whole
 
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        """The place of each token among the frequent words, or their number."""
-        return np.array(list(map(self.index.get, tokens, [len(self.index)] * len(tokens))), dtype=np.int64)
+def _longer(contexts: np.ndarray, symbols: np.ndarray, level: int) -> np.ndarray:
+    """The contexts of one word more: those of the place before, and its symbol."""
+    return mixed(np.roll(contexts ^ symbols, 1) + np.uint64(level))
 
 
-def _streams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most: int = 1_000_000) -> Iterator[tuple]:
-    """(batch part, tokens, numbers, owner, codes of one symbol before and two before) of about ``most`` tokens."""
-    start = min(vocabulary.index.get(END_TOKEN, vocabulary.symbols), vocabulary.symbols)
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            parts, count, first = [], 0, at
-            while at < len(texts) and (count < most or not parts):
-                parts.append(tokens_of(texts[at]))
-                count, at = count + len(parts[-1]), at + 1
-            sizes = np.array([len(p) for p in parts])
-            tokens = [w for p in parts for w in p]
-            numbers = vocabulary.numbers(tokens)
-            symbols = np.minimum(numbers, vocabulary.symbols)
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            one = np.where(place >= 1, np.concatenate([[start], symbols[:-1]]), start)
-            two = np.where(place >= 2, np.concatenate([[start, start], symbols[:-2]])[:len(tokens)], start)
-            yield batch.slice(first, at - first), tokens, numbers, symbols, owner, one, (two << BITS) | one
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slots = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, place) of keys in a sorted array."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return sorted_keys[at] == keys, at
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """The filter for the column ``key``; 2**FILTER_BITS bits reach the driver, however many keys there are."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = keys.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+    bits = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    for r in rows:
+        bits[r["part"] << 12:(r["part"] + 1) << 12] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits
 
 
-def _count_level(shared, depth: int):
+def _count_level(depth: int, shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, wanted = shared.value
-        for _, _, _, symbols, _, one, two in _streams(batches, vocabulary):
-            context = one if depth == 1 else two
-            codes = (context << BITS) | symbols
+        for _, data, bounds in text_batches(batches, most=4 << 20):
+            _, place, symbols = _symbols(data, bounds)
+            contexts = shorter = np.zeros(len(symbols), dtype=np.uint64)
+            for level in range(1, depth + 1):
+                before = np.roll(contexts ^ symbols, 1)
+                contexts, shorter = _longer(contexts, symbols, level), contexts
+            use = place >= depth
             if depth > 1:
-                codes = codes[_has(wanted, context)[0]]
-            codes, counts = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+                use &= _passes(shared.value, before)
+            codes, at, counts = np.unique((contexts ^ symbols)[use], return_index=True, return_counts=True)
+            columns = [pa.array(c[use][at].view(np.int64)) for c in (contexts, shorter, symbols)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=["context", "shorter", "symbol", "n"])
     return count
 
 
-def _level(training: DataFrame, vocabulary: Vocabulary, wanted: np.ndarray, depth: int) -> DataFrame:
-    """context, symbol, n, all: next-symbol counts of all frequent contexts of ``depth`` symbols, over all of ``training``."""
-    shared = training.sparkSession.sparkContext.broadcast((vocabulary, wanted))
-    codes = cut_lineage(training.select("text").mapInArrow(_count_level(shared, depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
-    rows = codes.select(F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol"), "n")
-    sums = rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= vocabulary.tokens * CONTEXT_SHARE)
-    return cut_lineage(rows.join(sums, "context"))
-
-
-def _passing(rows: DataFrame, shorter: DataFrame) -> np.ndarray:
-    """The contexts whose distribution diverges from the shorter one's (p, symbol, q) by more than chance."""
-    gains = rows.join(shorter, ["p", "symbol"]).groupBy("context").agg(
-        (F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))) - F.count(F.lit(1)) / 2).alias("gain"))
-    return np.sort(np.array([r["context"] for r in gains.where(F.col("gain") >= DIVERGENCE).select("context").collect()], dtype=np.int64))
-
-
-class Tree(NamedTuple):
-    """Kept contexts of one level (sorted) with the share of mass ``left`` for symbols that are not listed, and the
-    listed (context, symbol) codes (sorted) with the logarithm of their chance."""
-    contexts: tuple[np.ndarray, ...]
-    left: tuple[np.ndarray, ...]
-    codes: tuple[np.ndarray, ...]
-    logs: tuple[np.ndarray, ...]
-    root: np.ndarray
-
-    def chances(self, symbols: np.ndarray, contexts: tuple[np.ndarray, ...], depth: int | None = None) -> np.ndarray:
-        """The logarithm of each symbol's chance after the longest of its contexts that is kept."""
-        log = self.root[symbols]
-        for level in range(len(self.contexts) if depth is None else depth):
-            kept, at = _has(self.contexts[level], contexts[level])
-            listed, where = _has(self.codes[level], (contexts[level] << BITS) | symbols)
-            below = log + (self.left[level][at] if len(self.left[level]) else 0.0)
-            log = np.where(kept, np.where(listed, self.logs[level][where] if len(self.logs[level]) else 0.0, below), log)
-        return log
-
-
-def grow(training: DataFrame, vocabulary: Vocabulary) -> Tree:
-    """A tree from all rows of ``training``. What reaches the driver is bounded by the shares above."""
-    root = vocabulary.root()
+def _pair() -> Column:
+    return F.col("context").bitwiseXOR(F.col("symbol"))
+
+
+def grow(training: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE) -> DataFrame:
+    """key, n, v: the tree of all rows of ``training`` (text), which have ``tokens`` tokens of ``kinds`` words.
+
+    ``v`` is added to the logarithm of a chance where the key is that of the context or of the pair; ``n`` is how often the
+    training meets it. Nothing but filters of fixed size reaches the driver.
+    """
     spark = training.sparkSession
-    none = np.empty(0, dtype=np.int64)
-    tree = Tree((), (), (), (), np.log10(root))
-    if not vocabulary.tokens:
-        return tree
-    base = spark.createDataFrame([(0, k, float(q)) for k, q in enumerate(root)], "p bigint, symbol bigint, q double")
-    first = _level(training, vocabulary, none, 1)
-    passed = _passing(first.withColumn("p", F.lit(0).cast("bigint")), base)
-    # A pair of symbols is frequent only if it is counted so: the pairs come from the counts of the first level.
-    frequent = np.sort(np.array([r["code"] for r in first.where(F.col("n") >= vocabulary.tokens * CONTEXT_SHARE).select(
-        (F.shiftleft("context", BITS) + F.col("symbol")).alias("code")).collect()], dtype=np.int64))
-    second = _level(training, vocabulary, frequent, 2)
-    mask = (1 << BITS) - 1
-    longer = _passing(second.withColumn("p", F.col("context").bitwiseAND(F.lit(mask))),
-                      first.select(F.col("context").alias("p"), "symbol", (F.col("n") / F.col("all")).alias("q")))
-    passed = np.union1d(passed, longer & mask)
-    for kept, rows in ((passed, first), (longer, second)):
-        tree = _with_level(tree, kept, _listed(rows, kept, vocabulary.tokens), root)
-    return tree
-
-
-def _listed(rows: DataFrame, kept: np.ndarray, tokens: int) -> tuple[np.ndarray, ...]:
-    """Columns context, symbol, n, all of a level's frequent next symbols."""
-    frame = rows.where(F.col("n") >= max(2.0, tokens * NEXT_SHARE)).toPandas().sort_values(["context", "symbol"])
-    frame = frame[np.isin(frame["context"].to_numpy(), kept)]
-    return tuple(frame[c].to_numpy(dtype=np.int64) for c in ("context", "symbol", "n", "all"))
-
-
-def _with_level(tree: Tree, kept: np.ndarray, listed: tuple[np.ndarray, ...], root: np.ndarray) -> Tree:
-    context, symbol, n, total = listed
-    level = len(tree.contexts)
-    shorter = tuple((context & ((1 << BITS * (k + 1)) - 1)) for k in range(level))
-    below = 10.0 ** tree.chances(symbol, shorter)
-    chance = (n + PRIOR * below) / (total + PRIOR)
-    at = np.searchsorted(kept, context)
-    own = np.bincount(at, weights=chance, minlength=len(kept))
-    theirs = np.bincount(at, weights=below, minlength=len(kept))
-    left = np.log10(np.maximum(1 - own, 1e-9) / np.maximum(1 - theirs, 1e-9))
-    return Tree((*tree.contexts, kept), (*tree.left, left), (*tree.codes, (context << BITS) | symbol), (*tree.logs, np.log10(chance)), tree.root)
+    levels: list[DataFrame] = []
+    shared = root = None
+    for level in range(1, depth + 1):
+        codes = cut_lineage(training.select("text").mapInArrow(_count_level(level, shared), "context bigint, shorter bigint, symbol bigint, n bigint")
+                            .groupBy("context", "shorter", "symbol").agg(F.sum("n").alias("n")))
+        if level == 1:
+            root = cut_lineage(codes.groupBy("symbol").agg(((F.sum("n") + 1) / F.lit(float(tokens + kinds + 1))).alias("chance")))
+        enough = codes.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+        levels.append(cut_lineage(codes.join(enough, "context")))
+        if level < depth:
+            shared = spark.sparkContext.broadcast(_filter_of(levels[-1].where(F.col("n") >= least).select(_pair().alias("key"))))
+    # From the longest contexts to the shortest: those that diverge, and the ends of longer ones.
+    kept: list[DataFrame] = []
+    for level in range(depth, 0, -1):
+        rows = levels[level - 1]
+        if level == 1:
+            compared = rows.join(root.withColumnRenamed("chance", "q"), "symbol")
+        else:
+            compared = rows.join(levels[level - 2].select(F.col("context").alias("shorter"), "symbol", (F.col("n") / F.col("all")).alias("q")), ["shorter", "symbol"])
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))) - F.count(F.lit(1)) / 2
+        chosen = compared.groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= divergence).select("context")
+        if kept:
+            chosen = chosen.union(kept[0].select("shorter")).distinct()
+        kept.insert(0, cut_lineage(rows.join(chosen, "context", "left_semi")))
+    # From the shortest to the longest: what a context lists, its shorter context lists too.
+    entries, below = None, root
+    for level, rows in enumerate(kept, 1):
+        on = ["symbol"] if level == 1 else ["shorter", "symbol"]
+        own = (F.col("n") + PRIOR * F.col("below")) / (F.col("all") + PRIOR)
+        listed = cut_lineage(rows.where("n >= 2").join(below.withColumnRenamed("chance", "below"), on).withColumn("chance", own))
+        rest = [F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("chance", "below")]
+        left = cut_lineage(listed.groupBy("context").agg(F.max("all").alias("all"), F.log10(rest[0] / rest[1]).alias("left")))
+        pairs = listed.join(left.select("context", "left"), "context").select(
+            _pair().alias("key"), "n", (F.log10(F.col("chance") / F.col("below")) - F.col("left")).alias("v"))
+        own_rows = left.select(F.col("context").alias("key"), F.col("all").alias("n"), F.col("left").alias("v")).union(pairs)
+        entries = own_rows if entries is None else entries.union(own_rows)
+        below = listed.select(F.col("context").alias("shorter"), "symbol", "chance")
+    return cut_lineage(entries)
 
 
 _OWN = "struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, known: bigint, logs: double, gain: double>"
 _PARTS = f"row bigint, word string, n int, own {_OWN}"
 
 
-def _score(shared):
-    """Rows of rare words (word, n) and one row of sums over the frequent tokens for each document."""
+def _score(shared, depth: int):
+    """Rows of what is joined (rare words and tree keys; n) and one row of sums over everything else for each document."""
     own_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
                           ("logs", pa.float64()), ("gain", pa.float64())])
     names = ("doc_id", "held_out", "n_tokens", "known", "logs", "gain")
 
+    def tree_sums(rows: int, data: np.ndarray, bounds: np.ndarray, head: np.ndarray, values: np.ndarray, bits: np.ndarray | None) -> tuple:
+        """(sum of broadcast values of each text, texts, keys and counts of what is joined)."""
+        gains, owners, tails = np.zeros(rows), [], []
+        texts, place, symbols = _symbols(data, bounds)
+        contexts, alive = np.zeros(len(symbols), dtype=np.uint64), place >= 1
+        for level in range(1, depth + 1):
+            contexts = _longer(contexts, symbols, level)
+            alive = alive & (place >= level)
+            for keys in (contexts, contexts ^ symbols):
+                at = np.flatnonzero(alive)
+                where = np.minimum(np.searchsorted(head, keys[at]), max(len(head) - 1, 0))
+                hit = head[where] == keys[at] if len(head) else np.zeros(len(at), dtype=bool)
+                gains += np.bincount(texts[at[hit]], weights=values[where[hit]], minlength=rows)
+                maybe = at[~hit][_passes(bits, keys[at[~hit]])] if bits is not None else at[:0]
+                owners.append(texts[maybe])
+                tails.append(keys[maybe])
+                if keys is contexts:  # pairs are listed by contexts of the tree only, and these end longer ones
+                    alive = np.zeros(len(symbols), dtype=bool)
+                    alive[at[hit]] = alive[maybe] = True
+        owner, tail = np.concatenate(owners), np.concatenate(tails)
+        order = np.lexsort((tail, owner))
+        owner, tail = owner[order], tail[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (tail[1:] != tail[:-1])])) if len(tail) else np.empty(0, np.int64)
+        return gains, owner[first], tail[first].view(np.int64), np.diff(np.append(first, len(tail)))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, tree = shared.value
-        logs = np.log10(np.append(vocabulary.counts, 0) + 1.0)
-        for rows, tokens, numbers, symbols, owner, one, two in _streams(batches, vocabulary):
-            common = numbers < len(vocabulary.index)
-            total = lambda values: np.bincount(owner, weights=values, minlength=rows.num_rows)
-            gain = tree.chances(symbols, (one, two)) - tree.root[symbols]
+        index, counts, head, values, bits = shared.value
+        logs = np.log10(np.append(counts, 0) + 1.0)
+        for rows, data, bounds in text_batches(batches):
+            parts = [tokens_of(t) for t in rows.column("text").to_pylist()]
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            tokens = [w for p in parts for w in p]
+            numbers = np.array(list(map(index.get, tokens, [len(index)] * len(tokens))), dtype=np.int64)
+            common = numbers < len(index)
+            total = lambda weights: np.bincount(owner, weights=weights, minlength=rows.num_rows)
+            gains, texts, keys, times = tree_sums(rows.num_rows, data, bounds, head, values, bits)
             own = zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), total(None).astype(np.int64).tolist(),
-                      total(common).astype(np.int64).tolist(), total(np.where(common, logs[numbers], 0.0)).tolist(), total(gain).tolist(), strict=True)
+                      total(common).astype(np.int64).tolist(), total(np.where(common, logs[numbers], 0.0)).tolist(), gains.tolist(), strict=True)
             rare: Counter = Counter((owner[k], tokens[k]) for k in np.flatnonzero(~common).tolist())
             ids = np.asarray(rows.column("row"))
-            # A document's own sums travel under a name that no word has, so they are spread like words.
+            # Own sums and tree keys travel under names that no word has, so they are spread like words.
+            marked = pc.binary_join_element_wise("\t", pa.array(keys, pa.int64()).cast(pa.string()), "")
+            named = pa.concat_arrays([pa.array([f"\n{i}" for i in ids], pa.string()), pa.array([w for _, w in rare], pa.string()), marked])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([ids, ids[[k for k, _ in rare]]]) if rare else ids),
-                pa.array([f"\n{i}" for i in ids] + [w for _, w in rare], pa.string()),
-                pa.array([0] * len(ids) + list(rare.values()), pa.int32()),
-                pa.array([dict(zip(names, o, strict=True)) for o in own] + [None] * len(rare), own_type)],
+                pa.array(np.concatenate([ids, ids[np.array([k for k, _ in rare], dtype=np.int64)], ids[texts]])), named,
+                pa.array(np.concatenate([np.zeros(len(ids), np.int64), np.array(list(rare.values()), dtype=np.int64), times]), pa.int32()),
+                pa.array([dict(zip(names, o, strict=True)) for o in own] + [None] * (len(rare) + len(keys)), own_type)],
                 names=["row", "word", "n", "own"])
     return emit
 
 
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
     Rows that ``held_out`` holds for are scored only; the tree and the word counts are of all others. A token is a
     lower-cased word, or the end that every text has; ``n_known`` counts those seen in training. ``score`` is the base
-    with RARE and every symbol at its chance in the tree. Null and empty texts are an end alone. Repeated rows are rows,
+    plus what the tree adds. Null and empty texts are an end alone. Repeated rows are rows,
     null ids are kept, no rows give no rows, other columns are ignored; without training rows score and base are equal.
-    The tree and the frequent words, both bounded by the shares above, are broadcast; all other words are joined.
+    Frequent words and tree entries, both bounded by the shares above, are broadcast; all others are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
     training = docs.where(~F.col("held_out"))
     words = cut_lineage(training.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least = max(total["n"] * HEAD_SHARE, 1)
-    head = sorted(((r["word"], r["c"]) for r in words.where(F.col("c") >= least).toLocalIterator()), key=lambda r: (-r[1], r[0]))
-    counts = np.array([c for _, c in head], dtype=np.int64)
-    vocabulary = Vocabulary({w: k for k, (w, _) in enumerate(head)}, counts, int((counts >= total["n"] * SYMBOL_SHARE).sum()), total["n"], total["v"])
-    shared = spark.sparkContext.broadcast((vocabulary, grow(training, vocabulary)))
+    few = max(total["n"] * HEAD_SHARE, 1)
+    frequent = sorted(((r["word"], r["c"]) for r in words.where(F.col("c") >= few).toLocalIterator()), key=lambda r: (-r[1], r[0]))
+    index, counts = {w: k for k, (w, _) in enumerate(frequent)}, np.array([c for _, c in frequent], dtype=np.int64)
+    lookup = words.where(F.col("c") < few).select("word", "c", F.lit(0.0).alias("v"))
+    head, values, bits = np.empty(0, dtype=np.uint64), np.empty(0), None
+    if total["n"]:
+        tree = grow(training, total["n"], total["v"], depth, least, divergence)
+        often = F.col("n") >= total["n"] * ENTRY_SHARE
+        frame = tree.where(often).select("key", "v").toPandas()
+        head, values = frame["key"].to_numpy(dtype=np.int64).view(np.uint64), frame["v"].to_numpy(dtype=np.float64)
+        order = np.argsort(head)
+        head, values = head[order], values[order]
+        tail = tree.where(~often)
+        bits = _filter_of(tail.select("key"))
+        lookup = lookup.union(tail.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(0).cast("bigint"), "v"))
+    shared = spark.sparkContext.broadcast((index, counts, head, values, bits if bits is not None and bits.any() else None))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    joined = numbered.mapInArrow(_score(shared), _PARTS).join(words.where(F.col("c") < least), "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    joined = numbered.mapInArrow(_score(shared, depth), _PARTS).join(lookup, "word", "left")
+    c, v = F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0.0))
     sums = joined.groupBy("row").agg(
-        F.max("own").alias("own"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(c + 1.0)).alias("logs"))
+        F.max("own").alias("own"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(c + 1.0)).alias("logs"),
+        F.sum(F.col("n") * v).alias("gain"))
     base = F.col("own.logs") + F.col("logs") - F.col("own.n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
     return sums.select(
         "own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("known")).alias("n_known"),
-        F.lit(int(total["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.gain")).alias("score"))
+        F.lit(int(total["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.gain") + F.col("gain")).alias("score"))

@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import documents, lower, words
@@ -39,19 +38,64 @@ def test_base_and_counts(spark, monkeypatch):
     assert better > 0.8 * sum(r.held_out for r in got.values())
 
 
-def test_chances_after_any_context_sum_to_one(spark):
-    docs = documents(spark, corpus())
-    counts = Counter(w for t in corpus().values() for w in suffix_tree.tokens_of(t))
-    head = sorted(counts.items(), key=lambda r: (-r[1], r[0]))
-    numbers = np.array([c for _, c in head])
-    v = suffix_tree.Vocabulary({w: k for k, (w, _) in enumerate(head)}, numbers, 26, int(numbers.sum()), len(head))
-    tree = suffix_tree.grow(docs, v)
-    assert len(tree.contexts[0]) > 10
-    symbols = np.arange(27)
-    for one in range(27):
-        for two in range(27):
-            context = (np.full(27, one), np.full(27, (two << suffix_tree.BITS) | one))
-            assert math.isclose((10 ** tree.chances(symbols, context)).sum(), 1, rel_tol=1e-6)
+def plain_tree(texts, depth, least, divergence):
+    """chance(symbol, words before it) by a tree of plain dictionaries."""
+    streams = [["START", *words(lower(t)), "\n"] for t in texts]
+    unigrams = Counter(w for s in streams for w in s[1:])
+    whole = sum(unigrams.values()) + len(unigrams) + 1
+    after = {}
+    for s in streams:
+        for k in range(1, len(s)):
+            for d in range(1, min(depth, k) + 1):
+                after.setdefault(tuple(s[k - d:k]), Counter())[s[k]] += 1
+    after = {c: n for c, n in after.items() if sum(n.values()) >= least}
+
+    def ratio(context, w):
+        if not context:
+            return (unigrams[w] + 1) / whole
+        return after[context][w] / sum(after[context].values())
+
+    kept = {c for c, n in after.items() if sum(k * math.log(ratio(c, w) / ratio(c[1:], w)) for w, k in n.items()) - len(n) / 2 >= divergence}
+    kept |= {c[k:] for c in kept for k in range(1, len(c))}
+
+    def chance(context, w):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (unigrams[w] + 1) / whole
+        n, own = after[context], {}
+        below = {x: chance(context[1:], x) for x, k in n.items() if k >= 2}
+        for x, q in below.items():
+            own[x] = (n[x] + suffix_tree.PRIOR * q) / (sum(n.values()) + suffix_tree.PRIOR)
+        if w in own:
+            return own[w]
+        return chance(context[1:], w) * (1 - sum(own.values())) / (1 - sum(below.values()))
+
+    return chance, kept, unigrams
+
+
+def test_scores_are_those_of_a_plain_tree(spark, monkeypatch):
+    # Some words and entries are broadcast and some joined.
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", 2e-3)
+    monkeypatch.setattr(suffix_tree, "ENTRY_SHARE", 3e-3)
+    rnd = random.Random(3)
+    texts = {}
+    for k in range(150):
+        s = [rnd.choice("abcd"), rnd.choice("abcd")]
+        while len(s) < 30:  # the next word often follows from the two before it
+            s.append("abcd"["abcd".index(s[-2]) ^ "abcd".index(s[-1])] if rnd.random() < 0.8 else rnd.choice("abcd"))
+        texts[k] = " ".join(w.upper() if rnd.random() < 0.3 else w if rnd.random() < 0.9 else f"x{rnd.randrange(40)} {w}" for w in s)
+    texts |= {500: None, 501: "", 502: "a"}
+    got = suffix_tree.score_documents(documents(spark, texts), F.pmod("doc_id", F.lit(7)) == 2, 3, 10, 4.0).collect()
+    chance, kept, unigrams = plain_tree([t for k, t in texts.items() if k % 7 != 2], 3, 10, 4.0)
+    assert {len(c) for c in kept} == {1, 2, 3}
+    for context in list(kept)[:20] + [()]:
+        unseen = chance(context, "never seen")
+        assert math.isclose(sum(chance(context, w) for w in unigrams) + unseen, 1, rel_tol=1e-6)
+    for r in got:
+        s = ["START", *words(lower(texts[r.doc_id])), "\n"]
+        want = sum(math.log10(chance(tuple(s[max(0, k - 3):k]), s[k])) for k in range(1, len(s)))
+        assert math.isclose(r.score, want, rel_tol=1e-9), (r.doc_id, r.score, want)
 
 
 def test_no_training_and_no_rows(spark):
