@@ -1,11 +1,12 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are words, contexts are the last one to ``DEPTH`` words (a text begins after one START). A context is in the tree if it
+Contexts are the last one to ``DEPTH`` words (a text begins after one START). Words that occur ``MIN_CONTEXT`` times are
+symbols, and so are the few others that a filter of fixed size cannot tell from them; all other words are one symbol, RARE. A context is in the tree if it
 occurs ``MIN_CONTEXT`` times and its next-symbol distribution diverges from that of the context without its first word,
-or if a longer context that is in the tree ends with it. Both are absolute, so the tree grows with the corpus. A token
+or if a longer context that is in the tree ends with it. All of these are absolute, so the tree grows with the corpus. A token
 is scored by its longest context in the tree. Distributions are smoothed with those of the shorter context: a symbol
-that a context has seen once or never shares what is left of its mass in the shorter context's proportions. The root is
-the unigram base, add-one smoothed over all words.
+that a context has seen under ``LISTED`` times shares what is left of its mass in the shorter context's proportions. The
+root is the unigram base, add-one smoothed over all words, which also splits RARE's chance among rare words.
 
 The tree is a table of key and value: what a context adds to the logarithm of any next symbol's chance, and what it adds
 beyond that for each symbol it lists. A token's score is a sum of such values, so entries that many tokens use are
@@ -27,16 +28,18 @@ from lectern.llm.ngram_join import word_hashes
 
 #: Words a context has at most, occurrences it needs, and nats of divergence over all of them beyond what chance gives.
 DEPTH, MIN_CONTEXT, DIVERGENCE = 3, 100, 20.0
-#: Words with this share of the tokens (a million at most) and tree entries used by the second share of them (250,000
+#: Occurrences after a context from which a symbol has a chance of its own there.
+LISTED = 10
+#: Words with this share of the tokens (a million at most) and tree entries used by the second share of them (500,000
 #: contexts and as many symbols a level at most) are broadcast; others are joined. This changes where, not what.
-HEAD_SHARE, ENTRY_SHARE = 1e-6, 4e-6
+HEAD_SHARE, ENTRY_SHARE = 1e-6, 2e-6
 #: Weight of the shorter context's distribution, in occurrences.
 PRIOR = 5.0
 #: Bits of the filters for keys, a fixed size; a wrong hit costs a lookup.
 FILTER_BITS = 25
 END_TOKEN = "\n"
 
-_START, _END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_START, _END, _RARE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _SPACES = bytes.maketrans(bytes([*range(65, 91), 0x09, 0x0A, 0x0B, 0x0C, 0x0D]), bytes([*range(97, 123)] + [0x20] * 5))
 
 
@@ -96,7 +99,32 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def _count_level(depth: int, shared):
+def _pooled(bits: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    return np.where(_passes(bits, symbols), symbols, _RARE)
+
+
+def _word_symbols(shared):
+    """The symbol of each word, RARE where a filter says so."""
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in text_batches(batches, "word"):
+            symbols = np.full(rows.num_rows, _END)
+            owner, hashes = word_hashes(data, bounds)
+            symbols[owner] = hashes
+            if shared is not None:
+                symbols = _pooled(shared.value, symbols)
+            yield pa.RecordBatch.from_arrays([pa.array(symbols.view(np.int64)), rows.column("c")], names=["symbol", "c"])
+    return named
+
+
+def frequent_words(words: DataFrame, least: int) -> np.ndarray:
+    """The filter for symbols, from all ``words`` (word, c) that occur ``least`` times; START is one."""
+    bits = _filter_of(words.where(F.col("c") >= least).mapInArrow(_word_symbols(None), "symbol bigint, c bigint").select(F.col("symbol").alias("key")))
+    slot = int(_START) & (1 << FILTER_BITS) - 1
+    bits[slot >> 3] |= 1 << (slot & 7)
+    return bits
+
+
+def _count_level(depth: int, frequent, shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in text_batches(batches, most=4 << 20):
             _, place, symbols = _symbols(data, bounds)
@@ -104,9 +132,9 @@ def _count_level(depth: int, shared):
             for level in range(1, depth + 1):
                 before = np.roll(contexts ^ symbols, 1)
                 contexts, shorter = _longer(contexts, symbols, level), contexts
-            use = place >= depth
-            if depth > 1:
-                use &= _passes(shared.value, before)
+            # A context of too few occurrences is one of a rare word, or of a pair that occurs too rarely.
+            use = (place >= depth) & _passes(shared.value, before)
+            symbols = _pooled(frequent.value, symbols)
             codes, at, counts = np.unique((contexts ^ symbols)[use], return_index=True, return_counts=True)
             columns = [pa.array(c[use][at].view(np.int64)) for c in (contexts, shorter, symbols)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=["context", "shorter", "symbol", "n"])
@@ -117,24 +145,28 @@ def _pair() -> Column:
     return F.col("context").bitwiseXOR(F.col("symbol"))
 
 
-def grow(training: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE) -> DataFrame:
-    """key, n, v: the tree of all rows of ``training`` (text), which have ``tokens`` tokens of ``kinds`` words.
+def grow(training: DataFrame, words: DataFrame, frequent, whole: float, depth: int, least: int, divergence: float, listed_from: int) -> DataFrame:
+    """key, n, v: the tree of all rows of ``training`` (text), whose words are ``words`` (word, c) and as many as ``whole`` with all smoothing.
+
+    ``frequent`` is the broadcast filter for symbols.
 
     ``v`` is added to the logarithm of a chance where the key is that of the context or of the pair; ``n`` is how often the
     training meets it. Nothing but filters of fixed size reaches the driver.
     """
     spark = training.sparkSession
     levels: list[DataFrame] = []
-    shared = root = None
+    shared = frequent
+    rare = F.lit(int(_RARE.view(np.int64)))
+    root = cut_lineage(words.mapInArrow(_word_symbols(frequent), "symbol bigint, c bigint").groupBy("symbol").agg(F.sum(F.col("c") + 1).alias("c"))
+                       .select("symbol", ((F.col("c") + F.when(F.col("symbol") == rare, 1).otherwise(0)) / F.lit(whole)).alias("chance")))
     for level in range(1, depth + 1):
-        codes = cut_lineage(training.select("text").mapInArrow(_count_level(level, shared), "context bigint, shorter bigint, symbol bigint, n bigint")
+        codes = cut_lineage(training.select("text").mapInArrow(_count_level(level, frequent, shared), "context bigint, shorter bigint, symbol bigint, n bigint")
                             .groupBy("context", "shorter", "symbol").agg(F.sum("n").alias("n")))
-        if level == 1:
-            root = cut_lineage(codes.groupBy("symbol").agg(((F.sum("n") + 1) / F.lit(float(tokens + kinds + 1))).alias("chance")))
         enough = codes.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
         levels.append(cut_lineage(codes.join(enough, "context")))
         if level < depth:
-            shared = spark.sparkContext.broadcast(_filter_of(levels[-1].where(F.col("n") >= least).select(_pair().alias("key"))))
+            often = levels[-1].where((F.col("n") >= least) & (F.col("symbol") != rare))
+            shared = spark.sparkContext.broadcast(_filter_of(often.select(_pair().alias("key"))))
     # From the longest contexts to the shortest: those that diverge, and the ends of longer ones.
     kept: list[DataFrame] = []
     for level in range(depth, 0, -1):
@@ -153,7 +185,7 @@ def grow(training: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least
     for level, rows in enumerate(kept, 1):
         on = ["symbol"] if level == 1 else ["shorter", "symbol"]
         own = (F.col("n") + PRIOR * F.col("below")) / (F.col("all") + PRIOR)
-        listed = cut_lineage(rows.where("n >= 2").join(below.withColumnRenamed("chance", "below"), on).withColumn("chance", own))
+        listed = cut_lineage(rows.where(F.col("n") >= listed_from).join(below.withColumnRenamed("chance", "below"), on).withColumn("chance", own))
         rest = [F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("chance", "below")]
         left = cut_lineage(listed.groupBy("context").agg(F.max("all").alias("all"), F.log10(rest[0] / rest[1]).alias("left")))
         pairs = listed.join(left.select("context", "left"), "context").select(
@@ -174,15 +206,15 @@ def _score(shared, depth: int):
                           ("logs", pa.float64()), ("gain", pa.float64())])
     names = ("doc_id", "held_out", "n_tokens", "known", "logs", "gain")
 
-    def tree_sums(rows: int, data: np.ndarray, bounds: np.ndarray, head: np.ndarray, values: np.ndarray, bits: np.ndarray | None) -> tuple:
+    def tree_sums(rows: int, data: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, head: np.ndarray, values: np.ndarray, bits: np.ndarray | None) -> tuple:
         """(sum of broadcast values of each text, texts, keys and counts of what is joined)."""
         gains, owners, tails = np.zeros(rows), [], []
         texts, place, symbols = _symbols(data, bounds)
-        contexts, alive = np.zeros(len(symbols), dtype=np.uint64), place >= 1
+        contexts, alive, own = np.zeros(len(symbols), dtype=np.uint64), place >= 1, _pooled(frequent, symbols)
         for level in range(1, depth + 1):
             contexts = _longer(contexts, symbols, level)
             alive = alive & (place >= level)
-            for keys in (contexts, contexts ^ symbols):
+            for keys in (contexts, contexts ^ own):
                 at = np.flatnonzero(alive)
                 where = np.minimum(np.searchsorted(head, keys[at]), max(len(head) - 1, 0))
                 hit = head[where] == keys[at] if len(head) else np.zeros(len(at), dtype=bool)
@@ -200,7 +232,7 @@ def _score(shared, depth: int):
         return gains, owner[first], tail[first].view(np.int64), np.diff(np.append(first, len(tail)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts, head, values, bits = shared.value
+        index, counts, frequent, head, values, bits = shared.value
         logs = np.log10(np.append(counts, 0) + 1.0)
         for rows, data, bounds in text_batches(batches):
             parts = [tokens_of(t) for t in rows.column("text").to_pylist()]
@@ -209,7 +241,7 @@ def _score(shared, depth: int):
             numbers = np.array(list(map(index.get, tokens, [len(index)] * len(tokens))), dtype=np.int64)
             common = numbers < len(index)
             total = lambda weights: np.bincount(owner, weights=weights, minlength=rows.num_rows)
-            gains, texts, keys, times = tree_sums(rows.num_rows, data, bounds, head, values, bits)
+            gains, texts, keys, times = tree_sums(rows.num_rows, data, bounds, frequent, head, values, bits)
             own = zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), total(None).astype(np.int64).tolist(),
                       total(common).astype(np.int64).tolist(), total(np.where(common, logs[numbers], 0.0)).tolist(), gains.tolist(), strict=True)
             rare: Counter = Counter((owner[k], tokens[k]) for k in np.flatnonzero(~common).tolist())
@@ -225,7 +257,8 @@ def _score(shared, depth: int):
     return emit
 
 
-def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE,
+                    listed_from: int = LISTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
     Rows that ``held_out`` holds for are scored only; the tree and the word counts are of all others. A token is a
@@ -243,9 +276,10 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     frequent = sorted(((r["word"], r["c"]) for r in words.where(F.col("c") >= few).toLocalIterator()), key=lambda r: (-r[1], r[0]))
     index, counts = {w: k for k, (w, _) in enumerate(frequent)}, np.array([c for _, c in frequent], dtype=np.int64)
     lookup = words.where(F.col("c") < few).select("word", "c", F.lit(0.0).alias("v"))
-    head, values, bits = np.empty(0, dtype=np.uint64), np.empty(0), None
+    symbols, head, values, bits = frequent_words(words, least), np.empty(0, dtype=np.uint64), np.empty(0), None
+    whole = float(total["n"] + total["v"] + 1)
     if total["n"]:
-        tree = grow(training, total["n"], total["v"], depth, least, divergence)
+        tree = grow(training, words, spark.sparkContext.broadcast(symbols), whole, depth, least, divergence, listed_from)
         often = F.col("n") >= total["n"] * ENTRY_SHARE
         frame = tree.where(often).select("key", "v").toPandas()
         head, values = frame["key"].to_numpy(dtype=np.int64).view(np.uint64), frame["v"].to_numpy(dtype=np.float64)
@@ -254,14 +288,14 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
         tail = tree.where(~often)
         bits = _filter_of(tail.select("key"))
         lookup = lookup.union(tail.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(0).cast("bigint"), "v"))
-    shared = spark.sparkContext.broadcast((index, counts, head, values, bits if bits is not None and bits.any() else None))
+    shared = spark.sparkContext.broadcast((index, counts, symbols, head, values, bits if bits is not None and bits.any() else None))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     joined = numbered.mapInArrow(_score(shared, depth), _PARTS).join(lookup, "word", "left")
     c, v = F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0.0))
     sums = joined.groupBy("row").agg(
         F.max("own").alias("own"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(c + 1.0)).alias("logs"),
         F.sum(F.col("n") * v).alias("gain"))
-    base = F.col("own.logs") + F.col("logs") - F.col("own.n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
+    base = F.col("own.logs") + F.col("logs") - F.col("own.n_tokens") * F.log10(F.lit(whole))
     return sums.select(
         "own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("known")).alias("n_known"),
         F.lit(int(total["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.gain") + F.col("gain")).alias("score"))

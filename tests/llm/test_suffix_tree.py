@@ -38,21 +38,28 @@ def test_base_and_counts(spark, monkeypatch):
     assert better > 0.8 * sum(r.held_out for r in got.values())
 
 
-def plain_tree(texts, depth, least, divergence):
-    """chance(symbol, words before it) by a tree of plain dictionaries."""
+def plain_tree(texts, depth, least, divergence, listed):
+    """chance(words before, symbol), contexts and (symbol, chance) of a word by a tree of plain dictionaries."""
     streams = [["START", *words(lower(t)), "\n"] for t in texts]
     unigrams = Counter(w for s in streams for w in s[1:])
     whole = sum(unigrams.values()) + len(unigrams) + 1
     after = {}
+
+    def symbol(w):
+        return w if unigrams[w] >= least else "RARE"
+
+    root = {"RARE": 1 / whole}
+    for w, c in unigrams.items():
+        root[symbol(w)] = root.get(symbol(w), 0) + (c + 1) / whole
     for s in streams:
         for k in range(1, len(s)):
             for d in range(1, min(depth, k) + 1):
-                after.setdefault(tuple(s[k - d:k]), Counter())[s[k]] += 1
+                after.setdefault(tuple(s[k - d:k]), Counter())[symbol(s[k])] += 1
     after = {c: n for c, n in after.items() if sum(n.values()) >= least}
 
     def ratio(context, w):
         if not context:
-            return (unigrams[w] + 1) / whole
+            return root[w]
         return after[context][w] / sum(after[context].values())
 
     kept = {c for c, n in after.items() if sum(k * math.log(ratio(c, w) / ratio(c[1:], w)) for w, k in n.items()) - len(n) / 2 >= divergence}
@@ -62,16 +69,16 @@ def plain_tree(texts, depth, least, divergence):
         while context and context not in kept:
             context = context[1:]
         if not context:
-            return (unigrams[w] + 1) / whole
+            return root[w]
         n, own = after[context], {}
-        below = {x: chance(context[1:], x) for x, k in n.items() if k >= 2}
+        below = {x: chance(context[1:], x) for x, k in n.items() if k >= listed}
         for x, q in below.items():
             own[x] = (n[x] + suffix_tree.PRIOR * q) / (sum(n.values()) + suffix_tree.PRIOR)
         if w in own:
             return own[w]
         return chance(context[1:], w) * (1 - sum(own.values())) / (1 - sum(below.values()))
 
-    return chance, kept, unigrams
+    return chance, kept, root, lambda w: (symbol(w), (unigrams[w] + 1) / whole)
 
 
 def test_scores_are_those_of_a_plain_tree(spark, monkeypatch):
@@ -86,15 +93,17 @@ def test_scores_are_those_of_a_plain_tree(spark, monkeypatch):
             s.append("abcd"["abcd".index(s[-2]) ^ "abcd".index(s[-1])] if rnd.random() < 0.8 else rnd.choice("abcd"))
         texts[k] = " ".join(w.upper() if rnd.random() < 0.3 else w if rnd.random() < 0.9 else f"x{rnd.randrange(40)} {w}" for w in s)
     texts |= {500: None, 501: "", 502: "a"}
-    got = suffix_tree.score_documents(documents(spark, texts), F.pmod("doc_id", F.lit(7)) == 2, 3, 10, 4.0).collect()
-    chance, kept, unigrams = plain_tree([t for k, t in texts.items() if k % 7 != 2], 3, 10, 4.0)
+    got = suffix_tree.score_documents(documents(spark, texts), F.pmod("doc_id", F.lit(7)) == 2, 3, 10, 4.0, 3).collect()
+    chance, kept, root, word = plain_tree([t for k, t in texts.items() if k % 7 != 2], 3, 10, 4.0, 3)
     assert {len(c) for c in kept} == {1, 2, 3}
     for context in list(kept)[:20] + [()]:
-        unseen = chance(context, "never seen")
-        assert math.isclose(sum(chance(context, w) for w in unigrams) + unseen, 1, rel_tol=1e-6)
+        assert math.isclose(sum(chance(context, w) for w in root), 1, rel_tol=1e-6)
     for r in got:
         s = ["START", *words(lower(texts[r.doc_id])), "\n"]
-        want = sum(math.log10(chance(tuple(s[max(0, k - 3):k]), s[k])) for k in range(1, len(s)))
+        want = 0.0
+        for k in range(1, len(s)):
+            own, base = word(s[k])
+            want += math.log10(base * chance(tuple(s[max(0, k - 3):k]), own) / root[own])
         assert math.isclose(r.score, want, rel_tol=1e-9), (r.doc_id, r.score, want)
 
 
