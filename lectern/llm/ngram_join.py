@@ -34,10 +34,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each word of lower-cased texts that lie one after another in ``data``."""
-    if not len(data):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each word of texts that lie one after another in ``data``."""
     solid = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds] = True
@@ -46,8 +44,20 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    return owner, Prefixes(_LOWER[data]).of(starts, stops)
+    return np.searchsorted(bounds, starts, side="right") - 1, starts, stops
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each word of lower-cased texts that lie one after another in ``data``."""
+    if not len(data):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    owner, starts, stops = word_places(data, bounds)
+    return owner, Prefixes(lowered(data)).of(starts, stops)
 
 
 def gram_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.common import cut_lineage, text_batches
-from lectern.llm.hashing import mixed
-from lectern.llm.ngram_join import word_hashes
+from lectern.llm.hashing import Prefixes, mixed
+from lectern.llm.ngram_join import lowered, word_hashes, word_places
 
 #: Words a context has at most, occurrences it needs, and nats of divergence over all of them beyond what chance gives.
 DEPTH, MIN_CONTEXT, DIVERGENCE = 3, 100, 20.0
@@ -40,17 +40,25 @@ FILTER_BITS = 25
 END_TOKEN = "\n"
 
 _START, _END, _RARE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
-_SPACES = bytes.maketrans(bytes([*range(65, 91), 0x09, 0x0A, 0x0B, 0x0C, 0x0D]), bytes([*range(97, 123)] + [0x20] * 5))
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """The words of a text with A-Z lower-cased, and the end."""
-    out = [w for w in (text or "").encode().translate(_SPACES).decode().split(" ") if w]
-    out.append(END_TOKEN)
-    return out
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, start, end) of each word, and the lower-cased bytes."""
+    text = lowered(data)
+    if not len(data):
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none, text
+    owner, starts, stops = word_places(data, bounds)
+    return owner, Prefixes(text).of(starts, stops), starts, stops, text
+
+
+def _spelled(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[str]:
+    raw = text.tobytes()
+    return [raw[a:b].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and ends with their counts. Within a part of a few MB words are told apart by their hashes."""
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -58,11 +66,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return batch
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(tokens_of(text))
-            if len(counts) > 300_000:
-                yield flush()
+    for rows, data, bounds in text_batches(batches, most=4 << 20):
+        _, hashes, starts, stops, text = _words(data, bounds)
+        _, at, times = np.unique(hashes, return_index=True, return_counts=True)
+        for word, n in zip(_spelled(text, starts[at], stops[at]), times.tolist(), strict=True):
+            counts[word] += n
+        counts[END_TOKEN] += rows.num_rows
+        if len(counts) > 300_000:
+            yield flush()
     yield flush()
 
 
@@ -232,38 +243,60 @@ def _score(shared, depth: int):
         return gains, owner[first], tail[first].view(np.int64), np.diff(np.append(first, len(tail)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts, frequent, head, values, bits = shared.value
-        logs = np.log10(np.append(counts, 0) + 1.0)
+        known, counts, frequent, head, values, bits = shared.value
+        logs = np.log10(counts + 1.0)
         for rows, data, bounds in text_batches(batches):
-            parts = [tokens_of(t) for t in rows.column("text").to_pylist()]
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            tokens = [w for p in parts for w in p]
-            numbers = np.array(list(map(index.get, tokens, [len(index)] * len(tokens))), dtype=np.int64)
-            common = numbers < len(index)
+            owner, hashes, starts, stops, text = _words(data, bounds)
+            # The end of each text follows its words.
+            owner, tokens = np.append(owner, np.arange(rows.num_rows)), np.append(hashes, np.full(rows.num_rows, _END))
+            numbers = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+            common = known[numbers] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
             total = lambda weights: np.bincount(owner, weights=weights, minlength=rows.num_rows)
+            found = np.zeros(len(tokens))
+            found[common] = logs[numbers[common]]
             gains, texts, keys, times = tree_sums(rows.num_rows, data, bounds, frequent, head, values, bits)
             own = zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), total(None).astype(np.int64).tolist(),
-                      total(common).astype(np.int64).tolist(), total(np.where(common, logs[numbers], 0.0)).tolist(), gains.tolist(), strict=True)
-            rare: Counter = Counter((owner[k], tokens[k]) for k in np.flatnonzero(~common).tolist())
+                      total(common).astype(np.int64).tolist(), total(found).tolist(), gains.tolist(), strict=True)
             ids = np.asarray(rows.column("row"))
+            rare = np.flatnonzero(~common)
+            rare = rare[np.lexsort((tokens[rare], owner[rare]))]
+            fresh = np.ones(len(rare), dtype=bool)
+            fresh[1:] = (owner[rare[1:]] != owner[rare[:-1]]) | (tokens[rare[1:]] != tokens[rare[:-1]])
+            often = np.diff(np.append(np.flatnonzero(fresh), len(rare)))
+            rare = rare[fresh]
+            is_word = rare < len(hashes)
+            places = np.minimum(rare, max(len(hashes) - 1, 0))
+            spelled = np.full(len(rare), END_TOKEN, dtype=object)
+            spelled[is_word] = _spelled(text, starts[places[is_word]], stops[places[is_word]])
             # Own sums and tree keys travel under names that no word has, so they are spread like words.
             marked = pc.binary_join_element_wise("\t", pa.array(keys, pa.int64()).cast(pa.string()), "")
-            named = pa.concat_arrays([pa.array([f"\n{i}" for i in ids], pa.string()), pa.array([w for _, w in rare], pa.string()), marked])
+            named = pa.concat_arrays([pa.array([f"\n{i}" for i in ids], pa.string()), pa.array(spelled, pa.string()), marked])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([ids, ids[np.array([k for k, _ in rare], dtype=np.int64)], ids[texts]])), named,
-                pa.array(np.concatenate([np.zeros(len(ids), np.int64), np.array(list(rare.values()), dtype=np.int64), times]), pa.int32()),
+                pa.array(np.concatenate([ids, ids[owner[rare]], ids[texts]])), named,
+                pa.array(np.concatenate([np.zeros(len(ids), np.int64), often, times]), pa.int32()),
                 pa.array([dict(zip(names, o, strict=True)) for o in own] + [None] * (len(rare) + len(keys)), own_type)],
                 names=["row", "word", "n", "own"])
     return emit
 
 
+def _hashed(words: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words and ends, ascending, and their counts."""
+    data = [w.encode() for w, _ in words]
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in data])]).astype(np.int64)
+    owner, hashes, *_ = _words(np.frombuffer(b"".join(data), dtype=np.uint8), bounds)
+    known = np.full(len(words), _END)
+    known[owner] = hashes
+    order = np.argsort(known)
+    return known[order], np.array([c for _, c in words], dtype=np.int64)[order]
+
+
 def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE,
                     listed_from: int = LISTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
     Rows that ``held_out`` holds for are scored only; the tree and the word counts are of all others. A token is a
     lower-cased word, or the end that every text has; ``n_known`` counts those seen in training. ``score`` is the base
-    plus what the tree adds. Null and empty texts are an end alone. Repeated rows are rows,
+    plus what the tree adds. Null and empty texts are an end alone. Words are told apart by 64-bit hashes where they meet frequent ones. Repeated rows are rows,
     null ids are kept, no rows give no rows, other columns are ignored; without training rows score and base are equal.
     Frequent words and tree entries, both bounded by the shares above, are broadcast; all others are joined.
     """
@@ -273,8 +306,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     words = cut_lineage(training.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     few = max(total["n"] * HEAD_SHARE, 1)
-    frequent = sorted(((r["word"], r["c"]) for r in words.where(F.col("c") >= few).toLocalIterator()), key=lambda r: (-r[1], r[0]))
-    index, counts = {w: k for k, (w, _) in enumerate(frequent)}, np.array([c for _, c in frequent], dtype=np.int64)
+    known, counts = _hashed([(r["word"], r["c"]) for r in words.where(F.col("c") >= few).toLocalIterator()])
     lookup = words.where(F.col("c") < few).select("word", "c", F.lit(0.0).alias("v"))
     symbols, head, values, bits = frequent_words(words, least), np.empty(0, dtype=np.uint64), np.empty(0), None
     whole = float(total["n"] + total["v"] + 1)
@@ -288,7 +320,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
         tail = tree.where(~often)
         bits = _filter_of(tail.select("key"))
         lookup = lookup.union(tail.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(0).cast("bigint"), "v"))
-    shared = spark.sparkContext.broadcast((index, counts, symbols, head, values, bits if bits is not None and bits.any() else None))
+    shared = spark.sparkContext.broadcast((known, counts, symbols, head, values, bits if bits is not None and bits.any() else None))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     joined = numbered.mapInArrow(_score(shared, depth), _PARTS).join(lookup, "word", "left")
     c, v = F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0.0))
