@@ -180,6 +180,7 @@ def grow(training: DataFrame, words: DataFrame, frequent, whole: float, depth: i
             shared = spark.sparkContext.broadcast(_filter_of(often.select(_pair().alias("key"))))
     # From the longest contexts to the shortest: those that diverge, and the ends of longer ones.
     kept: list[DataFrame] = []
+    ends: DataFrame | None = None
     for level in range(depth, 0, -1):
         rows = levels[level - 1]
         if level == 1:
@@ -188,15 +189,16 @@ def grow(training: DataFrame, words: DataFrame, frequent, whole: float, depth: i
             compared = rows.join(levels[level - 2].select(F.col("context").alias("shorter"), "symbol", (F.col("n") / F.col("all")).alias("q")), ["shorter", "symbol"])
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))) - F.count(F.lit(1)) / 2
         chosen = compared.groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= divergence).select("context")
-        if kept:
-            chosen = chosen.union(kept[0].select("shorter")).distinct()
-        kept.insert(0, cut_lineage(rows.join(chosen, "context", "left_semi")))
+        # A table of known size: rows meet it without a shuffle while it is small.
+        chosen = cut_lineage(chosen if ends is None else chosen.union(ends).distinct())
+        kept.insert(0, rows.where(F.col("n") >= listed_from).join(chosen, "context", "left_semi"))
+        ends = rows.join(chosen, "context", "left_semi").select(F.col("shorter").alias("context"))
     # From the shortest to the longest: what a context lists, its shorter context lists too.
     entries, below = None, root
     for level, rows in enumerate(kept, 1):
         on = ["symbol"] if level == 1 else ["shorter", "symbol"]
         own = (F.col("n") + PRIOR * F.col("below")) / (F.col("all") + PRIOR)
-        listed = cut_lineage(rows.where(F.col("n") >= listed_from).join(below.withColumnRenamed("chance", "below"), on).withColumn("chance", own))
+        listed = cut_lineage(rows.join(below.withColumnRenamed("chance", "below"), on).withColumn("chance", own))
         rest = [F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("chance", "below")]
         left = cut_lineage(listed.groupBy("context").agg(F.max("all").alias("all"), F.log10(rest[0] / rest[1]).alias("left")))
         pairs = listed.join(left.select("context", "left"), "context").select(
