@@ -30,9 +30,9 @@ from lectern.llm.ngram_join import lowered, word_hashes, word_places
 DEPTH, MIN_CONTEXT, DIVERGENCE = 3, 100, 20.0
 #: Occurrences after a context from which a symbol has a chance of its own there.
 LISTED = 10
-#: Words with this share of the tokens (a million at most) and tree entries used by the second share of them (500,000
-#: contexts and as many symbols a level at most) are broadcast; others are joined. This changes where, not what.
-HEAD_SHARE, ENTRY_SHARE = 1e-6, 2e-6
+#: Most words and most tree entries that are broadcast, the most frequent ones; others are joined. This changes where,
+#: not what: 16 bytes each, and what is joined has at most about one in so many tokens.
+HEAD_WORDS = HEAD_ENTRIES = 1 << 20
 #: Weight of the shorter context's distribution, in occurrences.
 PRIOR = 5.0
 #: Bits of the filters for keys, a fixed size; a wrong hit costs a lookup.
@@ -281,15 +281,27 @@ def _score(shared, depth: int):
     return emit
 
 
-def _hashed(words: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of words and ends, ascending, and their counts."""
-    data = [w.encode() for w, _ in words]
-    bounds = np.concatenate([[0], np.cumsum([len(w) for w in data])]).astype(np.int64)
-    owner, hashes, *_ = _words(np.frombuffer(b"".join(data), dtype=np.uint8), bounds)
-    known = np.full(len(words), _END)
-    known[owner] = hashes
-    order = np.argsort(known)
-    return known[order], np.array([c for _, c in words], dtype=np.int64)[order]
+def _band(count: str) -> Column:
+    """Counts in quarters of a doubling, so that there are a few hundred bands at most."""
+    return F.floor(F.log2(F.col(count).cast("double")) * 4)
+
+
+def frequent_band(rows: DataFrame, count: str, most: int) -> int:
+    """The least band from which on there are no more than ``most`` rows."""
+    total, least = 0, None
+    for r in sorted(rows.groupBy(_band(count).alias("band")).count().collect(), key=lambda r: -r["band"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["band"]
+    return 1 << 10 if least is None else least
+
+
+def _sorted(keys: pa.ChunkedArray, values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as unsigned numbers, ascending, and their values."""
+    keys = keys.to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], values.to_numpy()[order]
 
 
 def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = MIN_CONTEXT, divergence: float = DIVERGENCE,
@@ -300,25 +312,24 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     lower-cased word, or the end that every text has; ``n_known`` counts those seen in training. ``score`` is the base
     plus what the tree adds. Null and empty texts are an end alone. Words are told apart by 64-bit hashes where they meet frequent ones. Repeated rows are rows,
     null ids are kept, no rows give no rows, other columns are ignored; without training rows score and base are equal.
-    Frequent words and tree entries, both bounded by the shares above, are broadcast; all others are joined.
+    Frequent words and tree entries, both bounded by the numbers above, are broadcast; all others are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
     training = docs.where(~F.col("held_out"))
     words = cut_lineage(training.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    few = max(total["n"] * HEAD_SHARE, 1)
-    known, counts = _hashed([(r["word"], r["c"]) for r in words.where(F.col("c") >= few).toLocalIterator()])
-    lookup = words.where(F.col("c") < few).select("word", "c", F.lit(0.0).alias("v"))
+    often = _band("c") >= frequent_band(words, "c", HEAD_WORDS)
+    frame = words.where(often).mapInArrow(_word_symbols(None), "symbol bigint, c bigint").toArrow()
+    known, counts = _sorted(frame.column("symbol"), frame.column("c"))
+    lookup = words.where(~often).select("word", "c", F.lit(0.0).alias("v"))
     symbols, head, values, bits = frequent_words(words, least), np.empty(0, dtype=np.uint64), np.empty(0), None
     whole = float(total["n"] + total["v"] + 1)
     if total["n"]:
         tree = grow(training, words, spark.sparkContext.broadcast(symbols), whole, depth, least, divergence, listed_from)
-        often = F.col("n") >= total["n"] * ENTRY_SHARE
-        frame = tree.where(often).select("key", "v").toPandas()
-        head, values = frame["key"].to_numpy(dtype=np.int64).view(np.uint64), frame["v"].to_numpy(dtype=np.float64)
-        order = np.argsort(head)
-        head, values = head[order], values[order]
+        often = _band("n") >= frequent_band(tree, "n", HEAD_ENTRIES)
+        frame = tree.where(often).select("key", "v").toArrow()
+        head, values = _sorted(frame.column("key"), frame.column("v"))
         tail = tree.where(~often)
         bits = _filter_of(tail.select("key"))
         lookup = lookup.union(tail.select(F.concat(F.lit("\t"), F.col("key").cast("string")), F.lit(0).cast("bigint"), "v"))

@@ -20,7 +20,7 @@ def corpus():
 
 
 def test_base_and_counts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", 2e-3)
+    monkeypatch.setattr(suffix_tree, "HEAD_WORDS", 20)
     texts = corpus()
     held = F.pmod("doc_id", F.lit(7)) == 2
     got = {r.doc_id: r for r in suffix_tree.score_documents(documents(spark, texts, extra=True), held).collect()}
@@ -83,8 +83,8 @@ def plain_tree(texts, depth, least, divergence, listed):
 
 def test_scores_are_those_of_a_plain_tree(spark, monkeypatch):
     # Some words and entries are broadcast and some joined.
-    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", 2e-3)
-    monkeypatch.setattr(suffix_tree, "ENTRY_SHARE", 3e-3)
+    monkeypatch.setattr(suffix_tree, "HEAD_WORDS", 20)
+    monkeypatch.setattr(suffix_tree, "HEAD_ENTRIES", 20)
     rnd = random.Random(3)
     texts = {}
     for k in range(150):
