@@ -72,10 +72,13 @@ def requests_for_new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations_written_twice(spark: SparkSession, sf_dir: str, located: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Located findings arrive in two files with the same rows; each annotation is stored once."""
+    """Located findings arrive twice, those of a document in one file; each annotation is stored once.
+
+    A batch takes some of the files. If a document's rows lay in several, an earlier batch could store a later finding of a place.
+    """
     source, out = shared_folder(spark, "located"), shared_folder(spark, "annotations")
     for _ in range(2):
-        located.write.mode("append").parquet(source)
+        located.repartition("doc_id").write.mode("append").parquet(source)
     stream = spark.readStream.schema(located.schema).option("maxFilesPerTrigger", 8).parquet(source)
     jobs.append_annotations(stream, out, f"{out}-progress", cfg).awaitTermination()
     return jobs.read_batches(spark, out, jobs.ANNOTATION_SCHEMA).select("doc_id", "color", "sort_index", "text", "comment")
