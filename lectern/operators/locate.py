@@ -5,7 +5,8 @@ line_break_after>>``. Pages without character data are absent or have null ``cha
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -34,23 +35,21 @@ def page_text_udf(pages: pd.Series) -> pd.DataFrame:
 def with_page_text(pages: DataFrame) -> DataFrame:
     """Adds ``text`` (canonical page text) and ``offsets`` (canonical position -> character index).
 
-    Store the result: every quote of a document reads it. Pages of plain single characters stay in the JVM.
+    Store the texts: every quote of a document reads them. Pages of plain single characters stay in the JVM. Either column is
+    made on its own, so who reads one does not pay for the other.
     """
     units = F.transform("chars", lambda ch: F.when(F.coalesce(ch["ignorable"], F.lit(False)), F.lit("")).otherwise(
         F.coalesce(ch["u"], ch["c"], F.lit(""))))
-
-    def in_jvm(us: Column) -> Column:
-        joined = F.array_join(us, "")
-        plain = ~t.needs_kernel(joined) & F.forall(us, lambda u: F.length(u) <= 1)
-        kept = F.filter(indexes(us), lambda i: ~F.contains(F.lit(DROPPED), at(us, i)))
-        text = F.struct(t.canon_plain(joined).alias("text"), kept.alias("offsets"))
-        return F.struct(F.when(plain, text).alias("plain"), F.when(~plain, us).alias("odd"))
-
+    joined = F.array_join("_units", "")
+    plain = ~t.needs_kernel(joined) & F.forall("_units", lambda u: F.length(u) <= 1)
+    kept = let(F.col("_units"), lambda us: F.filter(indexes(us), lambda i: ~F.contains(F.lit(DROPPED), at(us, i))))
     return (
         pages.where(F.col("chars").isNotNull())
-        .withColumn("_read", let(units, in_jvm))
-        .withColumn("_text", F.coalesce(F.col("_read.plain"), page_text_udf(F.col("_read.odd"))))
-        .select(*pages.columns, "_text.text", "_text.offsets")
+        .withColumn("_units", units)
+        .withColumn("_plain", plain)
+        .withColumn("_odd", page_text_udf(F.when(~F.col("_plain"), F.col("_units"))))
+        .select(*pages.columns, F.when(F.col("_plain"), t.canon_plain(joined)).otherwise(F.col("_odd.text")).alias("text"),
+                F.when(F.col("_plain"), kept).otherwise(F.col("_odd.offsets")).alias("offsets"))
     )
 
 
@@ -136,14 +135,20 @@ def _dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+class PageBoxes(NamedTuple):
+    """Page rows that spans are joined to, and what makes their ``view_top``, ``chars`` and ``offsets`` if the rows don't hold them."""
+    rows: DataFrame
+    boxed: Callable[[DataFrame], DataFrame] | None
+
+
 #: Spans that meet one copy of a page's boxes.
 PAGE_SPANS = 1000
 
 
-def _with_rects(spans: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
+def _with_rects(spans: DataFrame, boxes: PageBoxes, keep: list[str]) -> DataFrame:
     """Rectangles for spans (a written table); spans without sound boxes disappear, ambiguous ones stay as they are.
 
-    A page's boxes travel once for all its spans; those of a page with very many are dealt to several copies of it.
+    A page's row travels once for all its spans; those of a page with very many are dealt to several copies of it.
     """
     counts = spans.groupBy("doc_id", "page_index").agg(F.ceil(F.count(F.lit(1)) / PAGE_SPANS).cast("long").alias("_slots")).where("_slots > 1")
     slot = F.pmod(F.xxhash64(*keep), F.coalesce("_slots", F.lit(1)))
@@ -159,8 +164,11 @@ def _with_rects(spans: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFram
                         F.when(located, merged_rects(F.col("chars"), first, last)).alias("rects"))
 
     sound = F.filter(F.transform("asked", found), lambda f: (f["mode"] == "ambiguous") | f["rects"].isNotNull())
-    copies = boxes.join(counts, page, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)).cast("long") - 1))).drop("_slots")
+    copies = boxes.rows.join(counts, page, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)).cast("long") - 1))).drop("_slots")
     joined = asked.join(copies, [*page, "_slot"])
+    if boxes.boxed is not None:
+        # inline is a barrier: a page's boxes are made once, not for each of its spans
+        joined = boxes.boxed(joined).select(*page, F.inline(F.array(F.struct("asked", "view_top", "chars", "offsets"))))
     return joined.select(*page, "view_top", F.explode(sound).alias("f")).select(
         "doc_id", *[F.col(f"f.id.{c}").alias(c) for c in keep if c != "doc_id"], "page_index", "f.mode", "f.rects",
         sort_index(F.col("page_index"), F.col("f.first"), F.col("view_top"), F.col("f.rects")).alias("sort_index"))
@@ -218,7 +226,7 @@ def _all_page_spans(needles: DataFrame, documents: DataFrame, keep: list[str], h
     return found.select("id.*", "page_index", "mode", "start", "stop")
 
 
-def _search(needles: DataFrame, texts: DataFrame, documents: DataFrame, boxes: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+def _search(needles: DataFrame, texts: DataFrame, documents: DataFrame, boxes: PageBoxes, key: list[str], hot: DataFrame) -> DataFrame:
     """Location per needle: hinted page first, then the page rules over all pages of the document.
 
     Spans are stored before the boxes are joined: they are a few numbers per quote, and reading them is cheaper
@@ -254,15 +262,18 @@ def _search(needles: DataFrame, texts: DataFrame, documents: DataFrame, boxes: D
     return hinted.unionByName(scanned)
 
 
-def locate(findings: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
+def locate(findings: DataFrame, pages: DataFrame, key: list[str], boxed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Places of quotes: doc_id, key, page_index, rects, sort_index, fuzzy, partial. Unlocated quotes are absent.
 
     ``findings``: doc_id, key columns, quote, page (1-based hint, 0 unknown). ``pages``: output of ``with_page_text``.
+    Where boxes follow from something smaller, ``pages`` holds doc_id, page_index, text and that instead, and ``boxed`` adds view_top, chars
+    and offsets to such rows after they have met their quotes: a character's box is a hundred times its size in memory.
     A long quote found nowhere is tried by its first, then its last 55 %.
     """
     texts = pages.select("doc_id", "page_index", "text")
     documents = cut_lineage(document_pages(pages))
-    boxes = pages.select("doc_id", "page_index", "view_top", "chars", "offsets")
+    held = [c for c in pages.columns if c not in ("doc_id", "page_index", "text")]
+    boxes = PageBoxes(pages.select("doc_id", "page_index", *held), boxed)
     keep = ["doc_id", *key]
     needles = cut_lineage(
         findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("needle"))

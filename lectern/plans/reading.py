@@ -1,6 +1,8 @@
 """The two jobs around the external model call, composed from the operators."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.config import JobConfig
@@ -35,11 +37,11 @@ def grounded_results(grounded: DataFrame) -> DataFrame:
     return findings.regroup(grounded, ["request_id", "doc_id", "model"])
 
 
-def located_findings(grounded: DataFrame, page_texts: DataFrame) -> DataFrame:
-    """Verified findings with their place on a page; the others are absent."""
+def located_findings(grounded: DataFrame, page_texts: DataFrame, boxed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Verified findings with their place on a page; the others are absent. ``boxed``: see ``locate.locate``."""
     key = ["request_id", "ord"]
     wanted = grounded.where(F.col("verified") & (F.col("quote") != ""))
-    places = locate.locate(wanted.select("doc_id", *key, "quote", "page"), page_texts, key)
+    places = locate.locate(wanted.select("doc_id", *key, "quote", "page"), page_texts, key, boxed)
     return wanted.join(places, ["doc_id", *key])
 
 
