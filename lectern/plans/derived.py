@@ -160,10 +160,10 @@ def response_log(spark: SparkSession, sf_dir: str, altered: str = "") -> DataFra
         .when(form == 2, F.concat(F.lit("Here it is:\n"), answer, F.lit("\nDone.")))
         .when(form == 3, F.substring(answer, F.lit(1), F.length(answer) - 2))
         .when(form == 5, F.lit("There is nothing to report.")).otherwise(answer))
-    count = F.ceil(F.length(answer) / ANSWER_PIECE).cast("int")
-    lines = let(answer, lambda whole: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(
-        F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(
-            F.substring(whole, i * ANSWER_PIECE + 1, F.lit(ANSWER_PIECE)).alias("content")).alias("delta"))).alias("choices"))))))
+    # one pass: a substring at each position would read the answer from its start again
+    pieces = F.regexp_extract_all(answer, F.lit("(?s).{1,%d}" % ANSWER_PIECE), F.lit(0))
+    lines = F.transform(pieces, lambda piece: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(
+        piece.alias("content")).alias("delta"))).alias("choices")))))
     stream = F.concat(F.array_join(lines, "\n\n"), F.lit("\n\ndata: [DONE]\n"))
     return answers(spark, sf_dir, altered).select(
         F.col("doc_id").alias("request_id"), "doc_id",

@@ -225,3 +225,15 @@ def test_the_store_of_the_query_has_its_whole_capacity(spark, tmp_path):
     spark.range(700).selectExpr("id AS user_id", "'view' AS event_type", "timestamp_seconds(id) AS ts", "'{}' AS props").write.parquet(
         f"{tmp_path}/events.parquet")
     assert {int(r.cache_key) for r in QUERIES["cache_evict"](spark, str(tmp_path)).collect()} == set(range(200, 700))
+
+
+def test_streams_are_cut_in_one_pass_and_hold_the_whole_answer(spark):
+    from lectern.plans import derived
+
+    log = derived.response_log(spark, "/root/testdata/sf0.001").where("doc_id % 6 = 4")
+    whole = derived.answers(spark, "/root/testdata/sf0.001").select("doc_id", "answer")
+    rows = log.join(whole, "doc_id").select("body", "answer").collect()
+    for r in rows:
+        events = [json.loads(line[6:])["choices"][0]["delta"]["content"] for line in r.body.split("\n\n")[:-1]]
+        assert "".join(events) == r.answer and {len(e) for e in events[:-1]} <= {derived.ANSWER_PIECE}
+    assert rows
