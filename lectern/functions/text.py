@@ -13,7 +13,7 @@ WS = v.WS_CLASS
 
 def trim_ws(text: Column) -> Column:
     """Trim the explicit white-space class (``trim`` strips plain spaces only)."""
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(v.WS_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -21,14 +21,14 @@ def is_blank(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return trim_ws(F.regexp_replace(text, f"[{WS}]+", " "))
+    return trim_ws(F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))  # a single space stays without being rewritten
 
 
 def normalise_text(text: Column) -> Column:
     """Line ends to LF, control characters to spaces, space runs to one, blank-line runs to one, trimmed."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[\x{00}-\x{08}\x{0b}-\x{1f}\x{7f}]", " ")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = F.regexp_replace(out, r"[ \t]{2,}|\t", " ")
     return trim_ws(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 

@@ -64,10 +64,14 @@ def canonical_corpus(docs: DataFrame) -> DataFrame:
     markers' form in between.
     """
     canon_pages = t.canon_array(F.transform("pages", lambda p: p["text"]))
+    return with_hay(docs.withColumn("canon_pages", canon_pages))
+
+
+def with_hay(docs: DataFrame) -> DataFrame:
+    """Adds ``hay`` to rows that hold ``canon_pages`` and ``marked``: it need not be stored beside the pages it is made of."""
     marked = F.array_join(F.transform("canon_pages", lambda p, i: F.concat(
         F.lit("[pdfpage"), (i + 1).cast("string"), F.lit("]"), p)), "")
-    return docs.withColumn("canon_pages", canon_pages).withColumn(
-        "hay", F.when(F.col("marked"), marked).otherwise(F.array_join("canon_pages", "")))
+    return docs.withColumn("hay", F.when(F.col("marked"), marked).otherwise(F.array_join("canon_pages", "")))
 
 
 def pages_holding(canon_pages: Column, needle: Column) -> Column:

@@ -31,6 +31,12 @@ def marked_text(pages: Column) -> Column:
     )
 
 
+def with_full_text(docs: DataFrame) -> DataFrame:
+    """Adds ``full_text`` to rows that hold ``pages`` and ``marked``: it need not be stored beside the pages it is made of."""
+    return docs.withColumn("full_text", F.when(F.col("marked"), marked_text(F.col("pages"))).otherwise(
+        F.array_join(F.transform("pages", lambda p: p["text"]), "\n")))
+
+
 def parse_extracted(df: DataFrame, raw: str = "raw_text", total: str = "total_pages") -> DataFrame:
     """Form-feed text with a declared page count -> ``pages, full_text, has_page_info, method, marked``.
 

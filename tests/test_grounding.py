@@ -105,3 +105,16 @@ def test_normalised_results(spark):
     assert len(got[2].highlights) == 12
     assert [e.quote for e in got[3].method.evidence] == ["q2", "q3"]
     assert got[4].results.quote == "ok" and got[4].method.evidence == []
+
+
+def test_stored_pages_hold_no_second_copy_of_their_text(spark):
+    from lectern.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    assert not {"full_text", "hay"} & set(catalog._paper_pages(spark, folder).columns + catalog._canon_pages(spark, folder).columns)
+    straight = grounding.canonical_corpus(pages.parse_documents(catalog.derived.raw_papers(spark, folder))[0])
+    columns = ["doc_id", "pages", "full_text", "canon_pages", "hay", "has_page_info", "marked"]
+    assert catalog._corpus(spark, folder).select(*columns).exceptAll(straight.select(*columns)).isEmpty()
+    assert straight.select(*columns).exceptAll(catalog._corpus(spark, folder).select(*columns)).isEmpty()
+    reader = pages.parse_reader_pages(spark.createDataFrame([(1, ["one", "two"])], "doc_id long, page_texts array<string>"))
+    assert pages.with_full_text(reader.drop("full_text")).select("full_text").collect() == reader.select("full_text").collect()
