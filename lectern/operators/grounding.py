@@ -1,7 +1,10 @@
 """Checking quotes against their source document: exact, near match, correction, page."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lectern import values as v
@@ -31,16 +34,26 @@ def source_match_udf(sources: pd.Series, needles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "canon", "exact", "similarity"])
 
 
-VOTE_TYPE = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("votes", T.LongType())]))
-
-
-@F.pandas_udf(VOTE_TYPE)
-def seed_votes_udf(hays: pd.Series, needles: pd.Series) -> pd.Series:
-    """Seed votes per diagonal, best first."""
-    return pd.Series([
-        None if hay is None or needle is None
-        else [{"bucket": b, "votes": n} for b, n in kernels.seed_votes(hay, needle).most_common()]
-        for hay, needle in zip(hays, needles)])
+def _seed_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seed votes of every needle that its document's text does not hold; the text is read once for all of them."""
+    for batch in batches:
+        asked = batch.column("asked")
+        firsts, ids = asked.offsets.to_pylist(), asked.values.field("id")
+        rows, ranks, buckets, votes = [], [], [], []
+        for k in range(len(batch)):
+            hay = batch.column("hay")[k].as_py()
+            needles = asked.values.field("needle").slice(firsts[k], firsts[k + 1] - firsts[k]).to_pylist()
+            missed = [(i, needle) for i, needle in enumerate(needles, firsts[k]) if needle not in hay]
+            places = kernels.seed_places(hay, [needle for _, needle in missed])
+            for i, needle in missed:
+                found = kernels.seed_votes(hay, needle, places).most_common()
+                rows.extend([i] * len(found))
+                ranks.extend(range(1, len(found) + 1))
+                buckets.extend(b for b, _ in found)
+                votes.extend(n for _, n in found)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), pa.array(buckets, pa.int64()), pa.array(votes, pa.int64())],
+            names=["id", "rank", "bucket", "votes"])
 
 
 def verify(hay: Column, needle: Column) -> Column:
@@ -51,10 +64,11 @@ def verify(hay: Column, needle: Column) -> Column:
 def occurrence(hay: Column, needle: Column) -> Column:
     """struct(start, repeated): 0-based first occurrence (-1 when absent) and whether another, maybe overlapping, follows."""
     first = F.call_function("locate", needle, hay)
-    again = F.call_function("locate", needle, hay, first + 1)
+    # whether one follows is told by bytes, which is quicker than its place
+    again = F.contains(F.substring(hay, first + 1, F.lit(2_147_483_647)), needle)
     usable = F.length(needle) >= v.MIN_MATCH_CHARS
     return F.struct(F.when(usable, first - 1).otherwise(-1).alias("start"),
-                    (usable & (first > 0) & (again > 0)).alias("repeated"))
+                    (usable & (first > 0) & again).alias("repeated"))
 
 
 def canonical_corpus(docs: DataFrame) -> DataFrame:
@@ -94,14 +108,17 @@ def ground(claims: DataFrame, corpus: DataFrame, spread_by: Column) -> DataFrame
     needle = F.col("_needle")
     exact = F.coalesce(verify(F.col("hay"), needle), F.lit(False))
     doubtful = (~exact & (F.length(needle) >= v.MIN_FUZZY_CHARS)) | (exact & needle.rlike(v.CANON_PAGE_MARKER_PATTERN))
-    joined = spread_join(quoted, dims, ["doc_id"], spread_by, "left", hot_keys(claims, ["doc_id"])).select(
-        *carried, "quote", "location", "_needle", "has_page_info",
-        # inline is a barrier: the kernel's operator sees these columns only, not the document's texts
+    looked_up = spread_join(quoted, dims, ["doc_id"], spread_by, "left", hot_keys(claims, ["doc_id"], stored=True)).select(
+        *carried, "quote", "location", "_needle", "has_page_info", "full_text", "canon_pages",
+        exact.alias("_exact"), doubtful.alias("_doubtful"))
+    joined = looked_up.select(
+        *carried, "quote", "location", "_needle", "has_page_info", "_exact", "_doubtful",
+        # inline is a barrier: the kernel's operator sees these columns only, not the document's texts; what it holds is
+        # computed at every mention, so the search itself stands before it
         F.inline(F.array(F.struct(
-            exact.alias("_exact"), doubtful.alias("_doubtful"),
-            F.when(doubtful, F.col("full_text")).alias("_source"),
-            F.when(doubtful, F.col("canon_pages")).alias("_pages"),
-            F.when(exact & F.col("has_page_info"), pages_holding(F.col("canon_pages"), needle)).alias("_exact_on"),
+            F.when(F.col("_doubtful"), F.col("full_text")).alias("_source"),
+            F.when(F.col("_doubtful"), F.col("canon_pages")).alias("_pages"),
+            F.when(F.col("_exact") & F.col("has_page_info"), pages_holding(F.col("canon_pages"), needle)).alias("_exact_on"),
         ))))
     match = joined.withColumn("_match", source_match_udf("_source", "_needle"))
     shown = t.display_quote(F.col("_match.text"))
@@ -132,8 +149,13 @@ def seed_votes(claims: DataFrame, corpus: DataFrame, spread_by: Column) -> DataF
     """Seed votes per diagonal for claims that miss exactly: claim columns, rank, bucket, votes (best first)."""
     carried = [c for c in claims.columns if c != "quote"]
     quoted = claims.withColumn("_needle", t.canon(F.col("quote"))).where(F.length("_needle") >= v.MIN_FUZZY_CHARS)
-    missed = spread_join(quoted, corpus.select("doc_id", "hay"), ["doc_id"], spread_by,
-                         hot=hot_keys(claims, ["doc_id"])).where(~F.contains("hay", "_needle"))
-    voted = missed.select(*carried, seed_votes_udf("hay", "_needle").alias("_votes"))
-    return voted.select(*carried, F.posexplode("_votes").alias("_rank", "_vote")).select(
-        *carried, (F.col("_rank") + 1).alias("rank"), "_vote.bucket", "_vote.votes")
+    hot = F.broadcast(hot_keys(claims, ["doc_id"], stored=True))
+    slot = F.pmod(F.xxhash64(spread_by), F.coalesce("_slots", F.lit(1)).cast("long"))
+    one = F.struct(F.struct(*carried).alias("id"), F.col("_needle").alias("needle"))
+    # a document's needles travel to its text together, those of one with very many to several copies of it
+    asked = quoted.join(hot, "doc_id", "left").withColumn("_slot", slot).groupBy("doc_id", "_slot").agg(F.collect_list(one).alias("asked"))
+    schema = T.StructType([T.StructField("id", T.StructType([quoted.schema[c] for c in carried])), T.StructField("rank", T.IntegerType()),
+                           T.StructField("bucket", T.LongType()), T.StructField("votes", T.LongType())])
+    texts = corpus.select("doc_id", "hay").where(F.col("hay").isNotNull())
+    voted = asked.join(texts, "doc_id").select("hay", "asked").mapInArrow(_seed_votes, schema)
+    return voted.select("id.*", "rank", "bucket", "votes")

@@ -118,3 +118,35 @@ def test_stored_pages_hold_no_second_copy_of_their_text(spark):
     assert straight.select(*columns).exceptAll(catalog._corpus(spark, folder).select(*columns)).isEmpty()
     reader = pages.parse_reader_pages(spark.createDataFrame([(1, ["one", "two"])], "doc_id long, page_texts array<string>"))
     assert pages.with_full_text(reader.drop("full_text")).select("full_text").collect() == reader.select("full_text").collect()
+
+
+def test_seed_votes_read_a_document_once(spark, monkeypatch):
+    text = " ".join(f"The {i}th ledger lists {i * 7} barrels of salt sold at fair {i % 9}." for i in range(80))
+    docs = spark.createDataFrame([(1, k.canon_text(text)), (2, None)], "doc_id long, hay string")
+    quotes = [f"The {i}th ledger lists {i * 7} barrels of sugar sold at fair {i % 9}." for i in range(30)] + ["barrels of salt sold at fair", "short"]
+    claims = spark.createDataFrame([(d, i, q) for d in (1, 2, 3) for i, q in enumerate(quotes)], "doc_id long, n int, quote string")
+    voted = grounding.seed_votes(claims, docs, F.col("n"))
+    got = {}
+    for r in voted.collect():
+        assert r.doc_id == 1
+        got.setdefault(r.n, []).append((r["rank"], r.bucket, r.votes))
+    want = {i: [(place, b, n) for place, (b, n) in enumerate(k.seed_votes(k.canon_text(text), k.canon_text(q)).most_common(), 1)]
+            for i, q in enumerate(quotes[:30])}
+    assert {i: sorted(rows) for i, rows in got.items()} == want
+    assert "seed_votes_udf" not in voted._jdf.queryExecution().toString()  # that one took the text along with every needle
+
+
+def test_a_claim_is_searched_once_in_its_document(spark):
+    claims = spark.createDataFrame([(1, 1, "Opening words here.", "")], "i int, doc_id long, quote string, location string")
+    plan = grounding.ground(claims, corpus_of(spark, "\f".join(PAGES), 2), F.col("i"))._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate inline" in line)
+    assert "_exact" in generate and "contains(hay" not in generate.lower()
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    from lectern.session import BATCH_BYTES, bounded_batches
+
+    bounded_batches(spark)
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 40_000).alias("text"))
+    size = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    assert texts.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES // 40_000
