@@ -32,25 +32,38 @@ def page_text_udf(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "offsets"])
 
 
-def with_page_text(pages: DataFrame) -> DataFrame:
+def char_units(chars: Column) -> Column:
+    """What each character stands for; empty for ignorable ones."""
+    return F.transform(chars, lambda ch: F.when(F.coalesce(ch["ignorable"], F.lit(False)), F.lit("")).otherwise(
+        F.coalesce(ch["u"], ch["c"], F.lit(""))))
+
+
+def _plain(units: Column) -> Column:
+    """Pages of plain single characters stay in the JVM."""
+    return ~t.needs_kernel(F.array_join(units, "")) & F.forall(units, lambda u: F.length(u) <= 1)
+
+
+def with_page_text(pages: DataFrame, units: Column | None = None) -> DataFrame:
     """Adds ``text`` (canonical page text) and ``offsets`` (canonical position -> character index).
 
-    Store the texts: every quote of a document reads them. Pages of plain single characters stay in the JVM. Either column is
-    made on its own, so who reads one does not pay for the other.
+    Store the texts: every quote of a document reads them. Either column is made on its own, so who reads one does not pay for
+    the other. ``units``: what the characters stand for (``char_units``) where pages hold something smaller than ``chars``. Rows that
+    wait for Python hold all their columns, so neither the units nor the boxes are a column while they wait.
     """
-    units = F.transform("chars", lambda ch: F.when(F.coalesce(ch["ignorable"], F.lit(False)), F.lit("")).otherwise(
-        F.coalesce(ch["u"], ch["c"], F.lit(""))))
-    joined = F.array_join("_units", "")
-    plain = ~t.needs_kernel(joined) & F.forall("_units", lambda u: F.length(u) <= 1)
-    kept = let(F.col("_units"), lambda us: F.filter(indexes(us), lambda i: ~F.contains(F.lit(DROPPED), at(us, i))))
-    return (
-        pages.where(F.col("chars").isNotNull())
-        .withColumn("_units", units)
-        .withColumn("_plain", plain)
-        .withColumn("_odd", page_text_udf(F.when(~F.col("_plain"), F.col("_units"))))
-        .select(*pages.columns, F.when(F.col("_plain"), t.canon_plain(joined)).otherwise(F.col("_odd.text")).alias("text"),
-                F.when(F.col("_plain"), kept).otherwise(F.col("_odd.offsets")).alias("offsets"))
-    )
+    def finished(rows: DataFrame, each: Column, odd: bool) -> DataFrame:
+        text = t.canon_plain(F.array_join(each, ""))
+        kept = let(each, lambda us: F.filter(indexes(us), lambda i: ~at(us, i).isin("", *DROPPED)))
+        return rows.select(*pages.columns, (F.coalesce("_odd.text", text) if odd else text).alias("text"),
+                           (F.coalesce("_odd.offsets", kept) if odd else kept).alias("offsets"))
+
+    if units is not None:
+        sent = let(units, lambda us: F.when(~_plain(us), us))
+        return finished(pages.where(units.isNotNull()).withColumn("_odd", page_text_udf(sent)), units, True)
+    # Batches for Python end by the bytes that are sent, and plain pages send none: any number of them would wait with their boxes
+    units = char_units(F.col("chars"))
+    plain = let(units, _plain)
+    odd = pages.where(~plain).withColumn("_odd", page_text_udf(units))
+    return finished(pages.where(plain), units, False).unionByName(finished(odd, units, True))
 
 
 def merged_rects(chars: Column, first: Column, last: Column) -> Column:

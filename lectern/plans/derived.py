@@ -213,13 +213,25 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 7 == 0, F.array(F.lit("lectern-export"))).otherwise(F.array().cast("array<string>")).alias("tags"))
 
 
-def page_chars(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Character boxes instead of the ``text`` column of page rows: rows of 80 characters, 6 x 12 each."""
+def letters(text: Column) -> Column:
+    """The characters of a page text, which are the units of its boxes."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def char_boxes(text: Column) -> Column:
+    """Character boxes of a page text: rows of 80 characters, 6 x 12 each."""
     def box(c: Column, i: Column) -> Column:
         column, row = i % CHARS_PER_LINE, F.floor(i / CHARS_PER_LINE)
         x, y = (column * 6).cast("double"), (F.lit(700) - row * 12).cast("double")
         return F.struct(c.alias("c"), c.alias("u"), x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 12).alias("y1"),
                         F.lit(False).alias("ignorable"), (column == CHARS_PER_LINE - 1).alias("line_break_after"))
 
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return pages.select(*[c for c in pages.columns if c != text], F.lit(792.0).alias("view_top"), F.transform(letters, box).alias("chars"))
+    return F.transform(letters(text), box)
+
+
+VIEW_TOP = 792.0
+
+
+def page_chars(pages: DataFrame, text: str = "text") -> DataFrame:
+    """View top and character boxes instead of the ``text`` column of page rows."""
+    return pages.select(*[c for c in pages.columns if c != text], F.lit(VIEW_TOP).alias("view_top"), char_boxes(F.col(text)).alias("chars"))
