@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.llm.common import cut_lineage, text_batches, written_for_now
 from lectern.llm.components import components
 from lectern.llm.hashing import MULTIPLIER, Prefixes, mixed
+from lectern.session import bounded_batches
 
 WORDS, PERCENT = 4, 85
 #: Slots that n-grams are counted in to put rare ones first: a fixed size, whatever the corpus.
@@ -214,6 +215,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
+    bounded_batches(spark)
     slots = spark.sparkContext.broadcast(slot_counts(docs, words))
     sketches = cut_lineage(docs.mapInArrow(_sketches(words, percent, slots), _SKETCH))
     named = sketches.where("doc_id is not null and n > 0")

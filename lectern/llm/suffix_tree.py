@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.llm.common import cut_lineage, text_batches
 from lectern.llm.hashing import Prefixes, mixed
 from lectern.llm.ngram_join import lowered, word_hashes, word_places
+from lectern.session import bounded_batches
 
 #: Words a context has at most, occurrences it needs, and nats of divergence over all of them beyond what chance gives.
 DEPTH, MIN_CONTEXT, DIVERGENCE = 3, 100, 20.0
@@ -37,6 +38,8 @@ HEAD_WORDS = HEAD_ENTRIES = 1 << 20
 PRIOR = 5.0
 #: Bits of the filters for keys, a fixed size; a wrong hit costs a lookup.
 FILTER_BITS = 25
+#: Text that is counted at once. A worker holds some fifty times as much in arrays, powers for the hashes among them.
+PART_BYTES = 2 << 20
 END_TOKEN = "\n"
 
 _START, _END, _RARE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -66,7 +69,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return batch
 
-    for rows, data, bounds in text_batches(batches, most=4 << 20):
+    for rows, data, bounds in text_batches(batches, most=PART_BYTES):
         _, hashes, starts, stops, text = _words(data, bounds)
         _, at, times = np.unique(hashes, return_index=True, return_counts=True)
         for word, n in zip(_spelled(text, starts[at], stops[at]), times.tolist(), strict=True):
@@ -137,7 +140,7 @@ def frequent_words(words: DataFrame, least: int) -> np.ndarray:
 
 def _count_level(depth: int, frequent, shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, bounds in text_batches(batches, most=4 << 20):
+        for _, data, bounds in text_batches(batches, most=PART_BYTES):
             _, place, symbols = _symbols(data, bounds)
             contexts = shorter = np.zeros(len(symbols), dtype=np.uint64)
             for level in range(1, depth + 1):
@@ -316,6 +319,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, least
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     training = docs.where(~F.col("held_out"))
     words = cut_lineage(training.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import documents
 from lectern.llm import hashing, repeats, suffixes
@@ -65,3 +66,16 @@ def test_suffix_arrays_and_prefixes():
             assert (previous[b], shared[b]) == (a, same)
         values, width = np.array([r.randrange(50) for _ in range(n)], dtype=np.uint64), r.randint(1, n)
         assert hashing.sliding(values, width).tolist() == [min(values[i:i + width]) for i in range(n - width + 1)]
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    """pipeline and op10: 10,000 texts, 34 MB, went to a worker at once; an executor took more than 3000 MB."""
+    from lectern.llm import ngram_join, suffix_tree
+
+    docs, key = documents(spark, {1: "a b c", 2: None}), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for run in (lambda: repeats.remove_repeats(docs), lambda: ngram_join.linked_components(docs), lambda: suffix_tree.score_documents(docs, F.lit(False))):
+        spark.conf.unset(key)
+        run()
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+    spark.conf.set(key, before)
