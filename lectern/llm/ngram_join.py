@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.llm.common import cut_lineage, text_batches, written_for_now
 from lectern.llm.components import components
@@ -28,6 +28,8 @@ WORDS, PERCENT = 4, 85
 SLOT_BITS, BLOCK = 20, 1 << 9
 #: Orders in which partners are chosen, so that a document meets several ones across its n-grams.
 ORDERS = 6
+#: Earlier n-grams that travel with each n-gram of a prefix, to tell pairs that have met already: a fixed size, whatever the text.
+EARLIER = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -205,6 +207,26 @@ def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def with_earlier(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds ``before``, the last buckets before that of a row of the same document (bucket, doc_id, at).
+
+    The texts of a document of several rows (``repeated``) cannot be told apart here, so none of its rows follows another.
+    """
+    before = F.collect_list("bucket").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(-EARLIER, -1))
+    told = rows.join(repeated.withColumn("repeated", F.lit(True)), "doc_id", "left")
+    return told.withColumn("before", F.when(F.col("repeated"), F.array().cast("array<bigint>")).otherwise(before)).drop("repeated")
+
+
+def first_meeting(percent: int) -> Column:
+    """Whether rows (n, at, before) and (n2, at2, before2) of a bucket may be the first that two sets share and the sets may link.
+
+    Their sizes allow the similarity, and what follows the shared place, with it, suffices for the overlap it needs.
+    """
+    low, high = F.least("n", "n2"), F.greatest("n", "n2")
+    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    return (low * 100 >= high * percent) & (rest * (100 + percent) >= (F.col("n") + F.col("n2")) * percent) & ~F.arrays_overlap("before", "before2")
+
+
 def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
@@ -244,8 +266,9 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     lead = shared.join(leads, "gram").where("doc_id <> lead.doc_id").where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     # Documents of several rows have no single signature, so nothing is said about their pairs.
-    signed = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), *[F.min(c).alias(c) for c in ["n", *_SIGNATURES]])
-                         .where("m = 1").select("doc_id", F.col("n").alias("size"), *_SIGNATURES))
+    counted = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), *[F.min(c).alias(c) for c in ["n", *_SIGNATURES]]))
+    signed = counted.where("m = 1").select("doc_id", F.col("n").alias("size"), *_SIGNATURES)
+    repeated = counted.where("m > 1").select("doc_id")
 
     # Nor does a representative's signature say anything about the pairs of its members.
     alone = signed.join(members.where("doc_id <> group_id").select(F.col("group_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
@@ -270,15 +293,20 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     # What is still apart: rows of the minority components of a bucket meet the bucket's other components.
     def across(rows: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs that share a bucket, for n-grams as buckets at the first one they share if they may link at all.
+
+        All n-grams that a pair in different components shares are in such buckets. One that follows another shared one adds
+        nothing, so each row holds a few earlier ones; a pair whose rows hold a common one has met there.
+        """
         mixed_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         rows = cut_lineage(rows.join(mixed_buckets, "bucket", "left_semi"))
         sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
         major = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("major"))
-        rows = cut_lineage(rows.join(major, "bucket").join(signed_as("_1", of).withColumnRenamed("doc_id_1", "doc_id"), "doc_id", "left"))
+        rows = cut_lineage(with_earlier(rows, repeated).join(major, "bucket").join(signed_as("_1", of).withColumnRenamed("doc_id_1", "doc_id"), "doc_id", "left"))
         few = rows.where("component <> major").select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"),
-                                                      *[F.col(f"{c}_1").alias(f"{c}_2") for c in ["size", *_SIGNATURES]])
+                                                      F.col("before").alias("before2"), *[F.col(f"{c}_1").alias(f"{c}_2") for c in ["size", *_SIGNATURES]])
         return rows.join(few, "bucket").where("component <> c2 and (component = major or doc_id < d2)").where(
-            may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")) & alike("_1", "_2"))
+            first_meeting(percent) & alike("_1", "_2"))
 
     def enough(n1, n2, common):
         """``common`` shared n-grams of the prefixes, and all that follows the prefix that ends first, suffice."""
@@ -302,7 +330,10 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     first = F.col("doc_id") < F.col("d2")
     near = across(rows, alone).select(*_ordered("doc_id", "d2"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n1"),
                                F.when(first, F.col("n2")).otherwise(F.col("n")).alias("n2"))
-    near = near.groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("common")).where(enough(F.col("n1"), F.col("n2"), F.col("common")))
+    near = cut_lineage(near.distinct())
+    for side, size, head in (("a", "n1", "p1"), ("b", "n2", "p2")):
+        near = near.join(named.select(F.col("doc_id").alias(side), F.col("n").alias(size), F.col("prefix").alias(head)), [side, size])
+    near = near.where(enough(F.col("n1"), F.col("n2"), F.size(F.array_intersect("p1", "p2"))))
     near = cut_lineage(near.select("a", "b").distinct())
     between = _tested(cut_lineage(plausible(near.join(tested.select("a", "b"), ["a", "b"], "left_anti"))), docs, words, percent)
 

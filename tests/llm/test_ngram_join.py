@@ -87,3 +87,19 @@ def test_a_group_of_copies_around_the_threshold(spark):
         texts[k] = " ".join(w)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(documents(spark, texts)).collect()}
     assert got == brute(texts, 4, 85)
+
+
+def test_a_pair_of_near_copies_meets_once_not_for_each_shared_gram(spark):
+    """Two sets that share 60 of 70 n-grams meet in one row, two that share a few in at least one, at whatever places these are."""
+    rnd = random.Random(4)
+    shared = sorted(rnd.sample(range(1000), 60))
+    sets = {1: sorted([*shared, *range(2000, 2010)]), 2: sorted([*shared, *range(3000, 3010)])}
+    sets |= {k: sorted(rnd.sample(range(10_000, 10_100), 30)) for k in range(3, 30)}
+    rows = spark.createDataFrame([(g, k, 1000, at) for k, grams in sets.items() for at, g in enumerate(grams)], "bucket bigint, doc_id bigint, n bigint, at bigint")
+    rows = ngram_join.with_earlier(rows, spark.createDataFrame([(29,)], "doc_id bigint"))
+    other = rows.withColumnsRenamed({"doc_id": "d2", "n": "n2", "at": "at2", "before": "before2"})
+    met = [(r.doc_id, r.d2) for r in rows.join(other, "bucket").where("doc_id < d2").where(ngram_join.first_meeting(50)).select("doc_id", "d2").collect()]
+    assert met.count((1, 2)) == 1
+    assert set(met) == {(a, b) for a in sets for b in sets if a < b and set(sets[a]) & set(sets[b])}
+    assert max(r.most for r in rows.selectExpr("size(before) as most").collect()) == ngram_join.EARLIER
+    assert rows.where("doc_id = 29 and size(before) > 0").count() == 0
