@@ -331,8 +331,9 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     near = across(rows, alone).select(*_ordered("doc_id", "d2"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n1"),
                                F.when(first, F.col("n2")).otherwise(F.col("n")).alias("n2"))
     near = cut_lineage(near.distinct())
+    ends = cut_lineage(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     for side, size, head in (("a", "n1", "p1"), ("b", "n2", "p2")):
-        near = near.join(named.select(F.col("doc_id").alias(side), F.col("n").alias(size), F.col("prefix").alias(head)), [side, size])
+        near = near.join(_likely(named, ends).select(F.col("doc_id").alias(side), F.col("n").alias(size), F.col("prefix").alias(head)), [side, size])
     near = near.where(enough(F.col("n1"), F.col("n2"), F.size(F.array_intersect("p1", "p2"))))
     near = cut_lineage(near.select("a", "b").distinct())
     between = _tested(cut_lineage(plausible(near.join(tested.select("a", "b"), ["a", "b"], "left_anti"))), docs, words, percent)
