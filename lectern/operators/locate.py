@@ -5,11 +5,13 @@ line_break_after>>``. Pages without character data are absent or have null ``cha
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lectern import values as v
@@ -43,13 +45,26 @@ def _plain(units: Column) -> Column:
     return ~t.needs_kernel(F.array_join(units, "")) & F.forall(units, lambda u: F.length(u) <= 1)
 
 
-def with_page_text(pages: DataFrame, units: Column | None = None) -> DataFrame:
+@F.pandas_udf(PAGE_TEXT_TYPE)
+def letters_text_udf(texts: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if text is None else (kernels.canon_text(text), kernels.canon_offsets(text)) for text in texts]
+    return pd.DataFrame(rows, columns=["text", "offsets"])
+
+
+def with_page_text(pages: DataFrame, units: Column | None = None, letters: Column | None = None) -> DataFrame:
     """Adds ``text`` (canonical page text) and ``offsets`` (canonical position -> character index).
 
     Store the texts: every quote of a document reads them. Either column is made on its own, so who reads one does not pay for
     the other. ``units``: what the characters stand for (``char_units``) where pages hold something smaller than ``chars``. Rows that
-    wait for Python hold all their columns, so neither the units nor the boxes are a column while they wait.
+    wait for Python hold all their columns, so neither the units nor the boxes are a column while they wait. ``letters``: a text whose
+    characters are the units; it is read as a whole instead of unit by unit.
     """
+    if letters is not None:
+        rows = pages.where(letters.isNotNull()).withColumn("_odd", letters_text_udf(F.when(t.needs_kernel(letters), letters)))
+        kept = let(F.split(letters, ""), lambda us: F.filter(indexes(us), lambda i: ~at(us, i).isin("", *DROPPED)))
+        return rows.select(*pages.columns, F.coalesce("_odd.text", t.canon_plain(letters)).alias("text"),
+                           F.coalesce("_odd.offsets", kept).alias("offsets"))
+
     def finished(rows: DataFrame, each: Column, odd: bool) -> DataFrame:
         text = t.canon_plain(F.array_join(each, ""))
         kept = let(each, lambda us: F.filter(indexes(us), lambda i: ~at(us, i).isin("", *DROPPED)))
@@ -66,48 +81,6 @@ def with_page_text(pages: DataFrame, units: Column | None = None) -> DataFrame:
     return finished(pages.where(plain), units, False).unionByName(finished(odd, units, True))
 
 
-def merged_rects(chars: Column, first: Column, last: Column) -> Column:
-    """Boxes of characters ``first..last`` joined along each line; null when a box is malformed or none is left.
-
-    A fold, not a lag: a box is compared with the first character of the box it may extend.
-    """
-    def measured(run: Column) -> Column:
-        return F.transform(run, lambda ch, i: F.struct(
-            F.coalesce(ch["ignorable"], F.lit(False)).alias("skip"),
-            F.coalesce(at(run, i - 1)["line_break_after"], F.lit(False)).alias("broke"),
-            F.least(ch["x0"], ch["x1"]).alias("x0"), F.least(ch["y0"], ch["y1"]).alias("y0"),
-            F.greatest(ch["x0"], ch["x1"]).alias("x1"), F.greatest(ch["y0"], ch["y1"]).alias("y1"),
-            F.forall(F.array(ch["x0"], ch["y0"], ch["x1"], ch["y1"]),
-                     lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) < F.lit(float("inf")))).alias("sound")))
-
-    def box(x0, y0, x1, y1) -> Column:
-        return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-
-    def step(state: Column, ch: Column) -> Column:
-        cur = state["cur"]
-        joins = (
-            cur.isNotNull() & ~ch["broke"] & (F.abs(cur["y0"] - ch["y0"]) < v.RECT_LINE_TOLERANCE)
-            & (F.abs(cur["y1"] - ch["y1"]) < v.RECT_LINE_TOLERANCE) & (ch["x0"] >= cur["x0"])
-            & (ch["x0"] - cur["x1"] <= v.RECT_MAX_GAP))
-        fresh = box(ch["x0"], ch["y0"], ch["x1"], ch["y1"])
-        return F.when(joins, F.struct(
-            state["done"].alias("done"),
-            box(cur["x0"], cur["y0"], F.greatest(cur["x1"], ch["x1"]), cur["y1"]).alias("cur"),
-        )).otherwise(F.struct(
-            F.when(cur.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(cur))).alias("done"),
-            fresh.alias("cur")))
-
-    def fold(chs: Column) -> Column:
-        solid = F.filter(chs, lambda ch: ~ch["skip"] & (ch["x0"] != ch["x1"]) & (ch["y0"] != ch["y1"]))
-        start = F.struct(F.array().cast(f"array<{RECT}>").alias("done"), F.lit(None).cast(RECT).alias("cur"))
-        rects = F.aggregate(solid, start, step, lambda s: F.when(
-            s["cur"].isNotNull(), F.concat(s["done"], F.array(s["cur"]))))
-        return F.when(~F.exists(chs, lambda ch: ~ch["skip"] & ~ch["sound"]), rects)
-
-    run = F.slice(chars, first + 1, last - first + 1)
-    return let(run, lambda r: let(measured(r), fold))
-
-
 def sort_index(page_index: Column, first: Column, view_top: Column, rects: Column) -> Column:
     """Reading-order key ``page|character|distance from top``."""
     top = F.greatest(F.lit(0).cast("long"), F.floor(view_top - F.array_max(F.transform(rects, lambda r: r["y1"]))))
@@ -148,14 +121,93 @@ def _dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+class TextBoxes(NamedTuple):
+    """Boxes that follow from the plain text of a page, whose characters are their units.
+
+    ``column``: holds the text. ``boxes``: it as ``chars``. ``arrays``: the same boxes as NumPy arrays by the characters' indexes in their
+    page: x0, y0, x1, y1, ignorable, line_break_after. Called with page rows it adds view_top, chars and offsets.
+    """
+    column: str
+    boxes: Callable[[Column], Column]
+    arrays: Callable[[np.ndarray], kernels.Boxes]
+    view_top: float
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return with_page_text(rows, letters=F.col(self.column)).select(
+            "*", F.lit(self.view_top).alias("view_top"), self.boxes(F.col(self.column)).alias("chars")).drop("text")
+
+
 class PageBoxes(NamedTuple):
     """Page rows that spans are joined to, and what makes their ``view_top``, ``chars`` and ``offsets`` if the rows don't hold them."""
     rows: DataFrame
-    boxed: Callable[[DataFrame], DataFrame] | None
+    boxed: TextBoxes | Callable[[DataFrame], DataFrame] | None
 
 
 #: Spans that meet one copy of a page's boxes.
 PAGE_SPANS = 1000
+#: Characters of pages whose boxes are arrays at once.
+CHARS_AT_ONCE = 1 << 18
+
+
+def _stored_boxes(chars: pa.ListArray) -> kernels.Boxes:
+    """Boxes of a column of ``chars``; what is no number counts as NaN, what is no flag as false."""
+    fields = dict(zip((f.name for f in chars.type.value_type), chars.flatten().flatten(), strict=True))
+    numbers = [fields[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")]
+    return kernels.Boxes(*numbers, *[fields[c].fill_null(False).to_numpy(zero_copy_only=False) for c in ("ignorable", "line_break_after")])
+
+
+def _pages_at_once(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """First and last + 1 of pages that hold ``CHARS_AT_ONCE`` characters together, or one page with more."""
+    low, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > low and held + size > CHARS_AT_ONCE:
+            yield low, k
+            low, held = k, 0
+        held += size
+    yield low, k + 1
+
+
+def _page_rects(texts: tuple[str, Callable[[np.ndarray], kernels.Boxes]] | None):
+    """Rectangles of the spans of page rows: id, page_index, view_top, mode, first (character), rects. Spans without sound boxes are left out."""
+    def rects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch.column("asked")
+            ends = held.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            begins = ends - held.value_lengths().to_numpy(zero_copy_only=False)
+            asked = held.flatten()
+            mode = asked.field("mode").to_numpy(zero_copy_only=False)
+            start, stop = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+            page = np.repeat(np.arange(len(batch)), ends - begins)
+            letters = batch.column(texts[0]).fill_null("").to_pylist() if texts else None
+            sizes = map(len, letters) if texts else batch.column("chars").value_lengths().fill_null(0).to_pylist()
+            for low, high in _pages_at_once(sizes):
+                spans = slice(begins[low], ends[high - 1])
+                if texts:
+                    chars = kernels.PageChars.of_texts(letters[low:high], texts[1])
+                else:
+                    part = batch.slice(low, high - low)
+                    offsets = part.column("offsets")
+                    chars = kernels.PageChars(
+                        _stored_boxes(part.column("chars")), *kernels.starts_of(part.column("chars").value_lengths().fill_null(0)),
+                        offsets.flatten().to_numpy(zero_copy_only=False), *kernels.starts_of(offsets.value_lengths().fill_null(0)))
+                ambiguous = mode[spans] == "ambiguous"
+                first, counts, boxes = chars.rects(page[spans] - low, start[spans], stop[spans], ~ambiguous)
+                kept = ambiguous | (counts > 0)
+                at_span = np.flatnonzero(kept)
+                rows = pa.array(at_span + spans.start)
+                ids, no_place = asked.field("id").take(rows), pa.array(ambiguous[at_span])
+                places = np.concatenate([[0], np.where(ambiguous, 0, np.maximum(counts, 0))[at_span].cumsum()]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(
+                    pa.array(places), pa.StructArray.from_arrays([pa.array(b) for b in boxes], names=["x0", "y0", "x1", "y1"]))
+                on = pa.array(page[spans][at_span])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(on), ids, batch.column("page_index").take(on), batch.column("view_top").take(on),
+                    asked.field("mode").take(rows), pc.if_else(no_place, None, pa.array(first[at_span].astype(np.int32))),
+                    pc.if_else(no_place, pa.scalar(None, listed.type), listed)],
+                    names=["doc_id", "id", "page_index", "view_top", "mode", "first", "rects"])
+    return rects
 
 
 def _with_rects(spans: DataFrame, boxes: PageBoxes, keep: list[str]) -> DataFrame:
@@ -168,23 +220,22 @@ def _with_rects(spans: DataFrame, boxes: PageBoxes, keep: list[str]) -> DataFram
     one = F.struct(F.struct(*[c for c in keep if c != "doc_id"]).alias("id"), "mode", "start", "stop")
     page = ["doc_id", "page_index"]
     asked = _dealt(spans.join(counts, page, "left").withColumn("_slot", slot), *page, "_slot").groupBy(*page, "_slot").agg(F.collect_list(one).alias("asked"))
-
-    def found(s: Column) -> Column:
-        located = s["mode"] != "ambiguous"
-        first = F.when(located, at(F.col("offsets"), s["start"]))
-        last = F.when(located, at(F.col("offsets"), s["stop"] - 1))
-        return F.struct(s["id"].alias("id"), s["mode"].alias("mode"), first.alias("first"),
-                        F.when(located, merged_rects(F.col("chars"), first, last)).alias("rects"))
-
-    sound = F.filter(F.transform("asked", found), lambda f: (f["mode"] == "ambiguous") | f["rects"].isNotNull())
     copies = boxes.rows.join(counts, page, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)).cast("long") - 1))).drop("_slots")
     joined = asked.join(copies, [*page, "_slot"])
-    if boxes.boxed is not None:
-        # inline is a barrier: a page's boxes are made once, not for each of its spans
-        joined = boxes.boxed(joined).select(*page, F.inline(F.array(F.struct("asked", "view_top", "chars", "offsets"))))
-    return joined.select(*page, "view_top", F.explode(sound).alias("f")).select(
-        "doc_id", *[F.col(f"f.id.{c}").alias(c) for c in keep if c != "doc_id"], "page_index", "f.mode", "f.rects",
-        sort_index(F.col("page_index"), F.col("f.first"), F.col("view_top"), F.col("f.rects")).alias("sort_index"))
+    texts = None
+    if isinstance(boxes.boxed, TextBoxes):
+        texts = boxes.boxed.column, boxes.boxed.arrays
+        joined = joined.select(*page, "asked", F.lit(boxes.boxed.view_top).alias("view_top"), F.col(texts[0]))
+    else:
+        joined = (boxes.boxed(joined) if boxes.boxed else joined).select(*page, "asked", "view_top", "chars", "offsets")
+    id_type = asked.schema["asked"].dataType.elementType["id"]
+    schema = T.StructType([spans.schema["doc_id"], id_type, spans.schema["page_index"], T.StructField("view_top", T.DoubleType()),
+                           T.StructField("mode", T.StringType()), T.StructField("first", T.IntegerType()),
+                           T.StructField("rects", T._parse_datatype_string(f"array<{RECT}>"))])
+    found = joined.mapInArrow(_page_rects(texts), schema)
+    return found.select(
+        "doc_id", *[F.col(f"id.{c}").alias(c) for c in keep if c != "doc_id"], "page_index", "mode", "rects",
+        sort_index(F.col("page_index"), F.col("first"), F.col("view_top"), F.col("rects")).alias("sort_index"))
 
 
 def document_pages(pages: DataFrame) -> DataFrame:
@@ -275,12 +326,13 @@ def _search(needles: DataFrame, texts: DataFrame, documents: DataFrame, boxes: P
     return hinted.unionByName(scanned)
 
 
-def locate(findings: DataFrame, pages: DataFrame, key: list[str], boxed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def locate(findings: DataFrame, pages: DataFrame, key: list[str], boxed: TextBoxes | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Places of quotes: doc_id, key, page_index, rects, sort_index, fuzzy, partial. Unlocated quotes are absent.
 
     ``findings``: doc_id, key columns, quote, page (1-based hint, 0 unknown). ``pages``: output of ``with_page_text``.
     Where boxes follow from something smaller, ``pages`` holds doc_id, page_index, text and that instead, and ``boxed`` adds view_top, chars
-    and offsets to such rows after they have met their quotes: a character's box is a hundred times its size in memory.
+    and offsets to such rows after they have met their quotes: a character's box is a hundred times its size in memory. With ``TextBoxes``
+    they are arrays that no row holds.
     A long quote found nowhere is tried by its first, then its last 55 %.
     """
     texts = pages.select("doc_id", "page_index", "text")

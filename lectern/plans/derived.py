@@ -5,9 +5,11 @@ entries and an inference log. Everything is row-local.
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern import values as v
+from lectern.functions import kernels
 from lectern.functions.arrays import at, indexes, let
 from lectern.functions.text import trim_ws
 
@@ -229,6 +231,13 @@ def char_boxes(text: Column) -> Column:
     return F.transform(letters(text), box)
 
 
+def box_arrays(place: np.ndarray) -> kernels.Boxes:
+    """The same boxes as arrays, for characters by their indexes in their page."""
+    row, column = np.divmod(place, CHARS_PER_LINE)
+    x, y = (column * 6).astype(float), (700 - row * 12).astype(float)
+    return kernels.Boxes(x, y, x + 6, y + 12, np.zeros(len(place), bool), column == CHARS_PER_LINE - 1)
+
+
 VIEW_TOP = 792.0
 
 
