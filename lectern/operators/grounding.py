@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -22,15 +23,15 @@ MATCH_TYPE = T.StructType([
 def source_match_udf(sources: pd.Series, needles: pd.Series) -> pd.DataFrame:
     """Source wording for a canonical needle; null sources are skipped.
 
-    Claims of one document follow each other, so its canonical form is made once for all of them.
+    Claims of one document follow each other, so its canonical form is made once and its text is read once for all of them.
     """
-    rows, held = [], None
-    for source, needle in zip(sources, needles):
-        hit = None
-        if source is not None and needle is not None:
-            held = held if held is not None and held.text == source else kernels.Source(source)
-            hit = held.match(needle)
-        rows.append((hit[0], kernels.canon_text(hit[0]), hit[1], hit[2]) if hit else (None, None, None, None))
+    rows = []
+    for source, asked in groupby(zip(sources, needles), lambda pair: pair[0]):
+        wanted = [needle for _, needle in asked]
+        held = None if source is None else kernels.Source(source, [needle for needle in wanted if needle is not None])
+        for needle in wanted:
+            hit = None if held is None or needle is None else held.match(needle)
+            rows.append((hit[0], kernels.canon_text(hit[0]), hit[1], hit[2]) if hit else (None, None, None, None))
     return pd.DataFrame(rows, columns=["text", "canon", "exact", "similarity"])
 
 
