@@ -23,15 +23,16 @@ MATCH_TYPE = T.StructType([
 def source_match_udf(sources: pd.Series, needles: pd.Series) -> pd.DataFrame:
     """Source wording for a canonical needle; null sources are skipped.
 
-    Claims of one document follow each other, so its canonical form is made once and its text is read once for all of them.
+    Claims of one document follow each other, with null sources between, so its canonical form is made once and its text is read once for all of them.
     """
-    rows = []
-    for source, asked in groupby(zip(sources, needles), lambda pair: pair[0]):
-        wanted = [needle for _, needle in asked]
-        held = None if source is None else kernels.Source(source, [needle for needle in wanted if needle is not None])
-        for needle in wanted:
-            hit = None if held is None or needle is None else held.match(needle)
-            rows.append((hit[0], kernels.canon_text(hit[0]), hit[1], hit[2]) if hit else (None, None, None, None))
+    rows = [(None, None, None, None)] * len(sources)
+    asked = [(i, source, needle) for i, (source, needle) in enumerate(zip(sources, needles)) if source is not None and needle is not None]
+    for source, group in groupby(asked, lambda row: row[1]):
+        wanted = [(i, needle) for i, _, needle in group]
+        held = kernels.Source(source, [needle for _, needle in wanted])
+        for i, needle in wanted:
+            if hit := held.match(needle):
+                rows[i] = hit[0], kernels.canon_text(hit[0]), hit[1], hit[2]
     return pd.DataFrame(rows, columns=["text", "canon", "exact", "similarity"])
 
 

@@ -251,7 +251,6 @@ def _page_hits(near: bool):
             held = batch.column("asked")
             firsts = held.offsets.to_pylist()
             asked = held.flatten() if len(held) else held.values
-            ids = asked.field("id").to_pylist()
             needles, without = asked.field("needle").to_pylist(), asked.field("without").to_pylist()
             base = firsts[0] if firsts else 0
             for k, document in enumerate(batch.column("pages").to_pylist()):
@@ -263,13 +262,13 @@ def _page_hits(near: bool):
                     if not spans:
                         spans = [(page, "fuzzy", start, stop) for page, start, stop in index.near(needles[i], set(without[i] or ()))]
                     for page, mode, start, stop in spans:
-                        rows.append(ids[i])
+                        rows.append(i)
                         pages.append(page)
                         modes.append(mode)
                         starts.append(start)
                         stops.append(stop)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, asked.field("id").type), pa.array(pages, pa.int32()), pa.array(modes, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
+                [asked.field("id").take(pa.array(rows, pa.int64())), pa.array(pages, pa.int32()), pa.array(modes, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())],
                 names=["id", "page_index", "mode", "start", "stop"])
     return hits
 
@@ -340,9 +339,10 @@ def locate(findings: DataFrame, pages: DataFrame, key: list[str], boxed: TextBox
     held = [c for c in pages.columns if c not in ("doc_id", "page_index", "text")]
     boxes = PageBoxes(pages.select("doc_id", "page_index", *held), boxed)
     keep = ["doc_id", *key]
+    # explode keeps the filter above the canonical form, which would be made twice, by Python too
+    canonical = findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("_needle"))
     needles = cut_lineage(
-        findings.select(*keep, "page", t.canon(F.coalesce("quote", F.lit(""))).alias("needle"))
-        .where(F.length("needle") >= v.MIN_MATCH_CHARS))
+        canonical.select(*keep, "page", F.explode(F.array("_needle")).alias("needle")).where(F.length("needle") >= v.MIN_MATCH_CHARS))
     hot = hot_keys(needles, ["doc_id"])
     whole = cut_lineage(_search(needles, texts, documents, boxes, key, hot)).withColumn("partial", F.lit(False))
 
