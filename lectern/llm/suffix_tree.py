@@ -212,6 +212,39 @@ def grow(training: DataFrame, words: DataFrame, frequent, whole: float, depth: i
     return cut_lineage(entries)
 
 
+#: Keys with the same upper bits from which on they are searched by halves instead of one by one. Hashes have a few at most.
+_CROWD = 64
+
+
+class _Lookup:
+    """Sorted keys, most of them hashes, found by their upper bits: a search by halves goes through memory twenty times for each key."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+        self.crowded = bool(sizes.max() > _CROWD)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the keys, whether it is there) of each wanted key; places of absent keys mean nothing but can be read if there are keys."""
+        most = max(len(self.keys) - 1, 0)
+        if self.crowded:
+            at = np.minimum(np.searchsorted(self.keys, wanted), most)
+            return at, self.keys[at] == wanted
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        hit = np.zeros(len(wanted), dtype=bool)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            keys, sought = self.keys[at[left]], wanted[left]
+            hit[left[keys == sought]] = True
+            on = left[keys < sought]
+            at[on] += 1
+            left = on[at[on] < end[on]]
+        return np.minimum(at, most), hit
+
+
 _OWN = "struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, known: bigint, logs: double, gain: double>"
 _PARTS = f"row bigint, word string, n int, own {_OWN}"
 
@@ -222,7 +255,7 @@ def _score(shared, depth: int):
                           ("logs", pa.float64()), ("gain", pa.float64())])
     names = ("doc_id", "held_out", "n_tokens", "known", "logs", "gain")
 
-    def tree_sums(rows: int, data: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, head: np.ndarray, values: np.ndarray, bits: np.ndarray | None) -> tuple:
+    def tree_sums(rows: int, data: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, head: _Lookup, values: np.ndarray, bits: np.ndarray | None) -> tuple:
         """(sum of broadcast values of each text, texts, keys and counts of what is joined)."""
         gains, owners, tails = np.zeros(rows), [], []
         texts, place, symbols = _symbols(data, bounds)
@@ -232,8 +265,7 @@ def _score(shared, depth: int):
             alive = alive & (place >= level)
             for keys in (contexts, contexts ^ own):
                 at = np.flatnonzero(alive)
-                where = np.minimum(np.searchsorted(head, keys[at]), max(len(head) - 1, 0))
-                hit = head[where] == keys[at] if len(head) else np.zeros(len(at), dtype=bool)
+                where, hit = head.find(keys[at])
                 gains += np.bincount(texts[at[hit]], weights=values[where[hit]], minlength=rows)
                 maybe = at[~hit][_passes(bits, keys[at[~hit]])] if bits is not None else at[:0]
                 owners.append(texts[maybe])
@@ -250,12 +282,12 @@ def _score(shared, depth: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, frequent, head, values, bits = shared.value
         logs = np.log10(counts + 1.0)
+        known, head = _Lookup(known), _Lookup(head)
         for rows, data, bounds in text_batches(batches):
             owner, hashes, starts, stops, text = _words(data, bounds)
             # The end of each text follows its words.
             owner, tokens = np.append(owner, np.arange(rows.num_rows)), np.append(hashes, np.full(rows.num_rows, _END))
-            numbers = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
-            common = known[numbers] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
+            numbers, common = known.find(tokens)
             total = lambda weights: np.bincount(owner, weights=weights, minlength=rows.num_rows)
             found = np.zeros(len(tokens))
             found[common] = logs[numbers[common]]
